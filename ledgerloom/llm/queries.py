@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, sharding
+from . import line_dedup, mixing, packing, quality_rules, sharding
 
-_MODULES = (line_dedup, sharding, quality_rules)
+_MODULES = (mixing, line_dedup, packing, sharding, quality_rules)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
