@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality_rules, sharding, warc
+from . import embedding_dedup, line_dedup, mixing, packing, quality_rules, sharding, warc
 
-_MODULES = (mixing, line_dedup, packing, sharding, quality_rules, warc)
+_MODULES = (mixing, line_dedup, packing, sharding, embedding_dedup, quality_rules, warc)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
