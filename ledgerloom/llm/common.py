@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint: a lost executor costs a read, not a recomputation. Its files go when nothing refers to it."""
     shared_dir(df.sparkSession)

@@ -8,13 +8,11 @@ declares. Pointer jumping from each file's start keeps the candidates that the c
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, own_names, shared_dir
+from .common import cut, own_names, own_path
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -22,6 +20,8 @@ END = "\r\n\r\n"
 MIN_REVISIT = 1000
 #: Rows of one archive file, which bounds its length.
 FILE_ROWS = 50_000
+#: Repeated payloads (a digest and a number each) that are sent to every task rather than shuffled with the pages.
+BROADCAST_ROWS = 100_000
 _DATE = "2020-01-01T00:00:00Z"
 
 
@@ -37,6 +37,9 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     p = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     p = p.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     again = p.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _last IS NOT NULL").drop("_n")
+    again = cut(again)
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
     p = p.join(again, ["payload_digest", "payload_bytes"], "left")
     return p.withColumn("refers_to", F.when(F.col("page_id") != F.col("_last"), F.col("_last"))).drop("_last")
 
@@ -70,80 +73,97 @@ def write(pages: DataFrame, path: str, **how) -> None:
     records(plan_records(pages, **how)).write.option("lineSep", END).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, off, succ (long) and piece (string, without the magic) for each place where the magic stands in a file.
-
-    A piece's length is all that its offset needs: lengths are summed inside each byte range and over the ranges of a file.
-    succ is null where the piece declares no length. Bytes before the first magic of a file are a piece at offset 0 and
-    have no successor, unless there are none.
-    """
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, block (start of the byte range), _i (order in the range), _n (bytes) and piece (what stands between two magics)."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("piece"), F.octet_length("value").cast("long").alias("_n"))
-    return raw
+    return raw.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_i"), F.octet_length("value").cast("long").alias("_n"), F.col("value").alias("piece"))
 
 
-def _offsets(thin: DataFrame) -> DataFrame:
-    """off (of each piece's magic) for rows file, block, _i, _n: the first piece of a file has no magic before it."""
-    sums = thin.groupBy("file", "block").agg(F.sum(F.col("_n") + len(MAGIC)).alias("_t"))
-    base = sums.select("file", "block", (F.sum("_t").over(Window.partitionBy("file").orderBy("block")) - F.col("_t")).alias("_base"))
-    inside = F.sum(F.col("_n") + len(MAGIC)).over(Window.partitionBy("file", "block").orderBy("_i")) - F.col("_n") - len(MAGIC)
-    return thin.withColumn("_in", inside).join(base, ["file", "block"]).withColumn("off", F.col("_base") + F.col("_in") - len(MAGIC))
+def candidates(pieces: DataFrame) -> DataFrame:
+    """file, block, _i, off, succ, _head, _len for each place where the magic stands: its offset and its successor's by the length it declares.
+
+    Lengths are summed inside each byte range and over the ranges of a file, so no task reads a whole file. succ is null
+    where no length is declared. Bytes before a file's first magic have a negative offset.
+    """
+    head = F.substring_index("piece", END, 1)
+    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
+    thin = pieces.select("file", "block", "_i", "_n", F.when(F.instr("piece", END) > 0, F.nullif(length, F.lit("")).cast("long")).alias("_len"), (F.octet_length(head) + len(END)).cast("long").alias("_head"))
+    whole = F.col("_n") + len(MAGIC)
+    base = thin.groupBy("file", "block").agg(F.sum(whole).alias("_t"))
+    base = base.select("file", "block", (F.sum("_t").over(Window.partitionBy("file").orderBy("block")) - F.col("_t")).alias("_base"))
+    inside = F.sum(whole).over(Window.partitionBy("file", "block").orderBy("_i")) - whole
+    at = thin.withColumn("_in", inside).join(base, ["file", "block"]).withColumn("off", F.col("_base") + F.col("_in") - len(MAGIC))
+    return at.withColumn("succ", F.col("off") + len(MAGIC) + F.col("_head") + F.col("_len") + len(END)).drop("_in", "_base")
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """The rows (file, off) of links (file, off, succ) that the chain from each file's offset 0 reaches.
+    """The rows of links (file, off, succ) that the chain from each file's offset 0 reaches, with their columns.
 
-    Pointer jumping: after k rounds the jumps span 2**k records and all within that of the start are reached, so a file of
-    n records takes about log2(n) rounds, each over thin rows dealt by file and offset.
+    Candidates whose successor is the next candidate form runs, and a chain that enters a run follows it to its end; so a
+    jump leads from any candidate to what follows its run. Pointer jumping doubles the jumps each round until no new entry
+    is found: about log2 of a file's runs, which are one more than its places where payload looks like a record.
     """
-    jump = cut(links.filter("succ > off").select("file", "off", "succ"))
-    seen = cut(links.filter("off = 0").select("file", "off"))
+    order = Window.partitionBy("file").orderBy("off")
+    runs = links.filter("off >= 0").withColumn("_new", F.when(F.lag("succ").over(order) == F.col("off"), 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("_new").over(order)).drop("_new")
+    runs = cut(runs.withColumn("exit", F.last("succ").over(Window.partitionBy("file", "run").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    at = runs.select("file", "off")
+    jump = runs.filter("exit > off").select("file", "off", F.col("exit").alias("to")).join(at.withColumnRenamed("off", "to"), ["file", "to"], "left_semi").select("file", "off", "to")
+    jump = cut(jump)
+    seen = cut(at.filter("off = 0"))
     n = seen.count()
-    while True:
-        ahead = seen.join(jump, ["file", "off"]).select("file", F.col("succ").alias("off"))
-        # Jumps that leave the file's records lead nowhere and drop out of the next round.
-        seen = cut(seen.unionByName(ahead.join(links.select("file", "off"), ["file", "off"], "left_semi")).distinct())
+    while n and not jump.isEmpty():
+        seen = cut(seen.unionByName(seen.join(jump, ["file", "off"]).select("file", F.col("to").alias("off"))).distinct())
         more = seen.count()
         if more == n:
-            return seen
+            break
         n = more
-        jump = cut(jump.join(jump.select("file", F.col("off").alias("succ"), F.col("succ").alias("_far")), ["file", "succ"]).select("file", "off", F.col("_far").alias("succ")))
+        jump = cut(jump.join(jump.select("file", F.col("off").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "off", F.col("far").alias("to")))
+    entries = seen.join(runs.select("file", "off", "run"), ["file", "off"]).groupBy("file", "run").agg(F.min("off").alias("entry"))
+    return runs.join(entries, ["file", "run"]).filter("off >= entry").drop("run", "exit", "entry")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records under path: file, off, record_type, record_id, url, refers_to_id, digest (strings; null if absent) and payload.
+    """The records under path: record_type, record_id, url, refers_to_id, digest (strings; null if absent) and payload.
 
-    A record whose payload holds the magic is put together from its pieces. Files that don't begin with a record give none.
-    A last record cut short by the file's end, or one whose length is missing or wrong, ends its file's chain; the records
-    before it are given. An empty path of archives gives no rows.
+    If every candidate of all files is a record and ends where the next begins, as checked, the pieces are the records.
+    Otherwise the pieces are kept with their places, payload that looks like records is left out, and a record whose
+    payload holds the magic is put together again. A file that doesn't begin with a record gives none; a record cut short,
+    or whose length is missing or wrong, ends its file's chain, and the records before it are given.
     """
-    raw = candidates(spark, path)
-    # A header ends at the first empty line; its Content-Length gives the successor.
-    head = F.substring_index("piece", END, 1)
-    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,18})[ \t]*\r?$", 1)
-    thin = raw.select("file", "block", "_i", "_n", F.when(F.instr("piece", END) > 0, F.nullif(length, F.lit("")).cast("long")).alias("_len"), (F.octet_length(head) + 4).cast("long").alias("_head"))
-    placed = cut(_offsets(thin).withColumn("succ", F.col("off") + len(MAGIC) + F.col("_head") + F.col("_len") + len(END)).select("file", "block", "_i", "_n", "_head", "_len", "off", "succ"))
-    real = placed.filter("off >= 0")
-    good = reachable(real).withColumn("_real", F.lit(True))
-    # Every piece belongs to the last record that starts at or before it; its rank says where it stands in the payload.
-    w = Window.partitionBy("file").orderBy("off")
-    owned = real.join(good, ["file", "off"], "left").withColumn("_own", F.last(F.when(F.col("_real"), F.struct("off", "succ", "_head", "_len")), ignorenulls=True).over(w))
-    owned = owned.filter("_own IS NOT NULL AND off < _own.succ").select("file", "block", "_i", "off", "_own")
-    whole = raw.select("file", "block", "_i", "piece").join(owned, ["file", "block", "_i"])
-    alone = F.col("_own.succ") == F.col("off") + len(MAGIC) + F.octet_length("piece")
-    single = whole.filter(alone & (F.col("off") == F.col("_own.off"))).select("file", "off", "_own", "piece")
-    joined = whole.filter(~(alone & (F.col("off") == F.col("_own.off")))).groupBy("file", F.col("_own.off").alias("off")).agg(F.first("_own").alias("_own"), F.expr(f"array_join(transform(sort_array(collect_list(struct(off, piece))), x -> x.piece), '{MAGIC}')".replace("\r\n", "\\r\\n")).alias("piece"))
-    rec = single.unionByName(joined)
+    pieces = _pieces(spark, path)
+    placed = cut(candidates(pieces))
+    good = cut(reachable(placed))
+    alone = "succ = off + _n + %d" % len(MAGIC)
+    plain = good.filter(alone).count() == placed.filter("off >= 0 OR _n > 0").count()
+    if plain:
+        rec = pieces.filter("piece != ''").withColumns(_measures())
+    else:
+        pieces = cut(pieces)
+        placed = cut(candidates(pieces))
+        good = cut(reachable(placed)).select("file", "off", F.struct("off", "succ", "_head", "_len").alias("_own"))
+        # Every piece belongs to the last record that starts at or before it.
+        w = Window.partitionBy("file").orderBy("off")
+        owned = placed.filter("off >= 0").join(good, ["file", "off"], "left").withColumn("_own", F.last("_own", ignorenulls=True).over(w))
+        owned = owned.filter("_own IS NOT NULL AND off < _own.succ").select("file", "block", "_i", "off", "_own")
+        parts = pieces.select("file", "block", "_i", "piece").join(owned, ["file", "block", "_i"])
+        glue = MAGIC.replace("\r\n", "\\r\\n")
+        rec = parts.groupBy("file", "_own").agg(F.expr(f"array_join(transform(sort_array(collect_list(struct(off, piece))), x -> x.piece), '{glue}')").alias("piece")).select("piece", "_own._head", "_own._len")
     field = lambda name: F.nullif(F.regexp_extract(F.substring_index("piece", END, 1), rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
-    body = F.expr("substring(encode(piece, 'UTF-8'), cast(_own._head + 1 as int), cast(_own._len as int))")
-    out = rec.select("file", "off", field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("url"), field("WARC-Refers-To").alias("refers_to_id"), field("WARC-Payload-Digest").alias("digest"), body.cast("string").alias("payload"), "_own")
-    return out.filter(F.octet_length("payload") == F.col("_own._len")).drop("_own")
+    body = F.expr("cast(substring(cast(piece as binary), cast(_head + 1 as int), cast(_len as int)) as string)")
+    out = rec.select(field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("url"), field("WARC-Refers-To").alias("refers_to_id"), field("WARC-Payload-Digest").alias("digest"), body.alias("payload"), "_len")
+    return out.filter(F.octet_length("payload") == F.col("_len")).drop("_len")
+
+
+def _measures() -> dict:
+    head = F.substring_index("piece", END, 1)
+    return {"_head": (F.octet_length(head) + len(END)).cast("long"), "_len": F.col("_n") - F.octet_length(head) - 2 * len(END)}
 
 
 def archived(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
     """Pages written as archives under path (by default a new folder in the shared one) and read back, see ``read``."""
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = path or own_path(spark, "warc")
     write(pages, path, **how)
     return read(spark, path)
 
