@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import quality_rules
+from ledgerloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +13,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs)
 
 
-STAGES = [("quality rules", quality)]
-#: Later stages draw at random by hash and pack greedily, which SQL can't express; tests hold them against brute force.
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages; those of which nothing is left go. n_chars follows the text."""
+    out = line_dedup.dedup(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each class of near duplicates: shingles of five words, Jaccard 0.8 or more."""
+    return ngram_join.representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, a row for each pass over its source."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their bins, see packing.pack."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mix), ("best-fit packing", pack)]
+#: The later stages draw by hash and pack greedily, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 

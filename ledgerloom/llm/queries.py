@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, warc
+from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, warc
 
-_MODULES = (mixing, line_dedup, packing, sharding, embedding_dedup, html_text, ngram_join, quality_rules, warc)
+_MODULES = (mixing, line_dedup, packing, sharding, embedding_dedup, html_text, ngram_join, quality_rules, warc, license_scan)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
