@@ -74,7 +74,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = "aggregate(_p, named_struct('n', 0, 'end', 0), (a, i) -> named_struct('n', a.n + i + 8 - greatest(a.end, i), 'end', i + 8), a -> a.n)"
     step = step.withColumn("n_repeat_words", F.expr(f"coalesce(cast({covered} as bigint), 0L)")).drop("_p")
     bits = " | ".join(f"if({test}, {BIT[rule]}L, 0L)" for rule, test in RULES.items())
-    return step.select(*rest, *MEASURES, F.expr(bits).alias("failures"))
+    # A filter on failures must not be carried back into the measurements, which would repeat them for each use: it stops at explode.
+    held = step.select(*rest, F.explode(F.array(F.struct(*MEASURES, F.expr(bits).alias("failures")))).alias("_m"))
+    return held.select(*rest, "_m.*")
 
 
 def apply_policy(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
