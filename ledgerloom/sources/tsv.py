@@ -1,0 +1,13 @@
+"""Words from text files: a word a line, as text, x0, y0, x1, y1 and, if known, confidence, between tabs."""
+
+from __future__ import annotations
+
+
+def pages(path: str) -> list[int]:
+    return [1]
+
+
+def words(path: str, number: int) -> list[tuple]:
+    with open(path, encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if line.strip()]
+    return [(r[0], *map(float, r[1:5]), float(r[5]) if len(r) > 5 and r[5] else None) for r in rows]
