@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .plans import queries
+
+QUERIES: dict = dict(queries.QUERIES)
+SQL: dict[str, str] = dict(queries.SQL)
