@@ -15,21 +15,22 @@ from .common import own_names
 _BLANKS = r"\t\n\x0b\f\r "
 
 
-def _lines(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Row keys _k1 and _k2, the lines _all (array) and their trimmed copies with a word _w (place p from 0, line l)."""
-    split = docs.select(*keep, F.xxhash64(*_key(docs, text)).alias("_k1"), F.xxhash64(F.lit(7), *_key(docs, text)).alias("_k2"), F.split(text, "\n").alias("_all"))
-    trimmed = f"filter(transform(_all, (x, p) -> named_struct('p', p, 'l', trim(both '{_BLANKS}' from x))), x -> x.l != '')"
-    return split.withColumn("_w", F.coalesce(F.expr(trimmed), F.expr("cast(array() as array<struct<p: int, l: string>>)")))
+def _keyed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep with the row keys _k1 and _k2."""
+    own = [F.col(c) for c in (["doc_id"] if "doc_id" in docs.columns else []) + [text]]
+    return docs.select(*keep, F.xxhash64(*own).alias("_k1"), F.xxhash64(F.lit(7), *own).alias("_k2"))
 
 
-def _key(docs: DataFrame, text: str) -> list:
-    return [F.col(c) for c in (["doc_id"] if "doc_id" in docs.columns else []) + [text]]
+def _lines(rows: DataFrame, text: str) -> DataFrame:
+    """rows with the lines _all (array) and the trimmed copies _w of those with a word (place p from 0, line l)."""
+    trimmed = f"filter(transform(_all, (x, p) -> named_struct('p', p, 'l', trim(both '{_BLANKS}' from x))), x -> x.l != '')"
+    return rows.withColumn("_all", F.split(text, "\n")).withColumn("_w", F.coalesce(F.expr(trimmed), F.expr("cast(array() as array<struct<p: int, l: string>>)")))
 
 
 def windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each window: doc_id, _k1, _k2, i (its first line's rank, from 1), h1, h2 (128 bits of its three lines)."""
     three = "slice(l, i, 3)"
-    rows = _lines(docs, text, ["doc_id"]).select("doc_id", "_k1", "_k2", F.expr("transform(_w, x -> x.l)").alias("l")).filter("size(l) >= 3")
+    rows = _lines(_keyed(docs, text, list(dict.fromkeys(["doc_id", text]))), text).select("doc_id", "_k1", "_k2", F.expr("transform(_w, x -> x.l)").alias("l")).filter("size(l) >= 3")
     each = f"transform(sequence(1, size(l) - 2), i -> named_struct('i', i, 'h1', xxhash64({three}), 'h2', xxhash64(7, {three})))"
     return rows.select("doc_id", "_k1", "_k2", F.explode(F.expr(each)).alias("x")).select("doc_id", "_k1", "_k2", "x.*")
 
@@ -51,7 +52,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
     later = w.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     starts = later.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("i")).alias("_s"))
-    joined = _lines(docs, text, rest).join(starts, ["_k1", "_k2"], "left")
+    # Only the text goes through the join; it is split after it.
+    joined = _lines(_keyed(docs, text, rest).join(starts, ["_k1", "_k2"], "left"), text)
     # Runs of covered ranks: a window that starts within three of the one before continues its run.
     runs = joined.withColumns({"_a": F.expr("filter(_s, (s, k) -> k = 0 or s > _s[k - 1] + 3)"), "_b": F.expr("filter(_s, (s, k) -> k = size(_s) - 1 or get(_s, k + 1) > s + 3)")})
     runs = runs.withColumn("_r", F.expr("zip_with(_a, _b, (a, b) -> named_struct('a', a, 'b', b + 2, 'from', _w[a - 1].p, 'to', _w[b + 1].p))"))

@@ -2,8 +2,8 @@
 
 Who can be linked at all is found first, without sets leaving their task. Two sets with Jaccard t or more differ in few
 members, so if their members are dealt by hash to more segments than that, some segment is the same in both; keys made of
-whole segments bring every possible partner together (after Arasu et al., 2006), and chains of shared keys form candidate
-groups. In a group each document is a bitmap of its members; a tree over them, ordered so that like documents stand
+whole segments bring every possible partner together (after Arasu et al., 2006), common ones where they are needed for
+that, and chains of shared keys form candidate groups. In a group each document is a bitmap of its members; a tree over them, ordered so that like documents stand
 together, holds at every node the OR and the AND of the bitmaps below and the range of sizes. The traversal of node pairs
 drops a pair when even its largest possible overlap is too small, or when all below are linked already; what is left is
 compared in full. Groups over the block size are split into blocks, and pairs of blocks are traversed by different tasks.
@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, own_names
 from .graph import components
@@ -26,9 +25,12 @@ from .graph import components
 BLOCK_DOCS = 1024
 BLOCK_MEMBERS = 4_000_000
 FANOUT = 8
+#: A key in as many documents is common, and left out where a document can spare it; the share of keys to spare, about.
+COMMON, SPARE = 16, 0.12
 #: Bytes of text that are hashed at once, which takes about 100 times as much memory.
 CHUNK_BYTES = 2_000_000
-_GROWTH = 1.5
+#: Documents of candidate groups whose ids are sent to every task, so that no other text is shuffled; more are joined.
+BROADCAST_ROWS = 100_000
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 2**64))
 _BASE = np.uint64(0x100000001B3)
@@ -115,14 +117,14 @@ def chunks(column: pa.ChunkedArray | pa.Array, n: int, limit: int = CHUNK_BYTES)
         at = to
 
 
-def size_class(n: np.ndarray) -> np.ndarray:
-    """Number c of each size's class: ceil(1.5**c) is its least size."""
-    c = np.floor(np.log(np.maximum(n, 1)) / np.log(_GROWTH)).astype(np.int64)
-    return c + (class_start(c + 1) <= n) - (class_start(c) > n)
+def size_class(n: np.ndarray, growth: float) -> np.ndarray:
+    """Number c of each size's class: class_start(c) is its least size."""
+    c = np.floor(np.log(np.maximum(n, 1)) / np.log(growth)).astype(np.int64)
+    return c + (class_start(c + 1, growth) <= n) - (class_start(c, growth) > n)
 
 
-def class_start(c: np.ndarray) -> np.ndarray:
-    return np.ceil(_GROWTH ** np.asarray(c, np.float64)).astype(np.int64)
+def class_start(c: np.ndarray, growth: float) -> np.ndarray:
+    return np.ceil(growth ** np.asarray(c, np.float64)).astype(np.int64)
 
 
 def most_apart(sizes: np.ndarray, t: Fraction) -> np.ndarray:
@@ -131,25 +133,47 @@ def most_apart(sizes: np.ndarray, t: Fraction) -> np.ndarray:
     return (q - p) * sizes // (q + p)
 
 
-def keys(members: np.ndarray, bounds: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key) pairs: any two sets with Jaccard t or more have a key in common.
+def plan_keys(t: Fraction) -> tuple[float, float]:
+    """(growth of the size classes, segments for each member that may differ): the fewest keys with room to spare.
 
-    A class of sizes has one number of segments, a quarter above what its largest pairs need. A document enters its own
-    class, and the next one too if a larger set there could still be its partner. If segments of fewer than two members
-    can be spared, they are left out: what they could share is then shared elsewhere, by count; else all are kept.
+    Members of a segment are about Poisson; in the smallest sets of a class, the share of empty segments must leave a
+    share SPARE that can be left out as common. Growth is 1 / t at least, so that a set's partners lie in its class and
+    the next. Only the number of keys hangs on this choice, not what is found.
+    """
+    c = float(2 * (1 - t) / (1 + t))
+    best = None
+    for growth in (g for g in (1.0 / float(t) * 1.0001, 1.3, 1.4, 1.5, 1.75, 2.0) if g * float(t) >= 1):
+        for more in np.arange(1.05, 2.5, 0.05):
+            empty = np.exp(-1 / (more * c * growth)) if c else 0.0
+            if 1 - 1 / more - empty >= SPARE:
+                both = min(1.0, -np.log(float(t)) / np.log(growth))
+                count = more * c * growth * (1 + both * growth) * (1 - empty) / ((growth - 1) / np.log(growth))
+                if best is None or count < best[0]:
+                    best = count, growth, float(more)
+    return best[1:] if best else (1.0 / float(t) * 1.0001, 1.5)
+
+
+def keys(members: np.ndarray, bounds: np.ndarray, t: Fraction, growth: float, more: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, spare) rows: any two sets with Jaccard t or more have a key in common, even if each leaves out spare of its own.
+
+    A class of sizes has one number of segments, more than its largest pairs can differ in; growth and more as of plan_keys.
+    A document enters its own class, and the next one too if a larger set there could still be its partner. Of two partners'
+    segments, more agree than either may leave out. Empty segments are left out if so many can be spared, and spare, twice
+    the number that may still be left out plus 1 for the next class, counts down from there. An agreeing segment has one
+    key in both, so if both leave out by the key alone, what one keeps is there in the other.
     """
     n = np.diff(bounds)
-    out_doc, out_key = [], []
-    cls = size_class(n)
-    over = class_start(cls + 1)
+    out_doc, out_key, out_spare = [], [], []
+    cls = size_class(n, growth)
+    over = class_start(cls + 1, growth)
     for shift in (0, 1):
-        some = np.flatnonzero((n > 0) & ((shift == 0) | (t * over.astype(object) <= n).astype(bool)))
+        some = np.flatnonzero((n > 0) & ((shift == 0) | (t.numerator * over <= t.denominator * n)))
         if not len(some):
             continue
         c = cls[some] + shift
         # In class c the larger set has under class_start(c + 1) members and the smaller no more than that.
-        apart = most_apart(2 * (class_start(c + 1) - 1), t)
-        k = (apart + 1) * 5 // 4 + (apart > 0)
+        apart = most_apart(2 * (class_start(c + 1, growth) - 1), t)
+        k = np.maximum(apart + 1, np.ceil(more * (apart + (apart > 0)))).astype(np.int64)
         doc = np.repeat(np.arange(len(some)), n[some])
         src = members[np.repeat(bounds[some], n[some]) + np.arange(len(doc)) - np.repeat(np.r_[0, np.cumsum(n[some])][:-1], n[some])]
         seg = (mixed(src + _MUL[0]) % k[doc].astype(np.uint64)).astype(np.int64)
@@ -159,16 +183,17 @@ def keys(members: np.ndarray, bounds: np.ndarray, t: Fraction) -> tuple[np.ndarr
         np.add.at(total, slot, mixed(src ^ _MUL[1]))
         count = np.bincount(slot, minlength=base[-1])
         owner = np.repeat(np.arange(len(some)), k)
-        light = count < 2
-        spare = np.bincount(owner[light], minlength=len(some)) <= k - apart - 1
-        kept = ~(light & spare[owner])
+        empty = np.bincount(owner[count < 1], minlength=len(some))
+        left = k - apart - 1 - empty
+        kept = (count > 0) | (left < 0)[owner]
         number = np.arange(base[-1]) - base[owner]
         key = mixed(mixed(total + _MUL[0] * count.astype(np.uint64)) + mixed(c[owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)))
         out_doc.append(some[owner[kept]])
         out_key.append(key[kept])
+        out_spare.append((2 * np.maximum(left, 0) + shift)[owner[kept]])
     if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_doc), np.concatenate(out_key)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_spare)
 
 
 class Union:
@@ -300,6 +325,7 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
     each other, and a row with a null doc_id has a null component_id and links nothing.
     """
     own_names(docs, doc_id, text)
+    growth, more = plan_keys(threshold)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def signatures(batches):
@@ -313,38 +339,45 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
                 h1, h2 = (np.r_[np.uint64(0), np.add.accumulate(mixed(members ^ m))] for m in _MUL[:2])
                 h1, h2 = h1[bounds[1:]] - h1[bounds[:-1]], h2[bounds[1:]] - h2[bounds[:-1]]
                 yield pa.record_batch([pa.array(np.zeros(len(size), np.int8)), pa.array(clean, mask=bad), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["kind", "a", "b", "h1", "h2"])
-                doc, key = keys(members, bounds, threshold)
-                there = ~bad[doc]
-                doc, key = doc[there], key[there]
-                order = np.lexsort((clean[doc], key))
-                doc, key = clean[doc[order]], key[order]
-                lead = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-                # Inside the run a key's documents hang on its first one, which alone stands for them outside.
-                first = doc[lead][np.cumsum(lead) - 1]
-                pair = np.unique(np.stack([first[doc != first], doc[doc != first]]), axis=1)
-                for kind, x, y, z in ((1, pair[0], pair[1], pair[0]), (2, doc[lead], doc[lead], key[lead].view(np.int64))):
-                    for to in range(0, len(x), 100_000):
-                        part = slice(to, to + 100_000)
-                        yield pa.record_batch([pa.array(np.full(len(x[part]), kind, np.int8)), pa.array(x[part]), pa.array(y[part]), pa.array(z[part]), pa.array(np.zeros(len(x[part]), np.int64))], names=["kind", "a", "b", "h1", "h2"])
+                # Of equal sets in the run one has keys: they have the same.
+                twin = np.lexsort((np.arange(len(size)), h2, h1))
+                lone = np.zeros(len(size), bool)
+                lone[twin] = np.r_[True, (h1[twin][1:] != h1[twin][:-1]) | (h2[twin][1:] != h2[twin][:-1])] if len(size) else False
+                doc, key, spare = keys(members, bounds, threshold, growth, more)
+                there = (lone if not bad.any() else ~bad)[doc]
+                doc, key, spare = clean[doc[there]], key[there], spare[there]
+                for to in range(0, len(doc), 100_000):
+                    part = slice(to, to + 100_000)
+                    size_of = len(doc[part])
+                    yield pa.record_batch([pa.array(np.full(size_of, 2, np.int8)), pa.array(doc[part]), pa.array(spare[part]), pa.array(key[part].view(np.int64)), pa.array(np.zeros(size_of, np.int64))], names=["kind", "a", "b", "h1", "h2"])
 
     rows = named.mapInArrow(signatures, "kind tinyint, a bigint, b bigint, h1 bigint, h2 bigint")
-    # A key has a row for each run of texts at most, so none is hot here; neighbours under a key make an edge.
-    same = Window.partitionBy("h1", "kind").orderBy("a")
-    back = F.when(F.col("kind") == 2, F.lag("a").over(same))
-    linked = rows.withColumn("o", back).filter("kind < 2 OR (o IS NOT NULL AND o != a)")
-    parts = cut(linked.select("kind", "a", F.when(F.col("kind") == 2, F.col("o")).otherwise(F.col("b")).alias("b"), "h1", F.when(F.col("kind") == 0, F.col("h2")).alias("h2")))
-    sets = parts.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "h1", "h2")
+    # Keys are counted before the shuffle as far as they repeat in a task; only those of two documents or more are joined to
+    # the rows, and a key of very many rows can be split there.
+    shared = rows.filter("kind = 2").groupBy("h1").agg(F.min("a").alias("low"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    shared = shared.select(F.col("h1").alias("key"), "low", (F.col("docs") >= COMMON).alias("common"))
+    met = rows.join(shared, (F.col("h1") == F.col("key")) & (F.col("kind") == 2), "left").filter("kind = 0 OR low IS NOT NULL")
+    own = F.when(F.col("kind") == 0, F.col("h1"))
+    parts = cut(met.groupBy("kind", "a", "b", own.alias("h1"), "h2", "low", "common").agg(F.count(F.lit(1)).alias("n")))
+    sets = parts.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "h1", "h2", F.col("n").alias("rows"))
     reps = cut(sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
     member = sets.join(reps, ["h1", "h2", "n"]).select("doc_id", "rep")
-    edges = parts.filter("kind > 0").select("a", "b").unionByName(member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    # Partners share more keys than either can spare, so a document that shares no more than that, with all others together,
+    # has no partner. Of the rest, one leaves out its common keys if it can spare as many; else they link it too.
+    shares = parts.filter("kind = 2")
+    per = shares.groupBy("a", "b").agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("common"), F.col("n")).otherwise(0)).alias("_c")).filter("_n > b div 2")
+    links = shares.join(per, ["a", "b"]).filter("NOT common OR _c > b div 2")
+    edges = links.select("a", F.col("low").alias("b")).filter("a != b").unionByName(member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     groups = components(edges)
     lone = reps.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "n").distinct()
     held = cut(lone.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "n", F.col("component").alias("g")))
-    per = held.groupBy("g").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("members")).filter("docs > 1")
-    per = per.withColumn("blocks", F.expr(f"greatest(cast(ceil(docs / {block_docs}d) as int), cast(ceil(members / {block_members}d) as int))"))
+    sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("members")).filter("docs > 1")
+    sizes = sizes.withColumn("blocks", F.expr(f"greatest(cast(ceil(docs / {block_docs}d) as int), cast(ceil(members / {block_members}d) as int))"))
     # Blocks of a group take sizes in turn, each block with every other; a group of one block is the usual case.
-    todo = held.join(per.select("g", "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    with_text = named.filter("doc_id IS NOT NULL").join(todo.select("doc_id", "g", "blocks", "block"), "doc_id")
+    todo = held.join(sizes.select("g", "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    todo = todo.select("doc_id", "g", "blocks", "block")
+    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    with_text = named.filter("doc_id IS NOT NULL").join(F.broadcast(todo) if few else todo, "doc_id")
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('x', least(x, block), 'y', greatest(x, block)))")
     dealt = with_text.select("doc_id", "text", "g", "block", F.explode(pairs).alias("p")).select("doc_id", "text", "g", "block", "p.x", "p.y")
 
@@ -367,7 +400,8 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
     final = components(found.filter("a != b"))
     comp = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     comp = comp.groupBy("doc_id").agg(F.min("c").alias("c"))
-    return sets.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    out = sets.join(comp, "doc_id", "left").withColumn("_r", F.explode(F.expr("sequence(1L, rows)")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(8, 10), text: str = "text") -> DataFrame:

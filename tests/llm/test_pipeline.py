@@ -1,0 +1,52 @@
+"""The pipeline on a small corpus, stage by stage against plain loops."""
+
+import random
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from test_free import slow_classes  # noqa: E402
+from test_native import slow_dedup  # noqa: E402
+
+
+def make(spark, path):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(300)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(12))
+    passage = "\n".join(line() for _ in range(4))
+    texts = ["\n".join(line() for _ in range(rng.randrange(2, 9))) for _ in range(60)]
+    texts += [f"{line()}\n{passage}\n{line()}" for _ in range(8)] + [texts[5]] * 4 + [texts[7] + " extra", "short", None, "", "SHOUT!! " * 60, "again " * 80]
+    df = spark.createDataFrame([(i, t, "en", rng.choice(["a", "a", "b"]), len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{path}/documents.parquet")
+    return texts
+
+
+def test_stages(spark, tmp_path):
+    texts = make(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/stage{i}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{i}")
+        if i < 4:
+            assert docs.columns == columns
+        kept.append(docs.collect())
+    gone = {i for i, t in enumerate(texts) if t is None or len(t.split()) < 20 or t.startswith(("SHOUT", "again"))}
+    first = {r.doc_id: r.text for r in kept[0]}
+    assert set(first) == set(range(len(texts))) - gone
+    ids = sorted(first)
+    slow = dict(zip(ids, slow_dedup([first[i] for i in ids]), strict=True))
+    second = {r.doc_id: r.text for r in kept[1]}
+    assert second == {i: t for i, (n, k, t) in slow.items() if k < n}
+    classes = slow_classes(sorted(second.items()), 5, 0.8)
+    third = {r.doc_id: r.text for r in kept[2]}
+    assert third == {i: t for i, t in second.items() if classes[i][1] == i}
+    mixed = sum(len(r.text.split()) for r in kept[3])
+    assert abs(mixed - 1.5 * sum(len(t.split()) for t in third.values())) <= 3
+    assert sum(r.n for r in kept[4]) == mixed
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5 and corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
