@@ -67,5 +67,5 @@ def matrix(sizes: DataFrame, caps: DataFrame, levels: int, seed: int) -> DataFra
             ).alias("x")
         ).select("x.*")
         if 2 ** (level + 1) == SPREAD_AT:
-            nodes = nodes.repartition("row")
+            nodes = nodes.repartition(SPREAD_AT, "row")
     return nodes.select("row", F.col("caps").alias("counts"), F.col("offs").alias("offsets"))

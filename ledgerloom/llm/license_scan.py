@@ -224,7 +224,9 @@ def score(docs: DataFrame, text: str = "text", seed: int = 1) -> DataFrame:
     listed = ", ".join("'" + w.replace("'", "''") + "'" for w in single)
     stop = ", ".join(f"'{w}'" for w in sorted(STOP))
     lines = f"filter(transform(split({text}, '\\n'), (l, p) -> named_struct('line', p, 'words', {token_sql('l')})), x -> exists(x.words, w -> w in ({listed})))"
-    found = docs.select(F.monotonically_increasing_id().alias("_id"), "doc_id", F.explode(F.expr(lines)).alias("x")).select("_id", "doc_id", "x.*")
+    # The id is given to rows before their lines are taken apart, so it names a document.
+    rows = docs.select(F.monotonically_increasing_id().alias("_id"), "doc_id", F.expr(lines).alias("_l"))
+    found = rows.select("_id", "doc_id", F.explode("_l").alias("x")).select("_id", "doc_id", "x.*")
     gram = f"array_distinct(concat(filter(words, w -> w not in ({stop})), transform(filter(sequence(1, greatest(1, size(words) - 1)), i -> size(words) > 1 and not (words[i - 1] in ({stop}) and words[i] in ({stop}))), i -> concat(words[i - 1], ' ', words[i]))))"
     each = found.select("_id", "doc_id", "line", "words", F.explode(F.expr(gram)).alias("g"))
     w = F.broadcast(_table(docs, [{"g": g, "w": v} for g, v in weights.items()], "array<struct<g: string, w: array<double>>>"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import own_names
 
-_BLANKS = r"\t\n\x0b\f\r "
+#: The six ASCII blanks, as they are written in a SQL literal.
+_BLANKS = r"\t\n\u000b\u000c\r "
 
 
 def _keyed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -54,8 +55,8 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = later.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("i")).alias("_s"))
     # Only the text goes through the join; it is split after it.
     joined = _lines(_keyed(docs, text, rest).join(starts, ["_k1", "_k2"], "left"), text)
-    # Runs of covered ranks: a window that starts within three of the one before continues its run.
-    runs = joined.withColumns({"_a": F.expr("filter(_s, (s, k) -> k = 0 or s > _s[k - 1] + 3)"), "_b": F.expr("filter(_s, (s, k) -> k = size(_s) - 1 or get(_s, k + 1) > s + 3)")})
+    # Runs of covered ranks: a window that shares a line with the one before continues its run.
+    runs = joined.withColumns({"_a": F.expr("filter(_s, (s, k) -> k = 0 or s > _s[k - 1] + 2)"), "_b": F.expr("filter(_s, (s, k) -> k = size(_s) - 1 or get(_s, k + 1) > s + 2)")})
     runs = runs.withColumn("_r", F.expr("zip_with(_a, _b, (a, b) -> named_struct('a', a, 'b', b + 2, 'from', _w[a - 1].p, 'to', _w[b + 1].p))"))
     left = "array_join(filter(_all, (x, p) -> not exists(_r, r -> p between r.from and r.to)), '\\n')"
     out = {

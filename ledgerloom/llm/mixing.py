@@ -17,7 +17,7 @@ from .common import cut, n_words, own_names, permuted
 BLOCK = 256
 #: Slots that an output shard holds about, and rows of a source that one task orders.
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 MAX_LEVELS = 17
 
 
@@ -92,6 +92,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ceiling: f
     counts = draws.matrix(sizes, caps, levels, seed)
     counts = counts.withColumn("held", F.expr("aggregate(counts, 0L, (s, x) -> s + x)")).withColumn("x", F.expr("transform(counts, (c, j) -> named_struct('number', j, 'c', c, 'o', offsets[j], 'before', aggregate(slice(counts, 1, j), 0L, (s, y) -> s + y)))"))
     counts = counts.select(F.col("row").alias("shard"), "held", F.explode("x").alias("x")).filter("x.c > 0").select("shard", "held", "x.*")
+    # A row stands for thousands of slots, so the rows are dealt by their number, which their bytes don't tell.
+    counts = counts.repartition(max(1, r // 4), "shard")
     slots = counts.select("shard", "number", "held", "o", "before", F.explode(F.expr("sequence(o, o + c - 1)")).alias("t"))
     slots = slots.join(small.select("number", "blocks", "slots", "last"), "number")
     slots = slots.select(

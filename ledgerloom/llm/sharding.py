@@ -19,7 +19,7 @@ from .common import own_names, permuted
 BUCKET_ROWS = 50_000
 MAX_LEVELS = 17
 #: Rows of a shard that one task writes.
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 50_000
 _OWN = ("_b", "_r", "_tie", "_i", "shard", "slot")
 
 

@@ -66,7 +66,7 @@ def slow_dedup(texts):
 
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(2)
-    texts = ["\n".join(rng.choice(["a", "b", " a ", "", "c", "dd"]) for _ in range(rng.randrange(1, 14))) for _ in range(120)] + [None, "", "x", "a\nb", "\n\n", "same\n" * 5000]
+    texts = ["\n".join(rng.choice(["a", "b", " a ", "", "c", "dd", "0xf", "\x0b\t"]) for _ in range(rng.randrange(1, 14))) for _ in range(120)] + [None, "", "x", "a\nb", "\n\n", "same\n" * 5000]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(docs(spark, *texts)).collect()}
     assert [got[i] for i in range(len(texts))] == slow_dedup(texts)
 
@@ -148,7 +148,7 @@ def test_licences_on_held_out_examples():
 
 
 def test_licence_scan(spark):
-    texts = ["intro words\nLicensed under the Apache License, Version 2.0.\nmore", "nothing here\nhis driving license", None, "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files (the Software), to deal in the Software without restriction", "x " * 20_000 + "\nReleased under the MIT License."]
+    texts = ["intro words\nLicensed under the Apache License, Version 2.0.\nmore", "nothing here\nhis driving license", None, "", "Released under the MIT License.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "x " * 20_000 + "\nReleased under the MIT License."]
     got = {r.doc_id: r for r in license_scan.scan(docs(spark, *texts)).collect()}
     assert {i: (r.family, r.first_line, r.last_line, r.confirmed) for i, r in got.items()} == {0: ("apache", 1, 1, True), 4: ("mit", 0, 1, True), 5: ("mit", 1, 1, True)}
     assert license_scan.scan(docs(spark, "x").limit(0)).count() == 0
