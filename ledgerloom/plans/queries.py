@@ -8,8 +8,8 @@ from .. import config as C
 from ..functions import fields as FI
 from ..functions import scalars as S
 from ..operators import export, grouping, items, layout, sections, splits, tables
-from ..operators.positional import assign_columns, column_bounds, scan
-from ..sources import files
+from ..operators.positional import assign_columns, column_bounds, header_anchors, scan
+from ..sources import files, images
 from . import rendered as R
 
 QUERIES: dict = {}
@@ -288,6 +288,20 @@ def ocr_words(t):
     return layout.usable_words(w).select("job_id", "word_ord")
 
 
+@query("""with s as (select l_orderkey % 500 as page, case when l_partkey % 7 = 0 then 40.0 else cast((l_orderkey % 500) % 20 as double) - 10 + (l_suppkey % 3) * 0.25 end as angle from lineitem),
+m as (select page, median(angle) filter (abs(angle) <= 15) as m, count(*) filter (abs(angle) <= 15) as n from s group by 1) select page, case when n >= 8 and abs(m) between 0.5 and 15 then m else 0 end as angle from m""")
+def deskew_angle(t):
+    s = t["lineitem"].selectExpr("l_orderkey % 500 as page", "case when l_partkey % 7 = 0 then 40d else cast((l_orderkey % 500) % 20 as double) - 10 + (l_suppkey % 3) * 0.25d end as angle")
+    return images.deskew_angle(s)
+
+
+@query("""with i as (select o_orderkey as page, cast(500 + o_orderkey % 3000 as double) as width, case when o_orderkey % 3 = 0 then null else cast(o_orderkey % 400 as double) end as dpi from orders),
+d as (select page, coalesce(case when dpi > 0 then dpi end, width / 8.5) as own from i) select page, case when own < 300 then least(300 / own, 3.0) else 1.0 end as factor from d""")
+def upscale_factor(t):
+    i = t["orders"].selectExpr("o_orderkey as page", "cast(500 + o_orderkey % 3000 as double) as width", "case when o_orderkey % 3 = 0 then null else cast(o_orderkey % 400 as double) end as dpi")
+    return i.select("page", images.upscale_factor(F.col("width"), F.col("dpi")).alias("factor"))
+
+
 # Header fields.
 
 
@@ -501,6 +515,19 @@ def assign_columns_query(t):
     return assign_columns(w, column_bounds(_anchors(t))).select("job_id", "row_id", "field", "raw")
 
 
+_HEAD_WORDS = """select o_orderkey as job_id, 1 as page_number, w.r as row_id, w.o as word_ord, cast(w.x + o_orderkey % 5 as double) as x0, cast(w.x + o_orderkey % 5 + 30 as double) as x1, w.t as text
+  from {} cross join (select 0 as r, 0 as o, 10 as x, 'Company' as t union all select 1, 1, 50, 'Item' union all select 1, 2, 230, 'HSN' union all select 1, 3, 300, 'CGST' union all select 1, 4, 350, 'OLD' union all select 1, 5, 410, 'SALE'
+    union all select 2, 6, 302, '%' union all select 2, 7, 352, 'MRP' union all select 2, 8, 412, 'QTY' union all select 2, 9, 470, 'Total' union all select 3, 10, 50, 'Soap') w where o_orderkey % 50 = 0"""
+
+
+@query("""select o_orderkey as job_id, 1 as header_row, 3 as data_row, u.field, cast(u.a + o_orderkey % 5 as double) as x0, cast(u.b + o_orderkey % 5 as double) as x1, u.h as header_text from orders cross join
+(values ('item_description', 50, 80, 'Item'), ('hsn_sac', 230, 260, 'HSN'), ('cgst_rate', 300, 332, 'CGST %'), ('mrp_old', 350, 382, 'OLD MRP'), ('quantity', 410, 442, 'SALE QTY'), ('line_total', 470, 500, 'Total')) u(field, a, b, h) where o_orderkey % 50 = 0""")
+def positional_header(t):
+    """Columns claimed by the words of a header of two lines."""
+    w = t["orders"].sparkSession.sql(_HEAD_WORDS.format("{orders}"), orders=t["orders"])
+    return header_anchors(w).select("job_id", "header_row", "data_row", "field", "x0", "x1", "header_text")
+
+
 _SCAN = "select job_id, line_number as row_id, (l_partkey * 7 + l_suppkey) % 23 = 0 as hard_stop, (l_partkey + l_suppkey) % 4 = 0 as unmatched, (l_partkey + l_suppkey) % 4 > 1 as is_item from {}"
 
 
