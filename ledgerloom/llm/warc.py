@@ -173,7 +173,8 @@ def op9_warc(spark, sf_dir):
     rec = archived(pages)
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
     rec = rec.select(number("record_id").alias("page_id"), "record_type", number("refers_to_id").alias("refers_to"), F.octet_length("payload").cast("long").alias("_bytes"), F.sha1("payload").alias("_sha"))
-    full = rec.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("_bytes").alias("_b2"), F.col("_sha").alias("_s2"))
+    # Rows that share the response's page_id are responses with one payload.
+    full = rec.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("_bytes", "_sha")).alias("x")).select("refers_to", F.col("x._bytes").alias("_b2"), F.col("x._sha").alias("_s2"))
     alone, again = rec.filter("refers_to IS NULL"), rec.filter("refers_to IS NOT NULL").join(full, "refers_to")
     cols = lambda b, s: ["page_id", F.col(b).alias("payload_bytes"), F.col(s).alias("payload_digest"), "record_type", "refers_to"]
     return alone.select(*cols("_bytes", "_sha")).unionByName(again.select(*cols("_b2", "_s2")))
