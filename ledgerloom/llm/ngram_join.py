@@ -214,13 +214,20 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
+def width(sets: list[np.ndarray]) -> int:
+    """Bits of the bitmaps of sets: a power of two, four times the largest set or more, as far as 65,536."""
+    most = max((len(s) for s in sets), default=0)
+    return min(1 << max(6, int(np.ceil(np.log2(4 * max(most, 1))))), 1 << 16)
+
+
 class Tree:
-    """Signature tree over sets: nodes hold OR and AND bitmaps, the range of sizes, children or a document."""
+    """Signature tree over sets: nodes hold OR and AND bitmaps, the range of sizes, children or a document.
+
+    Trees that are joined with each other need the same bits, else a position means other members in each.
+    """
 
-    def __init__(self, sets: list[np.ndarray], names: list[int]):
-        self.sets = sets
-        bits = 1 << max(6, int(np.ceil(np.log2(4 * max(len(s) for s in sets)))) if sets else 6)
-        bits = min(bits, 1 << 16)
+    def __init__(self, sets: list[np.ndarray], names: list[int], bits: int):
+        self.sets, self.bits = sets, bits
         self.names, self.nodes = names, []
         marks = []
         for s in sets:
@@ -255,6 +262,8 @@ def apart_least(a: tuple, b: tuple) -> int:
 
 def join_trees(left: Tree, right: Tree, union: Union, t: Fraction) -> int:
     """Merge in union the names of all sets of left and right (which may be one tree) with Jaccard t or more, as far as it takes to connect them; the number compared in full."""
+    if left.bits != right.bits:
+        raise ValueError(f"bitmaps of {left.bits} and {right.bits} bits")
     p, q = t.numerator, t.denominator
     full = 0
     if left.top is None or right.top is None:
@@ -391,7 +400,8 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
             if ids[i] == ids[i - 1]:
                 union.merge(i - 1, i)
         x, y = key[1].as_py(), key[2].as_py()
-        trees = [Tree([sets[i] for i in some], some) for some in ([i for i in range(len(ids)) if block[i] == b and len(sets[i])] for b in ([x] if x == y else [x, y]))]
+        bits = width(sets)
+        trees = [Tree([sets[i] for i in some], some, bits) for some in ([i for i in range(len(ids)) if block[i] == b and len(sets[i])] for b in ([x] if x == y else [x, y]))]
         join_trees(trees[0], trees[-1], union, threshold)
         root = ids[[union.find(i) for i in range(len(ids))]]
         return pa.table([pa.array(ids), pa.array(root)], names=["a", "b"])

@@ -233,6 +233,18 @@ def test_ngram_join_against_brute_force(spark, n, t, blocks):
     assert got == slow_classes(rows, n, t)
 
 
+def test_ngram_blocks_of_other_widths(spark):
+    """Links between blocks of one group are found when their largest sets lie on both sides of a power of two."""
+    base = [f"w{i}" for i in range(262)]
+    rows = [(i, " ".join(base[: 252 + i])) for i in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_classes(rows, 3, Fraction(9, 10))
+    assert {n for n, _ in want.values()} == set(range(250, 261)) and {c for _, c in want.values()} == {0}
+    for blocks in (1, 2, 3):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(df, block_docs=blocks).collect()}
+        assert got == want
+
+
 def test_keys_meet():
     """Any two sets at the threshold share a key that neither may leave out, whatever keys are called common."""
     rng = np.random.default_rng(12)
