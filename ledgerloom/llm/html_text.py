@@ -18,7 +18,18 @@ from .common import own_names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is one text up to their end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template title iframe noembed noframes object audio video canvas datalist".split())
+#: What is not rendered inside of svg and math.
+FOREIGN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask pattern marker".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Elements in svg and math whose content is HTML again.
+ISLANDS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: HTML elements that end an svg or math they stand in.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Formulas whose parts stand in different places.
+PLACES = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp caption".split())
 #: Blocks with an empty line before and after.
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul xmp".split())
@@ -52,14 +63,19 @@ DEPTH = 512
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Declarations of a style; a string or bracket that doesn't end runs to the end.
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z))++")
+IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    """An element. how: "unseen" or "apart" (from what stands before) where svg or math says so."""
+
+    __slots__ = ("tag", "attrs", "kids", "how")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+        self.tag, self.attrs, self.kids, self.how = tag, attrs, [], ""
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -69,11 +85,44 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def hides(style: str) -> str:
+    """What a style's declarations come to: "none" (no box), "hidden" (a box without text) or "". The last of a property counts, important ones first."""
+    low = style.lower()
+    if "none" not in low and "hidden" not in low and "collapse" not in low:
+        return ""
+    value: dict[str, tuple[bool, str]] = {}
+    for d in DECLARATION.findall(COMMENT.sub(" ", low)):
+        name, colon, rest = d.partition(":")
+        name, plain = name.strip(), IMPORTANT.sub("", rest).strip()
+        must = plain != rest.strip()
+        if colon and plain and (must or not value.get(name, (False,))[0]):
+            value[name] = must, plain
+    if value.get("display", (False, ""))[1] == "none":
+        return "none"
+    return "hidden" if value.get("visibility", (False, ""))[1] in ("hidden", "collapse") else ""
+
+
+def empty(attrs: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value without quotes."""
+    last = attrs.rsplit(None, 1)[-1] if attrs.endswith("/") else ""
+    return bool(last) and ("=" not in last or '"' in last or "'" in last)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; every input has one. An unclosed tag or comment runs to the end."""
     root = Node("html")
     stack = [root]
     at, n = 0, len(page)
+    met = False  # an svg or math so far
+
+    def foreign() -> int:
+        """Place in the stack of the svg or math that the next element is part of, or 0."""
+        for i in range(len(stack) - 1, 0, -1) if met else ():
+            if stack[i].tag in FOREIGN:
+                return i
+            if stack[i].tag in ISLANDS:
+                break
+        return 0
 
     def text(s: str) -> None:
         if s:
@@ -102,6 +151,12 @@ def parse(page: str) -> Node:
         if lt < 0:
             text(page[at:])
             break
+        if met and page.startswith("<![CDATA[", lt) and foreign():
+            text(page[at:lt])
+            end = page.find("]]>", lt)
+            stack[-1].kids.append(page[lt + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
         m = TAG.match(page, lt)
         if m is None:
             text(page[at : lt + 1])
@@ -129,6 +184,13 @@ def parse(page: str) -> Node:
             continue
         if stack[-1].tag == "head" and name not in HEAD:
             stack.pop()
+        inside = foreign()
+        if inside and name in BREAKOUT:
+            # Also out of an svg around a math.
+            while inside:
+                del stack[inside:]
+                inside = foreign()
+        kind = stack[inside].tag if inside else ""
         if name in CLOSES:
             close(*CLOSES[name])
         if name in ENDS_P:
@@ -138,7 +200,17 @@ def parse(page: str) -> Node:
             stack[-1].kids.append(row)
             stack.append(row)
         node = Node(name, m[3])
+        if inside:
+            a = attributes(m[3]) if kind == "svg" and ("display" in m[3] or "visibility" in m[3]) else {}
+            if name in FOREIGN[kind] or a and hides(f"display:{a.get('display', '')};visibility:{a.get('visibility', '')};{a.get('style', '')}"):
+                node.how = "unseen"
+            elif name == "text" or stack[-1].tag in PLACES and any(not isinstance(x, str) for x in stack[-1].kids):
+                node.how = "apart"
         stack[-1].kids.append(node)
+        if name in FOREIGN:
+            met = True
+        if (inside or name in FOREIGN) and empty(m[3]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             body = page[at : end.start() if end else n]
@@ -150,7 +222,7 @@ def parse(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    if node.tag in HIDDEN:
+    if node.tag in HIDDEN or node.how == "unseen":
         return False
     low = node.attrs
     if not low or low.isspace():
@@ -159,7 +231,7 @@ def visible(node: Node) -> bool:
     if "hidden" not in low and "style" not in low and "open" not in low:
         return True
     a = attributes(node.attrs)
-    return not ("hidden" in a and a["hidden"].lower() != "until-found" or UNSEEN.search(a.get("style", "")) or node.tag == "dialog" and "open" not in a or node.tag == "input")
+    return not ("hidden" in a and a["hidden"].lower() != "until-found" or hides(a.get("style", "")) or node.tag == "dialog" and "open" not in a or node.tag == "input")
 
 
 class Page:
@@ -297,6 +369,8 @@ def render(node: Node, depth: int = 0) -> list[str]:
             continue
         if not visible(kid):
             continue
+        if kid.how:
+            page.text(" ")
         tag = kid.tag
         if tag == "br":
             if page.now:

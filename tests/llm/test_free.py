@@ -332,6 +332,23 @@ def test_html(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p style='backface-visibility: hidden'>a</p><p style='-webkit-backface-visibility:hidden;color:red'>b</p>", "a\n\nb"),
+        ("<p style='--x-display:none'>a</p><p style='background:url(x;display:none)'>b</p><p style='display:none;display:block'>c</p>", "a\n\nb\n\nc"),
+        ("a<p style='color:red; DISPLAY : None !important; display:block'>no</p><p style='/* x */visibility:collapse'>no</p><p style='visibility:hidden'>no</p>", "a"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text>Jan</text><text x=5>Feb<tspan>!</tspan></text></svg>", "Jan Feb!"),
+        ("<svg><defs/><path d='M0'/><title/><text display='none'>no</text><text><![CDATA[a<b]]></text></svg><p>after", "a<b\n\nafter"),
+        ("<svg><defs><p>out of it</p>", "out of it"),
+        ("<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation><annotation-xml>no</annotation-xml></semantics></math>", "x=1 2"),
+        ("<svg><foreignObject><div>in it</div></foreignObject></svg><desc>plain</desc>", "in it\nplain"),
+    ],
+)
+def test_html_visibility(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_visible_words(spark):
     """On made-up pages every visible word comes out, once and in order, and no hidden one."""
     rng = random.Random(10)
