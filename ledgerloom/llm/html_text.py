@@ -289,30 +289,72 @@ class Page:
                 self.lines.append((self.indent[-1] + line).rstrip(" \r"))
 
 
-def cells(table: Node) -> tuple[list[str], list[list[tuple[Node, int]]]]:
-    """Rows of (cell, columns it spans) and the nodes outside of rows, captions first."""
+#: Cells that reach down are carried over so many columns of a table; text in columns beyond may stand further left.
+CARRIED = 1000
+
+
+def number(attrs: dict[str, str], name: str, most: int) -> int:
+    """A span of a cell, 1 where there is none; the rows of 0 go as far as the row group."""
+    span = attrs.get(name, "").strip()
+    if not (span.isascii() and span.isdigit()):
+        return 1
+    n = min(int(span[:9]), most)
+    return n or (most if name == "rowspan" else 1)
+
+
+def cells(table: Node) -> tuple[list, list[list[tuple[Node | None, int]]]]:
+    """Nodes outside of rows, captions first, and rows of (cell, columns it spans); None where a cell above reaches down or a cell isn't seen but has its place."""
     rows, loose = [], []
-    stack = list(reversed(table.kids))
+    held: dict[int, tuple[int, int]] = {}  # first column: columns, rows to come
+    within = None
+    stack = [(kid, table) for kid in reversed(table.kids)]
     while stack:
-        kid = stack.pop()
+        kid, group = stack.pop()
         if isinstance(kid, str):
             if kid.strip():
                 loose.append(kid)
         elif not visible(kid):
             continue
         elif kid.tag in ("tbody", "thead", "tfoot"):
-            stack += reversed(kid.kids)
+            stack += [(x, kid) for x in reversed(kid.kids)]
         elif kid.tag == "tr":
-            row = []
+            if group is not within:
+                within, held = group, {}
+            row, at, below = [], 0, {c: (w, n - 1) for c, (w, n) in held.items() if n > 1}
+            above = sorted(held.items(), reverse=True)
+
+            def carry(upto: int | None) -> None:
+                """Take the columns held from above that come next, or all of them with a blank for what lies between."""
+                nonlocal at
+                while above and (upto is None or above[-1][0] <= upto):
+                    c, (w, _) = above.pop()
+                    if c > at:
+                        row.append((None, c - at))
+                        at = c
+                    if c + w > at:
+                        row.append((None, c + w - at))
+                        at = c + w
+                    upto = None if upto is None else at
+
             for c in kid.kids:
                 if isinstance(c, str):
                     if c.strip():
                         loose.append(c)
                 elif c.tag in ("td", "th"):
-                    span = attributes(c.attrs).get("colspan", "1") if "colspan" in c.attrs.lower() else "1"
-                    row.append((c, max(1, min(int(span), 1000)) if span.isascii() and span.isdigit() else 1))
+                    a = attributes(c.attrs) if c.attrs else {}
+                    seen = visible(c)
+                    if not seen and (a.get("hidden", "until-found").lower() != "until-found" or hides(a.get("style", "")) != "hidden"):
+                        continue
+                    carry(at)
+                    span, down = number(a, "colspan", 1000), number(a, "rowspan", 65534)
+                    if down > 1 and at + span <= CARRIED:
+                        below[at] = (span, down - 1)
+                    row.append((c if seen else None, span))
+                    at += span
                 else:
                     loose.append(c)
+            carry(None)
+            held = below
             rows.append(row)
         elif kid.tag not in ("colgroup", "col"):
             loose.append(kid)
@@ -400,7 +442,7 @@ def render(node: Node, depth: int = 0) -> list[str]:
             outside = Node("div")
             outside.kids = loose
             lines = render(outside, depth + 1) if loose else []
-            lines += layout([[(render(c, depth + 1), span) for c, span in row] for row in rows])
+            lines += layout([[([] if c is None else render(c, depth + 1), span) for c, span in row] for row in rows])
             if lines:
                 page.literal(lines)
             page.block(2)

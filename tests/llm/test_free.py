@@ -349,6 +349,22 @@ def test_html_visibility(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><th>A<th hidden>no<th>B<tr><td>1<td style='display:none'>no<td>2</table>", "A | B\n1 | 2"),
+        ("<table><tr><td>1<td style='visibility:hidden'>no<td>3<tr><td>4<td>5<td>6</table>", "1 |   | 3\n4 | 5 | 6"),
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a | b | c\n  | d | e\nf | g | h"),
+        ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td rowspan=2>e<tr><td>f</table>", "a | b | c\nd |   | e\nf |   |"),
+        ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>e<td>f<td>g</table>", "ab    | c\n      | d\ne | f | g"),
+        ("<table><thead><tr><th rowspan=9>a<th>b<tbody><tr><td>1<td rowspan=0>2<tr><td>3<tr><td>4<tfoot><tr><td>5<td>6</table>", "a | b\n1 | 2\n3 |\n4 |\n5 | 6"),
+        ("<table><tr><td>a<td>b<td rowspan=2>c<tr><td>d</table>", "a | b | c\nd |   |"),
+    ],
+)
+def test_html_cells(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_visible_words(spark):
     """On made-up pages every visible word comes out, once and in order, and no hidden one."""
     rng = random.Random(10)
