@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a run of anything but the six ASCII blanks.
 GAP = r"[\x20\x09-\x0D]+"
@@ -23,11 +25,13 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of the warehouse, which is shared too, or with a local master, as in tests, a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
+    if not found and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         found = tempfile.mkdtemp(prefix="ledgerloom-")
+    if not found:
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerloom-{uuid.uuid4().hex}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
@@ -64,3 +68,35 @@ def own_names(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """(df with its columns called _in0, _in1 and so on, the new name of each): whatever the input's columns are called, they can't meet an operator's own.
+
+    names are needed columns, see ``own_names``. ``restored`` brings the names back.
+    """
+    own_names(df, *names)
+    new = [f"_in{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new, strict=True))
+
+
+def restored(df: DataFrame, at: dict[str, str], skip: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a frame that was set aside under their own names, but those in skip."""
+    return [F.col(new).alias(old) for old, new in at.items() if old not in skip]
+
+
+def row_keys(*cols: Column) -> list[Column]:
+    """Two hashes of the columns, _k1 and _k2, that tell rows apart by 128 bits."""
+    return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(7), *cols).alias("_k2")]
+
+
+def sums_before(df: DataFrame, key: list[str], order: str, value: str, to: str, run: int = 4096) -> DataFrame:
+    """df (one row for each key and order, an int from 0) with to: the sum of value over the key's rows of smaller order.
+
+    Runs of orders are summed first, so no task orders all rows of a key, only its runs.
+    """
+    part = df.withColumn("_run", F.expr(f"`{order}` div {run}"))
+    runs = part.groupBy(*key, "_run").agg(F.sum(value).alias("_all"))
+    runs = runs.select(*key, "_run", (F.sum("_all").over(Window.partitionBy(*key).orderBy("_run")) - F.col("_all")).alias("_ahead"))
+    inside = F.sum(value).over(Window.partitionBy(*key, "_run").orderBy(order)) - F.col(value)
+    return part.withColumn("_inside", inside).join(runs, [*key, "_run"]).withColumn(to, F.col("_ahead") + F.col("_inside")).drop("_run", "_ahead", "_inside")

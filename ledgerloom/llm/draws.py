@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Past this many nodes the level is dealt over tasks.
 SPREAD_AT = 64
+#: Levels of the tree whose sizes one array holds.
+TIER = 12
 
 
 def univariate(total: str, good: str, n: str, seed: str) -> str:
@@ -48,16 +50,24 @@ def matrix(sizes: DataFrame, caps: DataFrame, levels: int, seed: int) -> DataFra
     """A row for each of 2**levels rows: row int, counts and offsets array<bigint> by colour.
 
     sizes: row int (from 0; absent rows are empty), n bigint. caps: one row, caps array<bigint>; both sum to the same.
-    offsets are the counts of all rows before. The one gathered array has 2**levels numbers, which the caller bounds.
+    offsets are the counts of all rows before. An array holds the sizes of 2**TIER rows at most: a deeper tree is drawn
+    from its upper part, whose rows are runs of those below.
     """
-    full = f"transform(sequence(0, {2**levels - 1}), i -> coalesce(element_at(m, i), 0L))"
-    root = sizes.agg(F.expr("map_from_entries(collect_list(struct(cast(row as int), cast(n as bigint)))) as m")).select(F.expr(full).alias("sizes"))
-    nodes = root.crossJoin(F.broadcast(caps.select("caps"))).select(F.lit(0).alias("row"), "sizes", "caps", F.expr("transform(caps, c -> 0L)").alias("offs"))
-    for level in range(levels):
-        half = 2 ** (levels - level - 1)
+    depth = min(levels, TIER)
+    held = sizes.groupBy(F.expr(f"cast(shiftright(row, {depth}) as int)").alias("row")).agg(F.expr(f"map_from_entries(collect_list(struct(cast(row & {2**depth - 1} as int), cast(n as bigint))))").alias("m"))
+    if levels > TIER:
+        coarse = sizes.groupBy(F.expr(f"cast(shiftright(row, {depth}) as int)").alias("row")).agg(F.sum("n").alias("n"))
+        above = matrix(coarse, caps, levels - depth, seed).select("row", F.col("counts").alias("caps"), F.col("offsets").alias("offs"))
+        nodes = above.join(held, "row", "left")
+    else:
+        root = caps.select(F.lit(0).alias("row"), "caps", F.expr("transform(caps, c -> 0L)").alias("offs"))
+        nodes = root.join(held, "row", "left")
+    nodes = nodes.select("row", F.expr(f"transform(sequence(0, {2**depth - 1}), i -> coalesce(element_at(m, i), 0L))").alias("sizes"), "caps", "offs")
+    for level in range(depth):
+        half = 2 ** (depth - level - 1)
         add = "(s, x) -> s + x"
         nodes = nodes.withColumn("n", F.expr(f"aggregate(slice(sizes, 1, {half}), 0L, {add})")).withColumn("total", F.expr(f"aggregate(sizes, 0L, {add})"))
-        nodes = nodes.withColumn("left", F.expr(_split("caps", "total", "n", f"{seed}L, {level}, row")))
+        nodes = nodes.withColumn("left", F.expr(_split("caps", "total", "n", f"{seed}L, {levels - depth + level}, row")))
         nodes = nodes.select(
             F.explode(
                 F.expr(
@@ -66,6 +76,6 @@ def matrix(sizes: DataFrame, caps: DataFrame, levels: int, seed: int) -> DataFra
                 )
             ).alias("x")
         ).select("x.*")
-        if 2 ** (level + 1) == SPREAD_AT:
+        if levels == depth and 2 ** (level + 1) == SPREAD_AT:
             nodes = nodes.repartition(SPREAD_AT, "row")
     return nodes.select("row", F.col("caps").alias("counts"), F.col("offs").alias("offsets"))

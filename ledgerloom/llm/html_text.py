@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names
+from .common import restored, set_aside
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is one text up to their end tag.
@@ -480,19 +480,22 @@ def extract(pages: DataFrame, column: str = "html", to: str = "text", keep: list
     """pages with to (the visible text of column); keep names the other columns to carry, all but column unless given.
 
     A null page has a null text, an empty one or one without visible text an empty one. No row depends on another, so
-    nothing is shuffled. A column of pages called like to is replaced.
+    nothing is shuffled. A column of pages called like to is replaced, all
+    others pass, whatever they are called.
     """
-    own_names(pages, column)
-    rest = [c for c in (pages.columns if keep is None else keep) if c not in (column, to)]
-    rows = pages.select(*rest, F.col(column).cast("string").alias("_html"))
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest) + (", " if rest else "") + f"`{to}` string"
+
+    held, at = set_aside(pages, column)
+    rest = {old: new for old, new in at.items() if old not in (column, to) and (keep is None or old in keep)}
+    rows = held.select(*rest.values(), F.col(at[column]).cast("string").alias("_html"))
+    schema = "".join(f"{new} {rows.schema[new].dataType.simpleString()}, " for new in rest.values()) + "_text string"
 
     def run(batches):
         for batch in batches:
             texts = pa.array([page_text(x) for x in batch.column("_html").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], texts], names=[*rest, to])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest.values()], texts], names=[*rest.values(), "_text"])
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out.select(*restored(out, rest), F.col("_text").alias(to))
 
 
 def op6_html_extraction(spark, sf_dir):

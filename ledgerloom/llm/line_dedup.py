@@ -10,30 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_names
+from .common import row_keys, set_aside
 
 #: The six ASCII blanks, as they are written in a SQL literal.
 _BLANKS = r"\t\n\u000b\u000c\r "
 
 
-def _keyed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep with the row keys _k1 and _k2."""
-    own = [F.col(c) for c in (["doc_id"] if "doc_id" in docs.columns else []) + [text]]
-    return docs.select(*keep, F.xxhash64(*own).alias("_k1"), F.xxhash64(F.lit(7), *own).alias("_k2"))
-
-
 def _lines(rows: DataFrame, text: str) -> DataFrame:
     """rows with the lines _all (array) and the trimmed copies _w of those with a word (place p from 0, line l)."""
     trimmed = f"filter(transform(_all, (x, p) -> named_struct('p', p, 'l', trim(both '{_BLANKS}' from x))), x -> x.l != '')"
     return rows.withColumn("_all", F.split(text, "\n")).withColumn("_w", F.coalesce(F.expr(trimmed), F.expr("cast(array() as array<struct<p: int, l: string>>)")))
 
 
-def windows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each window: doc_id, _k1, _k2, i (its first line's rank, from 1), h1, h2 (128 bits of its three lines)."""
+def _windows(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     three = "slice(l, i, 3)"
-    rows = _lines(_keyed(docs, text, list(dict.fromkeys(["doc_id", text]))), text).select("doc_id", "_k1", "_k2", F.expr("transform(_w, x -> x.l)").alias("l")).filter("size(l) >= 3")
+    lines = _lines(rows.select(F.col(doc_id).alias("doc_id"), *row_keys(F.col(doc_id), F.col(text)), F.col(text).alias("_text")), "_text")
+    lines = lines.select("doc_id", "_k1", "_k2", F.expr("transform(_w, x -> x.l)").alias("l")).filter("size(l) >= 3")
     each = f"transform(sequence(1, size(l) - 2), i -> named_struct('i', i, 'h1', xxhash64({three}), 'h2', xxhash64(7, {three})))"
-    return rows.select("doc_id", "_k1", "_k2", F.explode(F.expr(each)).alias("x")).select("doc_id", "_k1", "_k2", "x.*")
+    return lines.select("doc_id", "_k1", "_k2", F.explode(F.expr(each)).alias("x")).select("doc_id", "_k1", "_k2", "x.*")
+
+
+def windows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each window: doc_id, _k1, _k2 (the row's key), i (its first line's rank, from 1), h1, h2 (128 bits of its three lines).
+
+    Null and empty texts, and those of under three lines with a word, have none; rows that are equal in doc_id and text
+    have equal windows; a null doc_id stays null. Other columns of docs are passed over, whatever they are called.
+    """
+    rows, at = set_aside(docs, "doc_id", text)
+    return _windows(rows, at["doc_id"], at[text])
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,30 +45,30 @@ def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_lines counts lines with a word. A text that loses nothing stays as it is, byte for byte; one that loses every line
     with a word becomes empty. Null texts stay null, and texts of under three such lines have no window. Rows with one
-    doc_id and one text are one occurrence; a null doc_id comes before all others.
+    doc_id and one text are one occurrence; a null doc_id comes before all others. Columns of docs called n_lines or
+    n_removed are replaced, all others pass, whatever they are called.
 
     The counts of windows are combined before the shuffle. What is joined to the windows is the repeated ones only, so a
     passage in a third of all texts is one row there, and its many occurrences are split among tasks as a skewed join.
     """
-    own_names(docs, "doc_id", text)
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    w = windows(docs, text)
+    rows, at = set_aside(docs, "doc_id", text)
+    doc, own = at["doc_id"], at[text]
+    w = _windows(rows, doc, own)
     place = F.struct("doc_id", "_k1", "i")
     repeated = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
     later = w.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     starts = later.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("i")).alias("_s"))
     # Only the text goes through the join; it is split after it.
-    joined = _lines(_keyed(docs, text, rest).join(starts, ["_k1", "_k2"], "left"), text)
+    keyed = rows.select("*", *row_keys(F.col(doc), F.col(own)))
+    joined = _lines(keyed.join(starts, ["_k1", "_k2"], "left"), own)
     # Runs of covered ranks: a window that shares a line with the one before continues its run.
     runs = joined.withColumns({"_a": F.expr("filter(_s, (s, k) -> k = 0 or s > _s[k - 1] + 2)"), "_b": F.expr("filter(_s, (s, k) -> k = size(_s) - 1 or get(_s, k + 1) > s + 2)")})
     runs = runs.withColumn("_r", F.expr("zip_with(_a, _b, (a, b) -> named_struct('a', a, 'b', b + 2, 'from', _w[a - 1].p, 'to', _w[b + 1].p))"))
     left = "array_join(filter(_all, (x, p) -> not exists(_r, r -> p between r.from and r.to)), '\\n')"
-    out = {
-        text: F.when(F.col("_r").isNull(), F.col(text)).otherwise(F.expr(left)),
-        "n_lines": F.size("_w").cast("long"),
-        "n_removed": F.expr("aggregate(coalesce(_r, array()), 0L, (n, r) -> n + r.b - r.a + 1)"),
-    }
-    return runs.select(*[out[c].alias(c) if c in out else F.col(c) for c in [*rest, "n_lines", "n_removed"]])
+    kept = F.when(F.col("_r").isNull(), F.col(own)).otherwise(F.expr(left))
+    removed = F.expr("aggregate(coalesce(_r, array()), 0L, (n, r) -> n + r.b - r.a + 1)")
+    columns = [(kept if old == text else F.col(new)).alias(old) for old, new in at.items() if old not in ("n_lines", "n_removed")]
+    return runs.select(*columns, F.size("_w").cast("long").alias("n_lines"), removed.alias("n_removed"))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -79,7 +83,7 @@ n AS (SELECT doc_id, p, a[p] AS raw, trim(a[p], chr(9) || chr(10) || chr(11) ||
 o AS (SELECT doc_id, p, t, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i,
         lead(t) OVER w AS t2, lead(t, 2) OVER w AS t3, lead(p, 2) OVER w AS p3
       FROM n WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-r AS (SELECT doc_id, p, p3, row_number() OVER (PARTITION BY t, t2, t3 ORDER BY doc_id, i) AS nth FROM o WHERE t3 IS NOT NULL),
+r AS (SELECT doc_id, p, p3, row_number() OVER (PARTITION BY t, t2, t3 ORDER BY doc_id NULLS FIRST, i) AS nth FROM o WHERE t3 IS NOT NULL),
 g AS (SELECT DISTINCT n.doc_id, n.p FROM n JOIN r ON n.doc_id = r.doc_id AND n.p BETWEEN r.p AND r.p3 WHERE r.nth > 1),
 k AS (SELECT n.doc_id, count(*) FILTER (n.t <> '')::BIGINT AS n_lines, count(*) FILTER (n.t <> '' AND g.p IS NOT NULL)::BIGINT AS n_removed,
         coalesce(string_agg(n.raw, chr(10) ORDER BY n.p) FILTER (g.p IS NULL), '') AS text

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import draws
-from .common import cut, n_words, own_names, permuted
+from .common import cut, n_words, permuted, row_keys, set_aside, sums_before
 
 BLOCK = 256
 #: Slots that an output shard holds about, and rows of a source that one task orders.
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 2_000
-MAX_LEVELS = 17
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
@@ -59,18 +58,22 @@ def _slots_for(sources: DataFrame, block: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ceiling: float = 2.0, block: int = BLOCK, seed: int = 1, text: str = "text", source: str = "source", bucket_rows: int = BUCKET_ROWS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(spans, rows) for docs with doc_id, text and source; ceiling is 2 at most.
 
-    rows: for each row of docs _rid, doc_id, _h (a hash of doc_id and text), source, size (long, words; a null text has
+    rows: for each row of docs _rid, doc_id, _k1 and _k2 (hashes of doc_id and text), source, size (long, words; a null text has
     none), source_size, target. spans: what the mix takes, in order of shard and place (its slot in the shard): _rid,
-    doc_id, _h, source, epoch (pass, 0 or 1), block, start (first word in the document, from 0) and n (words). Each
+    doc_id, source, epoch (pass, 0 or 1), block, start (first word in the document, from 0) and n (words). Each
     source's words come to its target, rounded. A null source is a source; empty tables give empty ones; repeated rows
-    each have their own place. Sources are ordered inside hash buckets, so a source with most rows is spread over tasks;
+    each have their own place; other columns of docs are passed over, whatever they are called. Sources are ordered inside hash buckets, so a source with most rows is spread over tasks;
     the sources themselves are taken to be few (one array of them is held).
     """
-    own_names(docs, "doc_id", text, source)
+    rows, at = set_aside(docs, "doc_id", text, source)
+    return _mix(rows, at["doc_id"], at[text], at[source], weights, share, ceiling, block, seed, bucket_rows, shard_slots)
+
+
+def _mix(docs: DataFrame, doc_id: str, text: str, source: str, weights=(5.0, 2.0, 1.0), share: float = 1.5, ceiling: float = 2.0, block: int = BLOCK, seed: int = 1, bucket_rows: int = BUCKET_ROWS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     if not 0 < ceiling <= 2:
         raise ValueError("ceiling must be above 0 and at most 2")
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("!"))
-    thin = cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id"), F.xxhash64("doc_id", text).alias("_h"), F.col(source).alias("source"), key.alias("_s"), n_words(F.col(text)).alias("size")))
+    thin = cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).alias("doc_id"), *row_keys(F.col(doc_id), F.col(text)), F.col(source).alias("source"), key.alias("_s"), n_words(F.col(text)).alias("size")))
     sources = thin.groupBy("_s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     sources = cut(_slots_for(targets(sources, tuple(weights), share, ceiling), block, seed))
     n, total = thin.count(), sources.agg(F.sum("slots")).first()[0] or 0
@@ -78,14 +81,14 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ceiling: f
     rows = thin.join(small.select("_s", "number", "source_size", "target"), "_s")
 
     buckets = max(1, -(-n // bucket_rows))
-    spread = rows.filter("size > 0").withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
+    spread = rows.filter("size > 0").withColumn("_b", F.pmod("_k1", F.lit(buckets)).cast("int"))
     held = spread.groupBy("number", "_b").agg(F.sum("size").alias("_t"))
-    base = held.select("number", "_b", (F.sum("_t").over(Window.partitionBy("number").orderBy("_b")) - F.col("_t")).alias("_base"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("number", "_b").orderBy("_h", "doc_id", "_rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums_before(held, ["number"], "_b", "_t", "_base").select("number", "_b", "_base")
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("number", "_b").orderBy("_k1", "_k2", "_rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stream = spread.withColumn("_in", inside).join(base, ["number", "_b"]).withColumn("at", F.col("_base") + F.col("_in"))
-    pieces = stream.select("_rid", "doc_id", "_h", "source", "number", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
+    pieces = stream.select("_rid", "doc_id", "source", "number", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
 
-    levels = min(MAX_LEVELS, max(0, (-(-total // shard_slots) - 1).bit_length()))
+    levels = max(0, (-(-total // shard_slots) - 1).bit_length())
     r = 2**levels
     sizes = docs.sparkSession.range(r).select(F.col("id").cast("int").alias("row"), F.expr(f"{total // r}L + if(id < {total % r}, 1L, 0L)").alias("n"))
     caps = sources.agg(F.expr("transform(sort_array(collect_list(struct(number, slots))), x -> x.slots)").alias("caps")).filter("size(caps) > 0")
@@ -107,8 +110,8 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5, ceiling: f
     spans = slots.join(pieces, ["number", "block"])
     first = f"greatest(at, block * {block}L)"
     spans = spans.withColumn("n", F.expr(f"least(least(at + size, (block + 1) * {block}L) - {first}, quota - ({first} - block * {block}L))")).filter("n > 0")
-    spans = spans.select("shard", "place", "_rid", "doc_id", "_h", "source", "epoch", "block", F.expr(f"{first} - at").alias("start"), "n")
-    return spans, rows.select("_rid", "doc_id", "_h", "source", "size", "source_size", "target")
+    spans = spans.select("shard", "place", "_rid", "doc_id", "source", "epoch", "block", F.expr(f"{first} - at").alias("start"), "n")
+    return spans, rows.select("_rid", "doc_id", "_k1", "_k2", "source", "size", "source_size", "target")
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
@@ -117,24 +120,30 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     return rows.join(spans.groupBy("_rid").agg(F.sum("n").alias("taken")), "_rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix as documents: for each row of docs and pass that takes of it, its columns with the taken words as text.
 
     A row taken whole keeps its text byte for byte; otherwise the taken words stand with the blanks between them. A column
-    n_chars, if there, follows the text. Rows without words, and those of which nothing is taken, have no row.
+    n_chars, if there, follows the text; all others pass, whatever they are called. Rows without words, and those of which
+    nothing is taken, have no row.
     """
-    spans, rows = mix(docs, text=text, **how)
-    twin = Window.partitionBy("_h", "doc_id")
-    names = rows.select("_rid", F.row_number().over(twin.orderBy("_rid")).alias("_n"))
-    parts = spans.groupBy("_rid", "_h", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("_p"), F.sum("n").alias("_t")).join(names, "_rid")
-    own = docs.withColumns({"_h": F.xxhash64("doc_id", text), "_size": n_words(F.col(text))})
+    own, at = set_aside(docs, "doc_id", text, source)
+    doc, held = F.col(at["doc_id"]), at[text]
+    spans, rows = _mix(own, at["doc_id"], held, at[source], **how)
+    # Rows that are equal in doc_id and text share the spans of all of them, one each.
+    twin = Window.partitionBy("_k1", "_k2")
+    names = rows.select("_rid", "_k1", "_k2", F.row_number().over(twin.orderBy("_rid")).alias("_n"))
+    parts = spans.groupBy("_rid", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("_p"), F.sum("n").alias("_t")).join(names, "_rid")
+    own = own.select("*", *row_keys(doc, F.col(held)), n_words(F.col(held)).alias("_size"))
     own = own.withColumn("_n", F.row_number().over(twin.orderBy("_size")))
-    out = own.join(parts, ["_h", "_n"])
-    cut_out = F.expr(f"rtrim(array_join(flatten(transform(_p, x -> slice(regexp_extract_all({text}, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0), cast(x.start + 1 as int), cast(x.n as int)))), ''))")
-    changed = {text: F.when(F.col("_t") == F.col("_size"), F.col(text)).otherwise(cut_out)}
+    out = own.join(parts, ["_k1", "_k2", "_n"])
+    # The words are cut once for all spans of a row.
+    pieces = f"regexp_extract_all({held}, '[^\\\\x20\\\\x09-\\\\x0D]+[\\\\x20\\\\x09-\\\\x0D]*', 0)"
+    cut_out = F.expr(f"transform(array({pieces}), w -> rtrim(array_join(flatten(transform(_p, x -> slice(w, cast(x.start + 1 as int), cast(x.n as int)))), '')))[0]")
+    changed = {text: F.when(F.col("_t") == F.col("_size"), F.col(held)).otherwise(cut_out)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(changed[text]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return out.select(*[changed.get(old, F.col(new)).alias(old) for old, new in at.items()])
 
 
 def op1_mixing(spark, sf_dir):

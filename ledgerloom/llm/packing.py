@@ -11,8 +11,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import own_names, words
+from .common import cut, row_keys, set_aside, words
 
 CAPACITY = 1024
 MAX_PER_SOURCE = 4
@@ -88,29 +89,29 @@ def pack_group(sizes: list[int], sources: list, clusters: list, capacity: int, p
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, cluster: str | None = None, text: str = "text", source: str = "source", group_pieces: int = GROUP_PIECES, seed: int = 1) -> DataFrame:
-    """The pieces of docs with their bins: doc_id, source, piece (int, from 0), start and n (long, words), text, bin (long), offset (long).
+def _plan(rows: DataFrame, doc_id: str, text: str, source: str, cluster: str | None, capacity: int, max_per_source: int, group_pieces: int, seed: int) -> DataFrame:
+    """doc_id, source, _k1, _k2 (the row's key), copy, piece, start, n, bin, offset: pieces as numbers, no text among them.
 
-    A text longer than capacity is cut into pieces of that length and a rest. No bin holds over capacity words, two pieces
-    of one cluster (the column named, else equal words whatever their case) or over max_per_source pieces of one source.
-    Null and empty texts give one row with n 0 and no bin. A null source is a source. Bins are numbered group by group.
+    Rows that are equal in doc_id, text, source and cluster are one row and a count until their pieces are made.
     """
-    own_names(docs, "doc_id", text, source)
-    same = F.col(cluster).cast("string") if cluster else F.concat_ws("-", F.xxhash64(words(F.lower(text))), F.xxhash64(F.lit(7), words(F.lower(text))))
-    held = r"regexp_extract_all(coalesce(_text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)"
-    rows = docs.select("doc_id", F.col(source).cast("string").alias("source"), same.alias("_c"), F.xxhash64(F.lit(seed), "doc_id", text).alias("_h"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_w", F.expr(held))
-    cuts = f"transform(sequence(0, greatest(0, size(_w) - 1) div {capacity}), p -> named_struct('piece', p, 'n', cast(least({capacity}, size(_w) - p * {capacity}) as bigint), 'text', array_join(slice(_w, p * {capacity} + 1, {capacity}), '')))"
-    pieces = rows.select("doc_id", "source", "_c", "_h", F.explode(F.expr(cuts)).alias("x")).select("doc_id", "source", "_c", "_h", "x.*")
-    pieces = pieces.withColumn("start", (F.col("piece") * capacity).cast("long"))
-    per = F.floor((F.size(words(F.col(text))) + capacity - 1) / capacity)
-    groups = max(1, -(-(docs.agg(F.sum(F.greatest(per, F.lit(1)))).first()[0] or 0) // group_pieces))
-    pieces = pieces.withColumn("_g", F.pmod(F.xxhash64("_h", "piece"), F.lit(groups)))
-    kept = ["doc_id", "source", "piece", "start", "n", "text", "bin", "offset"]
+    low = F.lower(F.col(text))
+    # The words are cut once for the count and both hashes.
+    of = F.transform(F.array(words(low)), lambda w: F.struct(F.size(w).cast("long").alias("size"), F.concat_ws("-", F.xxhash64(w), F.xxhash64(F.lit(7), w)).alias("c")))[0]
+    own = F.col(cluster).cast("string") if cluster else F.lit("")
+    thin = rows.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("_own"), *_keys(doc_id, text, source, cluster), of.alias("_w"))
+    thin = thin.groupBy("_k1", "_k2").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("_own").alias("_own"), F.first("_w").alias("_w"), F.count(F.lit(1)).alias("copies"))
+    thin = cut(thin.select("doc_id", "source", "_k1", "_k2", F.col("_w.size").alias("_size"), (F.col("_own") if cluster else F.col("_w.c")).alias("_c"), "copies"))
+    per = F.expr(f"greatest(1L, (_size + {capacity - 1}) div {capacity}) * copies")
+    groups = max(1, -(-(thin.agg(F.sum(per)).first()[0] or 0) // group_pieces))
+    each = thin.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).drop("copies")
+    pieces = each.withColumn("piece", F.explode(F.expr(f"sequence(0, cast(greatest(0, _size - 1) div {capacity} as int))")))
+    pieces = pieces.withColumns({"start": F.expr(f"cast(piece as bigint) * {capacity}"), "n": F.expr(f"least({capacity}L, _size - cast(piece as bigint) * {capacity})")}).drop("_size")
+    pieces = pieces.withColumn("_h", F.xxhash64(F.lit(seed), "_k1", "_k2", "copy")).withColumn("_g", F.pmod(F.xxhash64("_h", "piece"), F.lit(groups)))
+    kept = ["doc_id", "source", "_k1", "_k2", "copy", "piece", "start", "n", "bin", "offset"]
     types = {f.name: f.dataType.simpleString() for f in pieces.schema.fields} | {"bin": "bigint", "offset": "bigint"}
 
     def kernel(key, table):
-        table = table.sort_by([("_h", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("_h", "ascending"), ("piece", "ascending"), ("_k1", "ascending"), ("_k2", "ascending"), ("copy", "ascending")])
         sizes = table["n"].to_pylist()
         full = [i for i, n in enumerate(sizes) if n]
         source_of, cluster_of = table["source"].to_pylist(), table["_c"].to_pylist()
@@ -124,9 +125,42 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PE
     return pieces.groupBy("_g").applyInArrow(kernel, ", ".join(f"{c} {types[c]}" for c in kept))
 
 
+def _keys(doc_id: str, text: str, source: str, cluster: str | None) -> list:
+    return row_keys(*[F.col(c) for c in (doc_id, text, source, *([cluster] if cluster else []))])
+
+
+def plan(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, cluster: str | None = None, text: str = "text", source: str = "source", group_pieces: int = GROUP_PIECES, seed: int = 1) -> DataFrame:
+    """As ``pack``, but without the pieces' texts: doc_id, source, piece, start, n, bin, offset."""
+    rows, at = set_aside(docs, "doc_id", text, source, *([cluster] if cluster else []))
+    out = _plan(rows, at["doc_id"], at[text], at[source], at.get(cluster), capacity, max_per_source, group_pieces, seed)
+    return out.select("doc_id", "source", "piece", "start", "n", "bin", "offset")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, cluster: str | None = None, text: str = "text", source: str = "source", group_pieces: int = GROUP_PIECES, seed: int = 1) -> DataFrame:
+    """The pieces of docs with their bins: doc_id, source, piece (int, from 0), start and n (long, words), text, bin (long), offset (long).
+
+    A text longer than capacity is cut into pieces of that length and a rest. No bin holds over capacity words, two pieces
+    of one cluster (the column named, else equal words whatever their case) or over max_per_source pieces of one source.
+    Null and empty texts give one row with n 0 and no bin. A null source is a source, a null cluster has no duplicate,
+    repeated rows are packed each for itself. Bins are numbered group by group. Other columns of docs are left out,
+    whatever they are called. Bins are found for numbers alone; the texts are joined and cut afterwards.
+    """
+    rows, at = set_aside(docs, "doc_id", text, source, *([cluster] if cluster else []))
+    names = at["doc_id"], at[text], at[source], at.get(cluster)
+    placed = _plan(rows, *names, capacity, max_per_source, group_pieces, seed)
+    per = placed.groupBy("_k1", "_k2", "copy").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.collect_list(F.struct("piece", "start", "n", "bin", "offset")).alias("_p"))
+    # One of the rows with a key has the text for all of them.
+    own = rows.select(*_keys(*names), F.col(at[text]).alias("_text")).withColumn("_n", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))).filter("_n = 1").drop("_n")
+    joined = own.join(per, ["_k1", "_k2"])
+    held = r"regexp_extract_all(coalesce(_text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)"
+    whole = "named_struct('piece', p.piece, 'start', p.start, 'n', p.n, 'text', array_join(slice(w, cast(p.start + 1 as int), cast(p.n as int)), ''), 'bin', p.bin, 'offset', p.offset)"
+    out = joined.select("doc_id", "source", F.explode(F.expr(f"transform(array({held}), w -> transform(_p, p -> {whole}))[0]")).alias("x"))
+    return out.select("doc_id", "source", "x.*")
+
+
 def op3_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return pack(docs).drop("text")
+    return plan(docs)
 
 
 QUERIES = {"op3_packing": op3_packing}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, own_names, words
+from .common import GAP, restored, set_aside, words
 
 #: Rule, bit by place; each is SQL over the measurements and true where the rule fails. A bit never changes its meaning.
 RULES: dict[str, str] = {
@@ -45,18 +45,11 @@ POLICIES = {p.version: p for p in (BASE, Policy("1", ("few_words", "repeated_win
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs")
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the measurements (long) and failures (long, a bit for each failed rule).
-
-    Null and empty texts have no words and fail few_words. Columns of docs with a measurement's name are replaced; all
-    others pass. n_repeat_words: the words covered by eight-word windows whose words occur in the same text again. Windows
-    are held by a 64-bit hash, compared only inside one text, sorted with their places: neighbours with one hash are
-    repeats, and each covers as many new words as its distance to the next repeat, eight at most.
-    """
-    own_names(docs, text)
-    rest = [c for c in docs.columns if c not in MEASURES and c not in ("failures", "_t", "_w", "_h", "_s")]
+def _ledger(rows: DataFrame, text: str) -> DataFrame:
+    """rows, whose names were set aside, with the measurements and failures."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select(*rest, whole.alias("_t"), words(whole).alias("_w"))
+    rest = rows.columns
+    step = rows.select(*rest, whole.alias("_t"), words(whole).alias("_w"))
     step = step.select(
         *rest,
         F.size("_w").cast("long").alias("n_words"),
@@ -79,6 +72,20 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.select(*rest, "_m.*")
 
 
+def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the measurements (long) and failures (long, a bit for each failed rule).
+
+    Null and empty texts have no words and fail few_words. Repeated rows each have their own measurements. Columns of docs
+    with a measurement's name, or called failures, are replaced; all others pass, whatever they are called.
+    n_repeat_words: the words covered by eight-word windows whose words occur in the same text again. Windows are held by a
+    64-bit hash, compared only inside one text, sorted with their places: neighbours with one hash are repeats, and each
+    covers as many new words as its distance to the next repeat, eight at most.
+    """
+    rows, at = set_aside(docs, text)
+    led = _ledger(rows, at[text])
+    return led.select(*restored(led, at, (*MEASURES, "failures")), *MEASURES, "failures")
+
+
 def apply_policy(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """led with policy (its version) and kept."""
     return led.withColumns({"policy": F.lit(policy.version), "kept": F.col("failures").bitwiseAND(F.lit(policy.mask)) == 0})
@@ -96,8 +103,10 @@ def ablation(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 
 def filtered(docs: DataFrame, policy: Policy = DEFAULT, text: str = "text") -> DataFrame:
-    """The rows of docs that policy keeps, with the columns of docs."""
-    return apply_policy(ledger(docs, text), policy).filter("kept").select(*docs.columns)
+    """The rows of docs that policy keeps, with the columns of docs as they are."""
+    rows, at = set_aside(docs, text)
+    kept = _ledger(rows, at[text]).filter(F.col("failures").bitwiseAND(F.lit(policy.mask)) == 0)
+    return kept.select(*restored(kept, at))
 
 
 def op8_quality_rules(spark, sf_dir):

@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import draws
-from .common import own_names, permuted
+from .common import permuted, restored, set_aside
 
-#: Rows that a bucket holds about; at most 2**MAX_LEVELS buckets.
-BUCKET_ROWS = 50_000
-MAX_LEVELS = 17
+#: Rows that a bucket holds about.
+BUCKET_ROWS = 4096
 #: Rows of a shard that one task writes.
-CHUNK_ROWS = 50_000
-_OWN = ("_b", "_r", "_tie", "_i", "shard", "slot")
+CHUNK_ROWS = 4096
 
 
 def shard(rows: DataFrame, n_shards: int, seed: int = 1, key: list[str] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -28,31 +26,36 @@ def shard(rows: DataFrame, n_shards: int, seed: int = 1, key: list[str] | None =
 
     Shard sizes differ by one row at most. key: the columns that deal rows to buckets, all of them unless named; rows that
     agree in them share a bucket, so it should nearly identify a row. Whole equal rows may swap places, which can't be
-    seen. Nulls are values like any other; an empty table gives an empty one. Columns named shard or slot are replaced.
+    seen. Nulls are values like any other; an empty table gives an empty one. Columns named shard or slot are replaced,
+    all others pass, whatever they are called.
     """
-    rest = [c for c in rows.columns if c not in _OWN]
-    key = key or rest
-    own_names(rows, *key)
+    held, at = set_aside(rows, *(key or ()))
+    every = [F.col(c) for c in at.values()]
+    own = [F.col(at[c]) for c in key] if key else every
     n = rows.count()
-    levels = min(MAX_LEVELS, max(0, (-(-n // bucket_rows) - 1).bit_length()))
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
-    dealt = rows.select(*rest, F.pmod(h, F.lit(2**levels)).cast("int").alias("_b"), F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in key]).alias("_r"), F.xxhash64(*[F.col(c) for c in rest]).alias("_tie"))
-    sizes = rows.groupBy(F.pmod(h, F.lit(2**levels)).cast("int").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    levels = max(0, (-(-n // bucket_rows) - 1).bit_length())
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(2**levels)).cast("int")
+    # The hashes go through explode, as Catalyst would else rewrite what it knows of them for each subset of renamed columns.
+    hashes = F.struct(bucket.alias("_b"), F.xxhash64(F.lit(seed + 1), *own).alias("_r"), F.xxhash64(*every).alias("_tie"))
+    dealt = held.select("*", F.explode(F.array(hashes)).alias("_x")).select(*every, "_x.*")
+    sizes = held.groupBy(bucket.alias("row")).agg(F.count(F.lit(1)).alias("n"))
     caps = rows.sparkSession.range(1).select(F.expr(f"transform(sequence(0, {n_shards - 1}), j -> {n // n_shards}L + if(j < {n % n_shards}, 1L, 0L))").alias("caps"))
     plan = draws.matrix(sizes, caps, levels, seed).select(F.col("row").alias("_b"), "counts", "offsets")
     plan = plan.withColumn("ends", F.expr("transform(counts, (c, j) -> aggregate(slice(counts, 1, j + 1), 0L, (s, x) -> s + x))"))
     placed = dealt.withColumn("_i", (F.row_number().over(Window.partitionBy("_b").orderBy("_r", "_tie")) - 1).cast("long")).join(plan, "_b")
     placed = placed.withColumn("shard", F.expr("size(filter(ends, e -> e <= _i))"))
     rank = "offsets[shard] + _i - if(shard = 0, 0L, ends[shard - 1])"
-    held = f"({n // n_shards}L + if(shard < {n % n_shards}, 1L, 0L))"
-    placed = placed.select(*rest, "shard", F.expr(permuted(rank, held, f"{seed}L, shard")).alias("slot"))
+    most = f"({n // n_shards}L + if(shard < {n % n_shards}, 1L, 0L))"
+    placed = placed.select(*at.values(), "shard", F.expr(permuted(rank, most, f"{seed}L, shard")).alias("slot"))
     parts = max(n_shards, -(-n // CHUNK_ROWS))
-    return placed.repartition(parts, "shard", F.expr(f"slot div {CHUNK_ROWS}")).sortWithinPartitions("shard", "slot")
+    laid = placed.repartition(parts, "shard", F.expr(f"slot div {CHUNK_ROWS}")).sortWithinPartitions("shard", "slot")
+    return laid.select(*restored(laid, at, ("shard", "slot")), "shard", "slot")
 
 
 def op4_sharding(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = shard(docs, 40, key=["doc_id"])
+    # The whole row deals, so rows that share a doc_id are spread.
+    out = shard(docs, 40)
     text = F.coalesce(F.col("text"), F.lit(""))
     return out.select(
         "doc_id",

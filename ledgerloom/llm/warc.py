@@ -168,16 +168,24 @@ def archived(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
     return read(spark, path)
 
 
-def op9_warc(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    rec = archived(pages)
+def payloads(rec: DataFrame) -> DataFrame:
+    """For each record of ``read``: page_id, record_type, refers_to (page_ids, long), payload_bytes and payload_digest (bare hex SHA-1) of the full payload.
+
+    A revisit takes them from the response that has both the record id and the digest it names, so responses that share a
+    record id don't mix. A revisit whose response is missing keeps the digest it names, and its payload_bytes is null.
+    """
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
-    rec = rec.select(number("record_id").alias("page_id"), "record_type", number("refers_to_id").alias("refers_to"), F.octet_length("payload").cast("long").alias("_bytes"), F.sha1("payload").alias("_sha"))
-    # Rows that share the response's page_id are responses with one payload.
-    full = rec.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("_bytes", "_sha")).alias("x")).select("refers_to", F.col("x._bytes").alias("_b2"), F.col("x._sha").alias("_s2"))
-    alone, again = rec.filter("refers_to IS NULL"), rec.filter("refers_to IS NOT NULL").join(full, "refers_to")
+    named = F.regexp_replace(F.lower("digest"), "^sha1:", "")
+    rec = rec.select(number("record_id").alias("page_id"), "record_type", number("refers_to_id").alias("refers_to"), F.octet_length("payload").cast("long").alias("_bytes"), F.sha1("payload").alias("_sha"), named.alias("_named"))
+    full = rec.filter("refers_to IS NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("_sha").alias("_named")).agg(F.max("_bytes").alias("_full"))
+    alone, again = rec.filter("refers_to IS NULL"), rec.filter("refers_to IS NOT NULL").join(full, ["refers_to", "_named"], "left")
     cols = lambda b, s: ["page_id", F.col(b).alias("payload_bytes"), F.col(s).alias("payload_digest"), "record_type", "refers_to"]
-    return alone.select(*cols("_bytes", "_sha")).unionByName(again.select(*cols("_b2", "_s2")))
+    return alone.select(*cols("_bytes", "_sha")).unionByName(again.select(*cols("_full", "_named")))
+
+
+def op9_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return payloads(archived(pages))
 
 
 OP9_SQL = """

@@ -306,6 +306,18 @@ def test_warc_round_trip(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_warc_repeated_page_ids(spark):
+    """Responses that share a page_id don't mix: a revisit takes what has its own digest; without its response it keeps the digest alone."""
+    a, b = "a" * 1500, "b" * 2000
+    pages = spark.createDataFrame([(5, a), (9, a), (9, b), (None, b), (3, b), (3, None)], "page_id long, html string").withColumn("url", F.lit("u"))
+    rec = warc.archived(pages)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    got = sorted(map(tuple, warc.payloads(rec).collect()), key=str)
+    assert got == sorted([(5, 1500, sha(a), "revisit", 9), (9, 1500, sha(a), "response", None), (9, 2000, sha(b), "response", None), (None, 2000, sha(b), "response", None), (3, 2000, sha(b), "revisit", 9), (3, 0, sha(""), "response", None)], key=str)
+    lost = warc.payloads(rec.filter("record_type = 'revisit' AND record_id = '<urn:page:3>'")).collect()
+    assert [tuple(r) for r in lost] == [(3, None, sha(b), "revisit", 9)]
+
+
 def test_warc_broken_tail(spark, tmp_path):
     good = "WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
     (tmp_path / "w").mkdir()

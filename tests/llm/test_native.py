@@ -101,6 +101,20 @@ def test_matrix_margins_and_law(spark):
     assert 16 < sum(total) / len(total) < 24 and len(set(total)) > 3
 
 
+def test_matrix_in_tiers(spark, monkeypatch):
+    """A tree deeper than one array of sizes has the same margins."""
+    monkeypatch.setattr(draws, "TIER", 2)
+    n = {i: (i * 7) % 5 for i in range(32) if i % 9}
+    sizes = spark.createDataFrame(list(n.items()), "row int, n long")
+    total = sum(n.values())
+    caps = spark.createDataFrame([([total // 3, total - total // 3],)], "caps array<long>")
+    rows = {r.row: r for r in draws.matrix(sizes, caps, 5, 3).collect()}
+    assert {i: sum(r.counts) for i, r in rows.items()} == {i: n.get(i, 0) for i in range(32)}
+    for i in range(32):
+        assert list(rows[i].offsets) == [sum(rows[k].counts[j] for k in range(i)) for j in range(2)]
+    assert [sum(r.counts[j] for r in rows.values()) for j in range(2)] == [total // 3, total - total // 3]
+
+
 def test_univariate_law(spark):
     n = 4000
     got = Counter(r.x for r in spark.range(n).select(F.expr(draws.univariate("10L", "4L", "5L", "9L, id")).alias("x")).collect())
@@ -124,6 +138,13 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), 7).count() == 0 and sharding.shard(df.limit(2), 7).count() == 2
 
 
+def test_sharding_spreads_a_repeated_id(spark):
+    df = spark.createDataFrame([(7 if i % 4 else i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    out = sharding.shard(df, 5, bucket_rows=10).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in df.collect())
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(40)) for s in range(5))
+
+
 def test_sharding_is_uniform(spark):
     df = spark.range(60).select(F.col("id").alias("doc_id"))
     hits = Counter()
