@@ -1,13 +1,17 @@
 """Visible text of HTML pages, laid out as blocks, lists and aligned tables (operator 6).
 
-A tokenizer feeds a tree builder that supplies implied tags; visibility follows the element and its attributes; the
-rendering walks the tree with its own stack, so depth costs no recursion but for tables in table cells.
+A tokenizer feeds a tree builder that supplies implied tags; visibility follows the element, its attributes and what it
+inherits; the rendering walks the tree with its own stacks, tables in cells of tables too, so no depth is too great. Blanks
+that only align (padding of cells, places that cells above reach down to, indents) come from a stock that grows with the
+page, so no page gives more than a fixed multiple of its length; what has no stock left stands unaligned, but stands.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,8 +61,10 @@ ENDS_P = BLOCK - frozenset("body html li td th tr tbody thead tfoot caption opti
 WALLS = frozenset("table td th caption html template".split())
 HEAD = frozenset("title meta link style script base noscript template".split())
 
-#: Elements nested deeper stay without children of their own, which go to the innermost element that may have them.
-DEPTH = 512
+#: Characters of blanks and bars for alignment, for each character of a page, and for any page.
+ALIGN, ALIGN_LEAST = 16, 10_000
+#: Columns are as wide as their widest cell of up to so many characters; a wider one runs over its place.
+WIDE = 100
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -70,12 +76,12 @@ IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
 
 
 class Node:
-    """An element. how: "unseen" or "apart" (from what stands before) where svg or math says so."""
+    """An element. how: "unseen" or "apart" (from what stands before) where svg or math says so; inside: svg or math, if it is part of one."""
 
-    __slots__ = ("tag", "attrs", "kids", "how")
+    __slots__ = ("tag", "attrs", "kids", "how", "inside")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids, self.how = tag, attrs, [], ""
+    def __init__(self, tag: str, attrs: str = "", inside: str = ""):
+        self.tag, self.attrs, self.kids, self.how, self.inside = tag, attrs, [], "", inside
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -85,11 +91,11 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def hides(style: str) -> str:
-    """What a style's declarations come to: "none" (no box), "hidden" (a box without text) or "". The last of a property counts, important ones first."""
+def declared(style: str) -> tuple[str, str]:
+    """(display, visibility) of a style's declarations, "" where it has none. The last of a property counts, important ones first."""
     low = style.lower()
-    if "none" not in low and "hidden" not in low and "collapse" not in low:
-        return ""
+    if "display" not in low and "visibility" not in low:
+        return "", ""
     value: dict[str, tuple[bool, str]] = {}
     for d in DECLARATION.findall(COMMENT.sub(" ", low)):
         name, colon, rest = d.partition(":")
@@ -97,9 +103,7 @@ def hides(style: str) -> str:
         must = plain != rest.strip()
         if colon and plain and (must or not value.get(name, (False,))[0]):
             value[name] = must, plain
-    if value.get("display", (False, ""))[1] == "none":
-        return "none"
-    return "hidden" if value.get("visibility", (False, ""))[1] in ("hidden", "collapse") else ""
+    return value.get("display", (False, ""))[1], value.get("visibility", (False, ""))[1]
 
 
 def empty(attrs: str) -> bool:
@@ -108,21 +112,54 @@ def empty(attrs: str) -> bool:
     return bool(last) and ("=" not in last or '"' in last or "'" in last)
 
 
+class Open:
+    """The open elements, with the places of each tag, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {root.tag: [0]}
+        self.walls = [0] if root.tag in WALLS else []
+        #: For each open element the place of the svg or math that its next child is part of, or 0.
+        self.foreign = [0]
+
+    def push(self, node: Node) -> None:
+        i, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.places.setdefault(tag, []).append(i)
+        if tag in WALLS:
+            self.walls.append(i)
+        self.foreign.append(i if tag in FOREIGN else 0 if tag in ISLANDS else self.foreign[-1])
+
+    def cut(self, i: int) -> None:
+        """Close the elements from place i on."""
+        while len(self.stack) > i:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            self.foreign.pop()
+            if tag in WALLS:
+                self.walls.pop()
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def close(self, names: tuple, scope: tuple) -> None:
+        """Close the outermost open element of names inside scope."""
+        inside = max([0, *[self.last(tag) for tag in scope if tag not in names]])
+        found = [at[k] for tag in names if (at := self.places.get(tag)) and (k := bisect_right(at, inside)) < len(at)]
+        if found:
+            self.cut(min(found))
+
+
+#: End tags that reach past walls.
+PASSING = frozenset("table tr tbody thead tfoot html body".split())
+
+
 def parse(page: str) -> Node:
     """The tree of a page; every input has one. An unclosed tag or comment runs to the end."""
     root = Node("html")
-    stack = [root]
+    now = Open(root)
+    stack = now.stack
     at, n = 0, len(page)
-    met = False  # an svg or math so far
-
-    def foreign() -> int:
-        """Place in the stack of the svg or math that the next element is part of, or 0."""
-        for i in range(len(stack) - 1, 0, -1) if met else ():
-            if stack[i].tag in FOREIGN:
-                return i
-            if stack[i].tag in ISLANDS:
-                break
-        return 0
 
     def text(s: str) -> None:
         if s:
@@ -132,26 +169,15 @@ def parse(page: str) -> Node:
                 if not SPACE.sub("", s):
                     return
                 if tag == "head":
-                    stack.pop()
+                    now.cut(len(stack) - 1)
             stack[-1].kids.append(html.unescape(s) if "&" in s else s)
 
-    def close(names: tuple, scope: tuple) -> None:
-        """Close the outermost open element of names inside scope."""
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                found = i
-            elif stack[i].tag in scope:
-                break
-        if found:
-            del stack[found:]
-
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             text(page[at:])
             break
-        if met and page.startswith("<![CDATA[", lt) and foreign():
+        if now.foreign[-1] and page.startswith("<![CDATA[", lt):
             text(page[at:lt])
             end = page.find("]]>", lt)
             stack[-1].kids.append(page[lt + 9 : end if end >= 0 else n])
@@ -169,46 +195,38 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            if name in ("p", "br") and not any(x.tag == name for x in stack):
+            i = now.last(name)
+            if name in ("p", "br") and i < 0:
                 stack[-1].kids.append(Node(name))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    if name not in ("body", "html"):
-                        del stack[i:]
-                    break
-                if stack[i].tag in WALLS and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+            elif i > 0 and name not in ("body", "html") and (name in PASSING or not now.walls or now.walls[-1] <= i):
+                now.cut(i)
             continue
         if name in ("html", "body") and name in [x.tag for x in stack[:3]]:
             continue
         if stack[-1].tag == "head" and name not in HEAD:
-            stack.pop()
-        inside = foreign()
+            now.cut(len(stack) - 1)
+        inside = now.foreign[-1]
         if inside and name in BREAKOUT:
             # Also out of an svg around a math.
             while inside:
-                del stack[inside:]
-                inside = foreign()
+                now.cut(inside)
+                inside = now.foreign[-1]
         kind = stack[inside].tag if inside else ""
         if name in CLOSES:
-            close(*CLOSES[name])
+            now.close(*CLOSES[name])
         if name in ENDS_P:
-            close(("p",), ("table", "td", "th", "caption", "button", "blockquote", "div", "li", "ul", "ol"))
+            now.close(("p",), ("table", "td", "th", "caption", "button", "blockquote", "div", "li", "ul", "ol"))
         if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             stack[-1].kids.append(row)
-            stack.append(row)
-        node = Node(name, m[3])
+            now.push(row)
+        node = Node(name, m[3], kind)
         if inside:
-            a = attributes(m[3]) if kind == "svg" and ("display" in m[3] or "visibility" in m[3]) else {}
-            if name in FOREIGN[kind] or a and hides(f"display:{a.get('display', '')};visibility:{a.get('visibility', '')};{a.get('style', '')}"):
+            if name in FOREIGN[kind]:
                 node.how = "unseen"
             elif name == "text" or stack[-1].tag in PLACES and any(not isinstance(x, str) for x in stack[-1].kids):
                 node.how = "apart"
         stack[-1].kids.append(node)
-        if name in FOREIGN:
-            met = True
         if (inside or name in FOREIGN) and empty(m[3]):
             continue
         if name in RAW:
@@ -216,32 +234,62 @@ def parse(page: str) -> Node:
             body = page[at : end.start() if end else n]
             node.kids.append(html.unescape(body) if name in ("textarea", "title") else body)
             at = n if end is None else page.find(">", end.end()) + 1 or n
-        elif name not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+        elif name not in VOID:
+            now.push(node)
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or node.how == "unseen":
-        return False
+def look(node: Node, dim: bool) -> tuple[bool, bool]:
+    """(gone, dim) for a node where text is dim (not seen, but what it holds may be) or not: visibility is inherited, a box that isn't made is gone with all below."""
+    if node.tag in HIDDEN or node.how == "unseen" or node.tag == "input":
+        return True, dim
     low = node.attrs
     if not low or low.isspace():
-        return True
+        return node.tag == "dialog", dim
     low = low.lower()
-    if "hidden" not in low and "style" not in low and "open" not in low:
-        return True
+    drawn = node.inside == "svg" or node.tag == "svg"
+    if "hidden" not in low and "style" not in low and not (drawn and ("display" in low or "visibility" in low)):
+        return node.tag == "dialog" and "open" not in attributes(low), dim
     a = attributes(node.attrs)
-    return not ("hidden" in a and a["hidden"].lower() != "until-found" or hides(a.get("style", "")) or node.tag == "dialog" and "open" not in a or node.tag == "input")
+    display, visibility = declared(a.get("style", ""))
+    if drawn:
+        display, visibility = display or a.get("display", "").strip().lower(), visibility or a.get("visibility", "").strip().lower()
+    if "hidden" in a and a["hidden"].lower() != "until-found" or display == "none" or node.tag == "dialog" and "open" not in a:
+        return True, dim
+    if visibility == "collapse" and node.tag in ("tr", "tbody", "thead", "tfoot"):
+        return True, dim
+    return False, visibility != "visible" if visibility in ("hidden", "collapse", "visible") else dim
+
+
+def shown(node: Node) -> list:
+    """The children that may be seen: of closed details only the summary."""
+    if node.tag == "details" and "open" not in attributes(node.attrs):
+        return [x for x in node.kids if not isinstance(x, str) and x.tag == "summary"][:1]
+    return node.kids
+
+
+class Room:
+    """The stock of blanks for alignment that a page has."""
+
+    def __init__(self, size: int):
+        self.left = ALIGN * size + ALIGN_LEAST
+
+    def take(self, n: int) -> bool:
+        if n > self.left:
+            return False
+        self.left -= n
+        return True
 
 
 class Page:
     """Lines under construction: inline text collapses its blanks, blocks ask for line breaks, the most asked for wins."""
 
-    def __init__(self):
+    def __init__(self, room: Room):
+        self.room = room
         self.lines: list[str] = []
         self.now: list[str] = []
         self.want = 0
-        self.indent = [""]
+        self.indent = [0]
         self.mark = None
 
     def text(self, s: str) -> None:
@@ -261,10 +309,14 @@ class Page:
             self.lines.append("")
         self.want = 0
         if self.mark is not None:
-            self.now.append(self.indent[-2] + self.mark + " ")
+            self.now.append(self._margin(-2) + self.mark + " ")
             self.mark = None
         elif self.indent[-1]:
-            self.now.append(self.indent[-1])
+            self.now.append(self._margin(-1))
+
+    def _margin(self, level: int) -> str:
+        own = self.indent[level]
+        return " " * own if self.room.take(own) else ""
 
     def flush(self) -> None:
         if self.now:
@@ -286,11 +338,7 @@ class Page:
                 self.lines.append(("".join(self.now) + line).rstrip(" \r"))
                 self.now = []
             else:
-                self.lines.append((self.indent[-1] + line).rstrip(" \r"))
-
-
-#: Cells that reach down are carried over so many columns of a table; text in columns beyond may stand further left.
-CARRIED = 1000
+                self.lines.append((self._margin(-1) + line).rstrip(" \r"))
 
 
 def number(attrs: dict[str, str], name: str, most: int) -> int:
@@ -298,102 +346,146 @@ def number(attrs: dict[str, str], name: str, most: int) -> int:
     span = attrs.get(name, "").strip()
     if not (span.isascii() and span.isdigit()):
         return 1
-    n = min(int(span[:9]), most)
+    n = most if len(span.lstrip("0")) > 9 else min(int(span[-9:]), most)
     return n or (most if name == "rowspan" else 1)
 
 
-def cells(table: Node) -> tuple[list, list[list[tuple[Node | None, int]]]]:
-    """Nodes outside of rows, captions first, and rows of (cell, columns it spans); None where a cell above reaches down or a cell isn't seen but has its place."""
+def cells(table: Node, dim: bool, room: Room) -> tuple[list, list[list[tuple[Node | None, int, bool]]]]:
+    """(node, dim) outside of rows, and rows of (cell, columns it spans, dim); None where a cell above reaches down."""
     rows, loose = [], []
-    held: dict[int, tuple[int, int]] = {}  # first column: columns, rows to come
-    within = None
-    stack = [(kid, table) for kid in reversed(table.kids)]
+    held: list[tuple[int, int, int]] = []  # first column, columns, last row that they are held for
+    within, r = None, -1
+    stack = [(kid, table, dim) for kid in reversed(table.kids)]
     while stack:
-        kid, group = stack.pop()
+        kid, group, low = stack.pop()
         if isinstance(kid, str):
             if kid.strip():
-                loose.append(kid)
-        elif not visible(kid):
+                loose.append((kid, low))
             continue
-        elif kid.tag in ("tbody", "thead", "tfoot"):
-            stack += [(x, kid) for x in reversed(kid.kids)]
+        gone, low = look(kid, low)
+        if gone:
+            continue
+        if kid.tag in ("tbody", "thead", "tfoot"):
+            stack += [(x, kid, low) for x in reversed(kid.kids)]
         elif kid.tag == "tr":
             if group is not within:
-                within, held = group, {}
-            row, at, below = [], 0, {c: (w, n - 1) for c, (w, n) in held.items() if n > 1}
-            above = sorted(held.items(), reverse=True)
+                within, held = group, []
+            r += 1
+            row, at, above = [], 0, [h for h in held if h[2] >= r]
+            if not room.take(3 * len(above)):
+                above = []
+            held, above = list(above), above[::-1]
 
             def carry(upto: int | None) -> None:
                 """Take the columns held from above that come next, or all of them with a blank for what lies between."""
                 nonlocal at
                 while above and (upto is None or above[-1][0] <= upto):
-                    c, (w, _) = above.pop()
+                    c, w, _ = above.pop()
                     if c > at:
-                        row.append((None, c - at))
+                        row.append((None, c - at, False))
                         at = c
                     if c + w > at:
-                        row.append((None, c + w - at))
+                        row.append((None, c + w - at, False))
                         at = c + w
                     upto = None if upto is None else at
 
             for c in kid.kids:
                 if isinstance(c, str):
                     if c.strip():
-                        loose.append(c)
+                        loose.append((c, low))
                 elif c.tag in ("td", "th"):
-                    a = attributes(c.attrs) if c.attrs else {}
-                    seen = visible(c)
-                    if not seen and (a.get("hidden", "until-found").lower() != "until-found" or hides(a.get("style", "")) != "hidden"):
+                    gone, own = look(c, low)
+                    if gone:
                         continue
+                    a = attributes(c.attrs) if c.attrs else {}
                     carry(at)
                     span, down = number(a, "colspan", 1000), number(a, "rowspan", 65534)
-                    if down > 1 and at + span <= CARRIED:
-                        below[at] = (span, down - 1)
-                    row.append((c if seen else None, span))
+                    if down > 1:
+                        held.append((at, span, r + down - 1))
+                    row.append((c, span, own))
                     at += span
                 else:
-                    loose.append(c)
+                    loose.append((c, low))
             carry(None)
-            held = below
+            held.sort()
             rows.append(row)
         elif kid.tag not in ("colgroup", "col"):
-            loose.append(kid)
+            loose.append((kid, low))
     return loose, rows
 
 
-def layout(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table of cells (lines, span): columns as wide as their widest single cell, a bar between."""
-    widths: list[int] = []
+def layout(rows: list[list[tuple[list[str], int]]], room: Room) -> list[str]:
+    """Lines of a table of cells (lines, span): columns as wide as their widest single cell of up to WIDE characters, a bar between; without a stock of blanks, what stands in a line with bars between."""
+    most = max((sum(span for _, span in row) for row in rows), default=0)
+    widths = [0] * most
     for row in rows:
         at = 0
         for lines, span in row:
-            widths += [0] * (at + span - len(widths))
             if span == 1:
-                widths[at] = max([widths[at], *map(len, lines)])
+                widths[at] = max([widths[at], *(n for n in map(len, lines) if n <= WIDE)])
             at += span
+    ends = [0, *accumulate(w + 3 for w in widths)]
     out = []
     for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
-                width = sum(widths[at : at + span]) + 3 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(width))
-                at += span
-            out.append(" | ".join(parts).rstrip(" "))
+        at, places = 0, []
+        have: list[dict[int, str]] = []
+        for k, (lines, span) in enumerate(row):
+            places.append(ends[at + span] - ends[at] - 3)
+            at += span
+            have += [{} for _ in range(len(lines) - len(have))]
+            for i, line in enumerate(lines):
+                have[i][k] = line
+        for texts in have:
+            if room.take(ends[at] - sum(min(len(x), places[k]) for k, x in texts.items())):
+                out.append(" | ".join(texts.get(k, "").ljust(w) for k, w in enumerate(places)).rstrip(" "))
+            else:
+                out.append(" | ".join(x for x in texts.values() if x))
     return out
 
 
-#: Tables in cells of tables this deep are rendered as plain blocks.
-TABLE_DEPTH = 8
+class Frame:
+    """What is being rendered to lines of its own: the page or a table's cell. stack: (node or text, what ends with it, dim)."""
+
+    def __init__(self, kids: list, dim: bool, out: list[str], room: Room):
+        self.page, self.lists, self.out = Page(room), [], out
+        self.stack: list = [(kid, None, dim) for kid in reversed(kids)]
+
 
+class Table:
+    """A table on its way to lines: what of it is still to render."""
 
-def render(node: Node, depth: int = 0) -> list[str]:
+    def __init__(self, node: Node, dim: bool, room: Room):
+        loose, rows = cells(node, dim, room)
+        self.outside: list[str] = []
+        self.rows = [[([], span) for _, span, _ in row] for row in rows]
+        parts = [([x], d, self.outside) for x, d in loose]
+        parts += [(shown(c), d, out) for row, own in zip(rows, self.rows, strict=True) for (c, _, d), (out, _) in zip(row, own, strict=True) if c is not None]
+        self.todo = parts[::-1]
+
+
+def render(node: Node, room: Room) -> list[str]:
     """The visible text below node as lines."""
-    page = Page()
-    lists: list[list] = []
-    stack: list = [(kid, None) for kid in reversed(node.kids)]
-    while stack:
-        kid, ends = stack.pop()
+    lines: list[str] = []
+    frames = [Frame(node.kids, False, lines, room)]
+    while frames:
+        frame = frames[-1]
+        page, lists, stack = frame.page, frame.lists, frame.stack
+        if not stack:
+            page.flush()
+            frame.out.extend(page.lines)
+            frames.pop()
+            continue
+        kid, ends, dim = stack.pop()
+        if ends == "table":
+            if kid.todo:
+                stack.append((kid, ends, dim))
+                frames.append(Frame(*kid.todo.pop(), room))
+                continue
+            whole = kid.outside + layout(kid.rows, room)
+            if whole:
+                page.literal(whole)
+            page.block(2)
+            continue
         if ends is not None:
             if ends == "block":
                 page.block(2 if kid.tag in SPACED and not (lists and kid.tag in ("ul", "ol", "menu")) else 1)
@@ -407,13 +499,16 @@ def render(node: Node, depth: int = 0) -> list[str]:
                 page.block(1)
             continue
         if isinstance(kid, str):
-            page.text(kid)
+            if not dim:
+                page.text(kid)
             continue
-        if not visible(kid):
+        gone, dim = look(kid, dim)
+        if gone:
             continue
         if kid.how:
             page.text(" ")
         tag = kid.tag
+        below = [(x, None, dim) for x in reversed(shown(kid))]
         if tag == "br":
             if page.now:
                 page.flush()
@@ -422,58 +517,51 @@ def render(node: Node, depth: int = 0) -> list[str]:
         elif tag == "wbr" or tag in VOID and tag != "hr":
             continue
         elif tag in ("pre", "xmp", "textarea"):
-            flat, inner = [], list(reversed(kid.kids))
+            flat, inner = [], below
             while inner:
-                x = inner.pop()
+                x, _, low = inner.pop()
                 if isinstance(x, str):
-                    flat.append(x)
+                    flat.append("" if low else x)
                 elif x.tag == "br":
                     flat.append("\n")
-                elif visible(x):
-                    inner += reversed(x.kids)
+                else:
+                    gone, low = look(x, low)
+                    inner += [] if gone else [(y, None, low) for y in reversed(shown(x))]
             text = "".join(flat)
             page.block(2)
             if text.strip():
                 page.literal(text.removeprefix("\n").rstrip("\n").split("\n"))
             page.block(2)
-        elif tag == "table" and depth < TABLE_DEPTH:
-            loose, rows = cells(kid)
-            page.block(2)
-            outside = Node("div")
-            outside.kids = loose
-            lines = render(outside, depth + 1) if loose else []
-            lines += layout([[([] if c is None else render(c, depth + 1), span) for c, span in row] for row in rows])
-            if lines:
-                page.literal(lines)
+        elif tag == "table":
             page.block(2)
+            stack.append((Table(kid, dim, room), "table", dim))
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(1 if lists else 2)
             start = attributes(kid.attrs).get("start", "") if tag == "ol" else ""
-            lists.append([int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if tag == "ol" else [None])
-            stack.append((kid, "list"))
-            stack += [(x, None) for x in reversed(kid.kids)]
+            lists.append([int(start) if re.fullmatch(r"-?\d{1,9}", start, re.A) else 1] if tag == "ol" else [None])
+            stack.append((kid, "list", dim))
+            stack += below
         elif tag == "li":
             page.block(1)
-            number = lists[-1] if lists else [None]
-            page.mark = "-" if number[0] is None else f"{number[0]}."
-            if number[0] is not None:
-                number[0] += 1
-            page.indent.append(page.indent[-1] + " " * (len(page.mark) + 1))
-            stack.append((kid, "item"))
-            stack += [(x, None) for x in reversed(kid.kids)]
+            count = lists[-1] if lists else [None]
+            page.mark = "-" if count[0] is None else f"{count[0]}."
+            if count[0] is not None:
+                count[0] += 1
+            page.indent.append(page.indent[-1] + len(page.mark) + 1)
+            stack.append((kid, "item", dim))
+            stack += below
         elif tag in BLOCK:
             page.block(2 if tag in SPACED else 1)
-            stack.append((kid, "block"))
-            stack += [(x, None) for x in reversed(kid.kids)]
+            stack.append((kid, "block", dim))
+            stack += below
         else:
-            stack += [(x, None) for x in reversed(kid.kids)]
-    page.flush()
-    return page.lines
+            stack += below
+    return lines
 
 
 def page_text(page: str | None) -> str | None:
     """The visible text of a page; null for null."""
-    return None if page is None else "\n".join(render(parse(page)))
+    return None if page is None else "\n".join(render(parse(page), Room(len(page))))
 
 
 def extract(pages: DataFrame, column: str = "html", to: str = "text", keep: list[str] | None = None) -> DataFrame:
