@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by int8 tile products with error bounds (operator 5).
 
-Equal vectors are one. The rest are dealt to tiles of bounded size; a pair of tiles is one int8 matrix product. Each vector
-knows how far its quantised form is from it, so a product gives an interval for the cosine; only pairs whose interval
-reaches the threshold are computed in double precision, in the same task. A task sends back counts and a star for each
-group of linked vectors, never the pairs.
+Equal vectors are one. The rest are dealt to bands of bounded size, and a task compares one pair of bands, tile by tile:
+each pair of tiles is one int8 matrix product. Each vector knows how far its quantised form is from it, so a product gives
+an interval for the cosine; only pairs whose interval holds the threshold are computed in double precision, in the same
+task. A task sends back counts and a star for each group of linked vectors, never the pairs.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import cut, own_names
+from .common import cut, set_aside
 from .graph import components
 
 THRESHOLD = 0.95
-#: Vectors of a tile, about; and pairs of tiles that a task takes.
-TILE = 4096
-TASK_PAIRS = 16
+#: Bytes of the vectors of one band, as doubles; a task holds two bands.
+BAND_BYTES = 32_000_000
+#: Rows and columns of one product.
+ROWS, TILE = 512, 4096
 #: Room for rounding in double precision, far above what it can be.
 SLACK = 1e-9
-_TILE = "tile int, ids binary, copies binary, unit binary, q binary, scale binary, error binary"
 
 
 def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,30 +41,40 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(a: dict, b: dict | None, threshold: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (into a, into b) of the pairs whose cosine is threshold or more; b None: the pairs inside a, once each."""
+def prepared(v: np.ndarray) -> dict:
+    """Unit rows of v with their quantised form."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    q, scale, error = quantised(unit)
+    return {"unit": unit, "q": q, "scale": scale, "error": error}
+
+
+def linked(a: dict, b: dict | None, threshold: float, rows: int = ROWS, tile: int = TILE):
+    """Yield indices (into a, into b) of the pairs whose cosine is threshold or more, a product at a time; b None: the pairs inside a, once each."""
     o = a if b is None else b
-    fo = o["q"].astype(np.float32)
-    reach, top = (1 + o["error"]).max(), o["scale"].max()
-    left, right = [], []
-    for at in range(0, len(a["q"]), rows):
-        ea, sa = a["error"][at : at + rows], a["scale"][at : at + rows]
-        # |cos - sa * sb * product| <= ea + eb + ea * eb, as unit vectors and their quantised forms differ by ea and eb.
-        least = (threshold - SLACK - ea - (reach - 1) * (1 + ea)) / (sa * top)
-        least = np.where(least > 0, least, -np.inf)
-        p = _product(a["q"][at : at + rows].astype(np.float32), fo)
-        r, c = np.nonzero(p >= least.astype(np.float32)[:, None] - 1)
-        if b is None:
-            r, c = r[c > r + at], c[c > r + at]
-        upper = sa[r] * o["scale"][c] * p[r, c] + ea[r] + o["error"][c] + ea[r] * o["error"][c]
-        r, c = r[upper >= threshold - SLACK] + at, c[upper >= threshold - SLACK]
-        for k in range(0, len(r), 65536):
-            rk, ck = r[k : k + 65536], c[k : k + 65536]
-            true = np.einsum("ij,ij->i", a["unit"][rk], o["unit"][ck]) >= threshold
-            left.append(rk[true])
-            right.append(ck[true])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    many = max(1, 4_000_000 // a["unit"].shape[1])
+    for to in range(0, len(o["q"]), tile):
+        fo, eo, so = o["q"][to : to + tile].astype(np.float32), o["error"][to : to + tile], o["scale"][to : to + tile]
+        reach, top = eo.max(), so.max()
+        for at in range(0, len(a["q"]), rows):
+            if b is None and at > to + tile:
+                break
+            ea, sa = a["error"][at : at + rows], a["scale"][at : at + rows]
+            # |cos - sa * sb * product| <= ea + eb + ea * eb, as unit vectors and their quantised forms differ by ea and eb.
+            least = (threshold - SLACK - ea - reach * (1 + ea)) / (sa * top)
+            least = np.where(least > 0, least, -np.inf)
+            p = _product(a["q"][at : at + rows].astype(np.float32), fo)
+            r, c = np.nonzero(p >= least.astype(np.float32)[:, None] - 1)
+            if b is None:
+                r, c = r[c + to > r + at], c[c + to > r + at]
+            middle, width = sa[r] * so[c] * p[r, c], ea[r] + eo[c] + ea[r] * eo[c]
+            true = middle - width >= threshold + SLACK
+            open_ = np.flatnonzero(~true & (middle + width >= threshold - SLACK))
+            for k in range(0, len(open_), many):
+                some = open_[k : k + many]
+                true[some] = np.einsum("ij,ij->i", a["unit"][r[some] + at], o["unit"][c[some] + to]) >= threshold
+            if true.any():
+                yield r[true] + at, c[true] + to
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -82,87 +93,82 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _unpack(row: dict, side: str, dim: int) -> dict:
-    get = lambda name, kind: np.frombuffer(row[f"{name}_{side}"], kind)
-    return {"ids": get("ids", np.int64), "copies": get("copies", np.int64), "unit": get("unit", np.float64).reshape(-1, dim), "q": get("q", np.int8).reshape(-1, dim), "scale": get("scale", np.float64), "error": get("error", np.float64)}
-
-
-def links(reps: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """id, root, n for reps (id, v array<double>, copies): n other vectors link with id there, copies counted; root is the smallest id linked, by a chain, in one pair of tiles."""
-    sizes = {r["d"]: r["n"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = []
-    for dim, n in sizes.items():
-        tiles = max(1, -(-n // tile))
-
-        def pack(key, table):
-            table = table.sort_by("id")
-            v = np.stack([np.asarray(x, np.float64) for x in table["v"].combine_chunks().to_numpy(zero_copy_only=False)])
-            v = v / np.abs(v).max(axis=1, keepdims=True)
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            q, scale, error = quantised(unit)
-            cols = [table["id"].to_numpy().astype(np.int64), table["copies"].to_numpy().astype(np.int64), unit, q, scale, error]
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), *[pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols]], names=["tile", "ids", "copies", "unit", "q", "scale", "error"])
-
-        def compare(batches, dim=dim):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    same = row["tile_a"] == row["tile_b"]
-                    a = _unpack(row, "a", dim)
-                    b = None if same else _unpack(row, "b", dim)
-                    i, j = linked(a, b, threshold)
-                    o = a if same else b
-                    shift = 0 if same else len(a["ids"])
-                    ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])
-                    count = np.zeros(len(ids), np.int64)
-                    np.add.at(count, i, o["copies"][j])
-                    np.add.at(count, j + shift, a["copies"][i])
-                    order = np.argsort(ids, kind="stable")
-                    rank = np.empty(len(ids), np.int64)
-                    rank[order] = np.arange(len(ids))
-                    root = ids[order[roots(len(ids), rank[i], rank[j + shift])]][rank]
-                    hit = count > 0
-                    yield pa.record_batch([pa.array(ids[hit]), pa.array(root[hit]), pa.array(count[hit])], names=["id", "root", "n"])
-
-        own = reps.filter(F.size("v") == dim).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-        packed = cut(own.groupBy("tile").applyInArrow(pack, _TILE))
-        side = lambda s: packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns])  # noqa: E731, B023
-        pairs = packed.select(F.col("tile").alias("tile_a"), F.explode(F.expr(f"sequence(tile, {tiles - 1})")).alias("tile_b"))
-        tasks = max(1, -(-(tiles * (tiles + 1) // 2) // TASK_PAIRS), min(tiles * (tiles + 1) // 2, reps.sparkSession.sparkContext.defaultParallelism * 2))
-        pairs = pairs.join(side("a"), "tile_a").join(side("b"), "tile_b").repartition(tasks, "tile_a", "tile_b")
-        parts.append(pairs.mapInArrow(compare, "id bigint, root bigint, n bigint"))
-    if not parts:
-        return reps.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("n")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def star(ids: np.ndarray, copies: np.ndarray, first: np.ndarray | None, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, root, n) of the vectors that link: of all pairs, or with first (booleans) of those between first and the others. n counts copies; root is the smallest id linked by a chain."""
+    side = [np.arange(len(ids))] if first is None else [np.flatnonzero(first), np.flatnonzero(~first)]
+    count, lab = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    if all(map(len, side)):
+        parts = [prepared(v[s]) for s in side]
+        for i, j in linked(parts[0], None if first is None else parts[1], threshold):
+            i, j = side[0][i], side[-1][j]
+            np.add.at(count, i, copies[j])
+            np.add.at(count, j, copies[i])
+            x, y = lab[i], lab[j]
+            new = x != y
+            if new.any():
+                pairs = np.unique(x[new] * len(ids) + y[new])
+                lab = roots(len(ids), pairs // len(ids), pairs % len(ids))[lab]
+    low = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(low, lab, ids)
+    hit = count > 0
+    return ids[hit], low[lab][hit], count[hit]
+
+
+def links(reps: DataFrame, threshold: float = THRESHOLD, band_bytes: int = BAND_BYTES) -> DataFrame:
+    """id, root, n for reps (id, v array<float or double>, copies): n other vectors link with id there, copies counted; root is the smallest id linked, by a chain, in one pair of bands.
+
+    Vectors of each length have their own bands: enough to keep all cores at work, and so many that none is over
+    band_bytes. A vector is sent to each pair its band is in, so what is moved grows with the vectors times the bands:
+    in proportion to the vectors while the bands hold them, and beyond that with their square over band_bytes, the least
+    that tasks of bounded memory can do.
+    """
+    spark = reps.sparkSession
+    busy = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    sizes = reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("m"))
+    sizes = cut(sizes.select("d", F.expr(f"cast(greatest(least({busy}, ceil(m / 512)), ceil(m * d * 8 / {band_bytes})) as int)").alias("bands")))
+    tasks = sizes.agg(F.sum(F.expr("cast(bands as bigint) * (bands + 1) div 2"))).first()[0] or 1
+    own = reps.withColumn("d", F.size("v")).join(sizes, "d").withColumn("band", F.pmod(F.xxhash64("id"), F.col("bands")).cast("int"))
+    dealt = own.select("d", "id", "copies", "v", "band", F.explode(F.expr("sequence(0, bands - 1)")).alias("other"))
+    dealt = dealt.select("d", F.least("band", "other").alias("x"), F.greatest("band", "other").alias("y"), (F.col("band") <= F.col("other")).alias("first"), "id", "copies", "v")
+
+    def compare(key, table):
+        d, x, y = (k.as_py() for k in key)
+        first = table["first"].to_numpy().astype(bool) if x != y else None
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        out = star(table["id"].to_numpy().astype(np.int64), table["copies"].to_numpy().astype(np.int64), first, flat, threshold)
+        return pa.table([pa.array(c) for c in out], names=["id", "root", "n"])
+
+    return dealt.repartition(min(tasks, 20_000), "d", "x", "y").groupBy("d", "x", "y").applyInArrow(compare, "id bigint, root bigint, n bigint")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, band_bytes: int = BAND_BYTES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors; threshold lies above 0.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors of different
     lengths don't link. Equal vectors (0.0 and -0.0 are equal) link whatever rounding says. A row with a null vec_id keeps
     its links and its component but is never kept, and the smallest vec_id in a component passes nulls over. Rows with one
-    vec_id are vectors of their own. All pairs of tiles are compared, so the time grows with the square of the number of
-    distinct vectors; a task's memory doesn't.
+    vec_id are vectors of their own; other columns are passed over, whatever they are called. All pairs of tiles are
+    compared, so the time grows with the square of the number of distinct vectors; a task's memory doesn't.
     """
-    own_names(vectors, vec_id, embedding)
-    v = F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0))
+    held, at = set_aside(vectors, vec_id, embedding)
+    kind = vectors.schema[embedding].dataType
+    number = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    v = F.transform(F.col(at[embedding]), lambda x: x.cast(number) + F.lit(0.0).cast(number))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    rows = held.select(F.col(at[vec_id]).cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.withColumn("ok", F.coalesce((F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False)))
-    rows = rows.withColumns({"_k1": F.when(F.col("ok"), F.xxhash64("v")), "_k2": F.when(F.col("ok"), F.xxhash64(F.lit(7), "v"))})
+    # Vectors that link with nothing have keys of their own, so that they don't all meet in one task.
+    rows = rows.select("vec_id", "v", "ok", F.when(F.col("ok"), F.xxhash64("v")).otherwise(F.monotonically_increasing_id()).alias("_k1"), F.when(F.col("ok"), F.xxhash64(F.lit(7), "v")).otherwise(0).alias("_k2"))
     # Equal vectors meet after counting inside each task; the id of a class is a hash, as its vec_id may be null.
     classes = rows.filter("ok").groupBy("_k1", "_k2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     classes = cut(classes.withColumn("id", F.xxhash64("_k1", "_k2")))
-    found = cut(links(classes.select("id", "v", "copies"), threshold, tile))
+    found = cut(links(classes.select("id", "v", "copies"), threshold, band_bytes))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = classes.select("id", "_k1", "_k2", "low", "copies").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "component").join(counts, "id", "left").select("_k1", "_k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
-    out = rows.select("vec_id", "_k1", "_k2").join(named, ["_k1", "_k2"], "left")
+    named = named.join(lows, "component").join(counts, "id", "left").select(F.lit(True).alias("ok"), "_k1", "_k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
+    out = rows.select("vec_id", "ok", "_k1", "_k2").join(named, ["ok", "_k1", "_k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -158,14 +158,31 @@ def test_embeddings_against_brute_force(spark):
     for i, j in pairs:
         a, b = sorted((find(i), find(j)))
         up[b] = a
-    for tile in (4096, 10):
-        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, tile=tile).collect()}
+    for band in (embedding_dedup.BAND_BYTES, 1000):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, band_bytes=band).collect()}
         assert len(got) == len(rows)
         for i in range(len(rows)):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(a == i for a, _ in pairs), find(i), find(i) == i)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_tiles_and_chunks_of_products():
+    """Small products find the same pairs as one, those inside the error bounds and those beyond them."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 24))
+    v = np.repeat(base, 5, axis=0) + 0.18 * rng.standard_normal((200, 24))
+    a = embedding_dedup.prepared(v)
+    cos = a["unit"] @ a["unit"].T
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if cos[i, j] >= 0.95}
+    for rows, tile in ((512, 4096), (7, 13), (64, 3)):
+        got = [(int(x), int(y)) for i, j in embedding_dedup.linked(a, None, 0.95, rows, tile) for x, y in zip(i, j, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+    first = rng.random(200) < 0.5
+    b, c = embedding_dedup.prepared(v[first]), embedding_dedup.prepared(v[~first])
+    pairs = {(int(x), int(y)) for i, j in embedding_dedup.linked(b, c, 0.95, 9, 11) for x, y in zip(np.flatnonzero(first)[i], np.flatnonzero(~first)[j], strict=True)}
+    assert pairs == {(i, j) if first[i] else (j, i) for i, j in want if first[i] != first[j]}
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(3)
     v = rng.standard_normal((200, 40))
