@@ -3,8 +3,8 @@
 Who can be linked at all is found first, without sets leaving their task. Two sets with Jaccard t or more differ in few
 members, so if their members are dealt by hash to more segments than that, some segment is the same in both; keys made of
 whole segments bring every possible partner together (after Arasu et al., 2006), common ones where they are needed for
-that, and chains of shared keys form candidate groups. In a group each document is a bitmap of its members; a tree over them, ordered so that like documents stand
-together, holds at every node the OR and the AND of the bitmaps below and the range of sizes. The traversal of node pairs
+that, and chains of shared keys inside one class of sizes form candidate groups. In a group each document is a bitmap of
+its members; a tree over them, ordered so that like documents stand together, holds at every node the OR and the AND of the bitmaps below and the range of sizes. The traversal of node pairs
 drops a pair when even its largest possible overlap is too small, or when all below are linked already; what is left is
 compared in full. Groups over the block size are split into blocks, and pairs of blocks are traversed by different tasks.
 """
@@ -363,11 +363,11 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
     rows = named.mapInArrow(signatures, "kind tinyint, a bigint, b bigint, h1 bigint, h2 bigint")
     # Keys are counted before the shuffle as far as they repeat in a task; only those of two documents or more are joined to
     # the rows, and a key of very many rows can be split there.
-    shared = rows.filter("kind = 2").groupBy("h1").agg(F.min("a").alias("low"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    shared = shared.select(F.col("h1").alias("key"), "low", (F.col("docs") >= COMMON).alias("common"))
+    shared = rows.filter("kind = 2").groupBy("h1").agg(F.min(F.struct("a", F.expr("b & 1L").alias("s"))).alias("low"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    shared = shared.select(F.col("h1").alias("key"), F.col("low.a").alias("low"), F.col("low.s").alias("low_shift"), (F.col("docs") >= COMMON).alias("common"))
     met = rows.join(shared, (F.col("h1") == F.col("key")) & (F.col("kind") == 2), "left").filter("kind = 0 OR low IS NOT NULL")
     own = F.when(F.col("kind") == 0, F.col("h1"))
-    parts = cut(met.groupBy("kind", "a", "b", own.alias("h1"), "h2", "low", "common").agg(F.count(F.lit(1)).alias("n")))
+    parts = cut(met.groupBy("kind", "a", "b", own.alias("h1"), "h2", "low", "low_shift", "common").agg(F.count(F.lit(1)).alias("n")))
     sets = parts.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "h1", "h2", F.col("n").alias("rows"))
     reps = cut(sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
     member = sets.join(reps, ["h1", "h2", "n"]).select("doc_id", "rep")
@@ -376,10 +376,16 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
     shares = parts.filter("kind = 2")
     per = shares.groupBy("a", "b").agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("common"), F.col("n")).otherwise(0)).alias("_c")).filter("_n > b div 2")
     links = shares.join(per, ["a", "b"]).filter("NOT common OR _c > b div 2")
-    edges = links.select("a", F.col("low").alias("b")).filter("a != b").unionByName(member.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    # Partners meet in the class of the larger one, so chains are made class by class: a node is a document in its own class
+    # or in the next (the last bit of spare), and a document's two groups needn't be one.
+    node = lambda doc, shift: F.xxhash64(doc, shift)
+    edges = links.select(node("a", F.expr("b & 1L")).alias("a"), node("low", "low_shift").alias("b")).filter("a != b")
+    twins = member.filter("doc_id != rep").select("doc_id", "rep", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("_s"))
+    edges = edges.unionByName(twins.select(node("doc_id", "_s").alias("a"), node("rep", "_s").alias("b")))
     groups = components(edges)
     lone = reps.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "n").distinct()
-    held = cut(lone.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "n", F.col("component").alias("g")))
+    both = lone.select("doc_id", "n", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("_s")).select("doc_id", "n", node("doc_id", "_s").alias("node"))
+    held = cut(both.join(groups, "node").select("doc_id", "n", F.col("component").alias("g")).distinct())
     sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("members")).filter("docs > 1")
     sizes = sizes.withColumn("blocks", F.expr(f"greatest(cast(ceil(docs / {block_docs}d) as int), cast(ceil(members / {block_members}d) as int))"))
     # Blocks of a group take sizes in turn, each block with every other; a group of one block is the usual case.
