@@ -1,9 +1,13 @@
 """Licence notices in documents, by a trained paragraph classifier (operator 10, SQL functions only on the data's path).
 
-A multinomial logistic regression over word unigrams and bigrams names the family of each line, with a class for text
-that is no licence and a temperature fitted on held-out examples, so that probabilities can be read as such. What it names
-is compared with the family's templates, and neighbouring lines of one family become one span. The model is fitted on the
-driver from the templates below, a few thousand numbers; documents only ever meet it as a small table of weights.
+A multinomial logistic regression over word unigrams and bigrams names the family of each paragraph, with a class for text
+that is no licence, fitted on a bounded sample of the corpus's own paragraphs, and a temperature fitted on others that were
+held out, so that probabilities can be read as such. What it names is compared with the family's templates, and
+neighbouring paragraphs of one family become one span. The model is fitted on the driver, a few thousand numbers; documents
+only ever meet it as a small table of weights.
+
+A paragraph is a run of lines up to one that ends a sentence or comes before a blank one, so a wrapped sentence is one
+paragraph, and a notice on a line of its own under prose is another.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import own_names
+from .common import set_aside
 
 NONE = "none"
 THRESHOLD = 0.5
@@ -26,6 +30,13 @@ THRESHOLD = 0.5
 CONFIRM = 0.5
 #: Examples made from each template sentence, and of text that is no licence.
 PER_SENTENCE, NEGATIVES = 24, 1500
+#: Documents of which paragraphs are taken to fit and calibrate the class of no licence: the most that is read for it.
+FIT_ROWS = 600
+#: How a line ends that ends a paragraph.
+ENDS = r"[.!?:;][)\]\"']?[ \t\r]*$"
+BLANK = r"^[ \t\r\x0b\x0c]*$"
+# Stems of which one marks a paragraph that may be a notice, so that it is no example of other text.
+MARKS = ("licen", "copyright", "spdx", "redistribut", "permi", "creativecommons", "cc by", "cc0", "rights reserved", "public domain", "warrant", "copies", "source code", "mozilla", "waive")
 
 # Sentences of the licences themselves and of the usual notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -133,10 +144,37 @@ def grams(words: list[str]) -> set[str]:
     return {w for w in words if w not in STOP} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a not in STOP or b not in STOP}
 
 
-def examples(seed: int) -> list[tuple[str, str]]:
-    """(family, text) pairs: sentences with words dropped, cut or set among others, years changed; and text of no family."""
+def paragraphs(text: str) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of a text's paragraphs with a word, lines from 0; the same as ``paragraph_sql``."""
+    lines = text.split("\n")
+    blank = [re.search(BLANK, x) is not None for x in lines]
+    starts = [p for p in range(len(lines)) if p == 0 or blank[p] or blank[p - 1] or re.search(ENDS, lines[p - 1])]
+    return [(p, q - 1, " ".join(lines[p:q])) for p, q in zip(starts, [*starts[1:], len(lines)], strict=True) if not blank[p]]
+
+
+def paragraph_sql(lines: str) -> str:
+    """SQL for an array of struct(first, last, text): the paragraphs of an array of lines."""
+    ends, blank = (x.replace("\\", "\\\\").replace("'", "\\'") for x in (ENDS, BLANK))
+    starts = f"filter(sequence(0, size({lines}) - 1), p -> p = 0 or {lines}[p] rlike '{blank}' or {lines}[p - 1] rlike '{blank}' or {lines}[p - 1] rlike '{ends}')"
+    last = f"coalesce(get(z, k + 1), size({lines})) - 1"
+    return f"transform(array({starts}), z -> transform(z, (s, k) -> named_struct('first', s, 'last', {last}, 'text', array_join(slice({lines}, s + 1, {last} - s + 1), ' '))))[0]"
+
+
+def plain_paragraphs(texts: list[str]) -> list[str]:
+    """Paragraphs of texts without a mark of licences, as examples of other text."""
+    return [t for x in texts for _, _, t in paragraphs(x) if not any(m in t.lower() for m in MARKS)]
+
+
+def examples(seed: int, corpus: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """(family, text) pairs: sentences with words dropped, cut or set among others, years changed; and text of no family. corpus: paragraphs of no family, in which sentences are set, too."""
     r = random.Random(seed)
     noise = lambda k: " ".join(r.choice(_PLAIN) for _ in range(k))
+
+    def prose(most: int) -> str:
+        ws = r.choice(corpus).split() if corpus else []
+        at = r.randrange(max(1, len(ws) - most))
+        return " ".join(ws[at : at + r.randrange(most + 1)]) if ws else noise(r.randrange(most + 1))
+
     out = []
     for family, sentences in TEMPLATES.items():
         for s in sentences:
@@ -149,20 +187,25 @@ def examples(seed: int) -> list[tuple[str, str]]:
                 text = " ".join(w).replace("2020", str(r.randrange(1990, 2030)))
                 if i % 3 == 1:
                     text = f"{noise(r.randrange(6))} {text} {noise(r.randrange(8))}"
+                elif i % 3 == 2:
+                    text = f"{prose(60)} {text} {prose(30)}"
                 out.append((family, text))
     for i in range(NEGATIVES):
         near = r.choice(NEAR).split()
         kind = i % 3
         text = noise(r.randrange(3, 30)) if kind == 0 else " ".join(x for x in near if r.random() > 0.15) if kind == 1 else f"{' '.join(near[: r.randrange(1, len(near))])} {noise(r.randrange(10))}"
         out.append((NONE, text))
-    return out
+    return out + [(NONE, t) for t in corpus]
 
 
 @lru_cache(maxsize=4)
-def model(seed: int = 1) -> tuple[tuple[str, ...], dict[str, list[float]], list[float]]:
-    """(families, weights by n-gram, biases), scaled by the temperature; fitted by gradient descent on examples."""
+def model(seed: int = 1, corpus: tuple[str, ...] = ()) -> tuple[tuple[str, ...], dict[str, list[float]], list[float]]:
+    """(families, weights by n-gram, biases), scaled by the temperature; fitted by gradient descent on examples.
+
+    Of corpus (texts of documents) every other one's paragraphs serve the fit, the rest the temperature.
+    """
     families = (*TEMPLATES, NONE)
-    train, held = examples(seed), examples(seed + 1)
+    train, held = (examples(seed + i, tuple(plain_paragraphs(list(corpus[i::2])))) for i in (0, 1))
     vocabulary = sorted({g for sentences in (*TEMPLATES.values(), NEAR) for s in sentences for g in grams(tokens(s))})
     column = {g: i for i, g in enumerate(vocabulary)}
 
@@ -201,9 +244,9 @@ def model(seed: int = 1) -> tuple[tuple[str, ...], dict[str, list[float]], list[
     return families, weights, [round(float(v) / t, 5) for v in b]
 
 
-def predict(text: str, seed: int = 1) -> tuple[str, float]:
+def predict(text: str, seed: int = 1, corpus: tuple[str, ...] = ()) -> tuple[str, float]:
     """Family and probability of one text, on the driver; the same law as ``score``."""
-    families, weights, bias = model(seed)
+    families, weights, bias = model(seed, corpus)
     s = np.array(bias) + sum((np.array(weights[g]) for g in grams(tokens(text)) if g in weights), np.zeros(len(bias)))
     p = np.exp(s - s.max())
     return families[int(p.argmax())], float(p.max() / p.sum())
@@ -214,49 +257,57 @@ def _table(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("x")).select("x.*")
 
 
-def score(docs: DataFrame, text: str = "text", seed: int = 1) -> DataFrame:
-    """_id, doc_id, line (int, from 0), words, family, probability for each line with an n-gram of the model.
+def sample(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[str, ...]:
+    """The texts of up to fit_rows rows, the first that are read, in order; null texts have no part."""
+    return tuple(sorted(r[0] for r in docs.select(F.col(text)).limit(fit_rows).collect() if r[0] is not None))
+
+
+def score(docs: DataFrame, text: str = "text", seed: int = 1, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """_id (of the row), doc_id, first_line, last_line (int, from 0), words, family, probability for each paragraph with an n-gram of the model.
 
-    A line without any of the model's single words has none of its n-grams either, and belongs to no family.
+    A paragraph without any of the model's single words has none of its n-grams either, and belongs to no family. Null and
+    empty texts have no paragraphs; repeated rows have theirs each; a null doc_id stays null. Other columns of docs are
+    passed over, whatever they are called.
     """
-    families, weights, bias = model(seed)
+    rows, at = set_aside(docs, "doc_id", text)
+    families, weights, bias = model(seed, sample(rows, at[text], fit_rows))
     single = sorted({w for g in weights for w in g.split(" ") if w not in STOP})
     listed = ", ".join("'" + w.replace("'", "''") + "'" for w in single)
     stop = ", ".join(f"'{w}'" for w in sorted(STOP))
-    lines = f"filter(transform(split({text}, '\\n'), (l, p) -> named_struct('line', p, 'words', {token_sql('l')})), x -> exists(x.words, w -> w in ({listed})))"
-    # The id is given to rows before their lines are taken apart, so it names a document.
-    rows = docs.select(F.monotonically_increasing_id().alias("_id"), "doc_id", F.expr(lines).alias("_l"))
-    found = rows.select("_id", "doc_id", F.explode("_l").alias("x")).select("_id", "doc_id", "x.*")
+    held = f"filter(transform({paragraph_sql('_lines')}, x -> named_struct('first_line', x.first, 'last_line', x.last, 'words', {token_sql('x.text')})), x -> exists(x.words, w -> w in ({listed})))"
+    # The id is given to rows before they are taken apart, so it names a document.
+    rows = rows.select(F.monotonically_increasing_id().alias("_id"), F.col(at["doc_id"]).alias("doc_id"), F.split(at[text], "\n").alias("_lines")).filter("_lines IS NOT NULL")
+    found = rows.select("_id", "doc_id", F.explode(F.expr(held)).alias("x")).select("_id", "doc_id", "x.*")
     gram = f"array_distinct(concat(filter(words, w -> w not in ({stop})), transform(filter(sequence(1, greatest(1, size(words) - 1)), i -> size(words) > 1 and not (words[i - 1] in ({stop}) and words[i] in ({stop}))), i -> concat(words[i - 1], ' ', words[i]))))"
-    each = found.select("_id", "doc_id", "line", "words", F.explode(F.expr(gram)).alias("g"))
+    each = found.select("_id", "doc_id", "first_line", "last_line", "words", F.explode(F.expr(gram)).alias("g"))
     w = F.broadcast(_table(docs, [{"g": g, "w": v} for g, v in weights.items()], "array<struct<g: string, w: array<double>>>"))
     sums = [F.sum(F.col("w")[i]).alias(f"_{i}") for i in range(len(families))]
-    summed = each.join(w, "g").groupBy("_id", "line").agg(F.first("doc_id").alias("doc_id"), F.first("words").alias("words"), *sums)
+    summed = each.join(w, "g").groupBy("_id", "first_line").agg(F.first("doc_id").alias("doc_id"), F.first("last_line").alias("last_line"), F.first("words").alias("words"), *sums)
     z = F.array(*[F.struct((F.col(f"_{i}") + bias[i]).alias("z"), F.lit(f).alias("family")) for i, f in enumerate(families)])
     best = summed.withColumn("_z", z).withColumn("_m", F.array_max("_z"))
     share = F.expr("1 / aggregate(_z, 0d, (s, x) -> s + exp(x.z - _m.z))")
-    return best.select("_id", "doc_id", "line", "words", F.col("_m.family").alias("family"), F.round(share, 6).alias("probability"))
+    return best.select("_id", "doc_id", "first_line", "last_line", "words", F.col("_m.family").alias("family"), F.round(share, 6).alias("probability"))
 
 
-def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, confirm: float = CONFIRM, seed: int = 1) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, confirm: float = CONFIRM, seed: int = 1, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The licence notices of docs: doc_id, first_line, last_line (int, from 0), family, probability, overlap, confirmed.
 
-    A line counts if its family is not none at threshold or more. overlap: the largest share of bigrams in common with a
-    template of the family, of the smaller set of the two; confirmed: at confirm or more. Neighbouring lines of a family
-    are one span, with the largest figures. Null and empty texts have no notice; repeated rows give repeated spans.
+    A paragraph counts if its family is not none at threshold or more. overlap: the largest share of bigrams in common with
+    a template of the family, of the smaller set of the two; confirmed: at confirm or more. Neighbouring paragraphs of a
+    family are one span, with the largest figures. Null and empty texts have no notice; repeated rows give repeated spans.
+    Up to fit_rows rows of docs are read to fit the model; all rows are scanned.
     """
-    own_names(docs, "doc_id", text)
-    hit = score(docs, text, seed).filter((F.col("family") != NONE) & (F.col("probability") >= threshold))
+    hit = score(docs, text, seed, fit_rows).filter((F.col("family") != NONE) & (F.col("probability") >= threshold))
     pairs = lambda w: sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
     t = F.broadcast(_table(docs, [{"family": f, "t": [pairs(tokens(s)) for s in ss]} for f, ss in TEMPLATES.items()], "array<struct<family: string, t: array<array<string>>>>"))
     own = F.expr("if(size(words) > 1, array_distinct(transform(sequence(1, size(words) - 1), i -> concat(words[i - 1], ' ', words[i]))), cast(array() as array<string>))")
     hit = hit.withColumn("_own", own).join(t, "family")
     overlap = F.expr("array_max(transform(t, x -> size(array_intersect(_own, x)) / greatest(1, least(size(_own), size(x)))))")
-    hit = hit.select("_id", "doc_id", "line", "family", "probability", F.round(overlap, 6).alias("overlap"))
-    order = Window.partitionBy("_id").orderBy("line")
-    new = F.when((F.lag("line").over(order) == F.col("line") - 1) & (F.lag("family").over(order) == F.col("family")), 0).otherwise(1)
+    hit = hit.select("_id", "doc_id", "first_line", "last_line", "family", "probability", F.round(overlap, 6).alias("overlap"))
+    order = Window.partitionBy("_id").orderBy("first_line")
+    new = F.when((F.lag("last_line").over(order) == F.col("first_line") - 1) & (F.lag("family").over(order) == F.col("family")), 0).otherwise(1)
     spans = hit.withColumn("_new", new).withColumn("_span", F.sum("_new").over(order)).groupBy("_id", "_span")
-    out = spans.agg(F.first("doc_id").alias("doc_id"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.first("family").alias("family"), F.max("probability").alias("probability"), F.max("overlap").alias("overlap"))
+    out = spans.agg(F.first("doc_id").alias("doc_id"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.first("family").alias("family"), F.max("probability").alias("probability"), F.max("overlap").alias("overlap"))
     return out.drop("_id", "_span").withColumn("confirmed", F.col("overlap") >= confirm)
 
 
