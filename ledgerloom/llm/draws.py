@@ -76,6 +76,6 @@ def matrix(sizes: DataFrame, caps: DataFrame, levels: int, seed: int) -> DataFra
                 )
             ).alias("x")
         ).select("x.*")
-        if levels == depth and 2 ** (level + 1) == SPREAD_AT:
+        if levels == depth and 2 ** (level + 1) == SPREAD_AT and level + 1 < depth:
             nodes = nodes.repartition(SPREAD_AT, "row")
     return nodes.select("row", F.col("caps").alias("counts"), F.col("offs").alias("offsets"))
