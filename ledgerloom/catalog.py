@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries
+from .plans import documents, queries  # noqa: F401
 
 QUERIES: dict = dict(queries.QUERIES)
 SQL: dict[str, str] = dict(queries.SQL)

@@ -34,6 +34,7 @@ SHAPES: dict[str, str] = {
     "code": "[0-9]{6,20}",
     "irn": "[0-9A-Fa-f]{64}",
 }
+# The shape of each field's value; amounts; fields that a search near the label may fill, in this order.
 SHAPE_OF = {
     "invoice_number": "number", "invoice_date": "date", "ack_number": "code", "eway_bill_number": "code", "eway_bill_date": "date", "fssai_number": "code",
     "party_gstin": "gstin", "buyer_name": "line", "buyer_address": "line",
@@ -45,7 +46,6 @@ HEADER_FIELDS = ("invoice_number", "invoice_date", "ack_number", "eway_bill_numb
 # A vendor's signature line, and a number on the line after its label.
 VENDOR_LINE = r"^[ \t]*for[ \t]+([A-Za-z0-9][^\n]{2,80})[ \t]*$"
 NEXT_LINE_NUMBER = r"(?:irn\s*no\.?|irn)[ \t]*[:\-#]?[ \t]*\n[ \t]*([0-9A-Za-z]{20,70})"
-#: Fields that a search around the label may still fill, in this order.
 FALLBACK_FIELDS = ("ack_number", "eway_bill_number", "eway_bill_date", "fssai_number", "invoice_date")
 
 # Markers of sections, those of buyers before those that are left out; longest run of rows of each kind.
@@ -108,7 +108,7 @@ NUMERIC_COLUMNS = (
     "quantity", "quantity_sold", "quantity_free", "quantity_total", "unit_rate", "mrp", "ptr", "rate_pts", "taxable_value", "discount_rate",
     "discount_amount", "cgst_rate", "cgst_amount", "sgst_rate", "sgst_amount", "igst_rate", "igst_amount", "line_total",
 )
-#: Columns that are recognised but not kept.
+# Columns that are recognised but not kept, and figures of which one makes a row more than a description.
 UNSTORED = ("sr_no", "mrp_old")
 CORE_VALUES = ("quantity", "mrp", "ptr", "rate_pts", "unit_rate", "taxable_value", "line_total")
 
@@ -127,6 +127,21 @@ MONTHS: dict[str, int] = {
     "jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7,
     "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12,
 }
+# Shapes of written dates (day, month and year by group; 0 where there is none; whether the month is a name), tried in this order.
+DATE_FORMS: tuple[tuple[str, int, int, int, bool], ...] = (
+    (r"^(\d{1,2})[\/\-.](\d{1,2})[\/\-.](\d{2,4})$", 1, 2, 3, False),
+    (r"^(\d{1,2})[\s\/\-.]([A-Za-z]{3,9})[\s\/\-.,]+(\d{2,4})$", 1, 2, 3, True),
+    (r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{2,4})$", 2, 1, 3, True),
+    (r"^([A-Za-z]{3,9})[\s\/\-.](\d{2,4})$", 0, 1, 2, True),
+    (r"^(\d{1,2})[\/\-.](\d{2,4})$", 0, 1, 2, False),
+)
+WHOLE_DATE = r"^\d{1,4}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4}$|^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{2,4}$"
+# How a pack stands in a description, and characters that a file name can't have.
+PACK_LABEL, PACK_HYPHEN, PACK_NUMBER = r"(?i)^(.*?)\s*pack\s*size\s*:\s*(.+)$", r"^(.*\S)\s-\s*(\S+)$", r"^((?:.*\s)?)(\d\S*(?:\s+[^\d\s]\S*)*)$"
+RESERVED = r'[\\/:*?"<>|]'
+# Characters that count as blank at the ends of a text.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 # Limits.
 MAX_BYTES, MAX_PAGES, MIN_TEXT, MAX_ITEMS, SAMPLE_ROWS = 100 * 1024 * 1024, 150, 20, 300, 5
 ROW_RATIO, SEGMENT_GAP, OCR_GAP_RATIO, NEAR_ROWS, MIN_HEADER, SUBROW_X = 0.6, 50.0, 6.0, 3, 3, 20.0

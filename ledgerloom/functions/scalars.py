@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
+def strip(c: Column) -> Column:
+    """c without blanks of any kind, line breaks and tabs too, at its ends."""
+    return F.btrim(c, F.lit(C.BLANKS))
+
+
+def strip_sql(x: str) -> str:
+    return f"btrim({x}, '{C.BLANKS}')"
+
+
 def normalize_cell(c: Column) -> Column:
     """Runs of blanks, Unicode ones too, as one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def parse_amount(c: Column) -> Column:
     """Digits and dots read as a double, negative if the text starts with a minus; null if that is no number."""
     value = F.regexp_replace(c, "[^0-9.]", "").try_cast("double")
-    return F.when(F.trim(c).startswith("-"), -value).otherwise(value)
+    return F.when(strip(c).startswith("-"), -value).otherwise(value)
 
 
 def is_date(c: Column) -> Column:
-    return c.rlike(r"^\d{1,4}[\/\-\.]\d{1,2}[\/\-\.]\d{2,4}$|^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{2,4}$")
+    return c.rlike(C.WHOLE_DATE)
 
 
 def is_gstin(c: Column) -> Column:
@@ -38,12 +47,12 @@ def found(c: Column, pattern: str, group: int = 1) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """DD-MM-YYYY for the five shapes of dates in use, day first and the first day where there is none; else unchanged."""
-    v = F.trim(c)
+    v = strip(c)
     months = F.create_map(*[F.lit(x) for kv in C.MONTHS.items() for x in kv])
 
-    def pick(pattern: str, day: int | None, month: int, year: int, named: bool) -> tuple[Column, Column]:
+    def pick(pattern: str, day: int, month: int, year: int, named: bool) -> tuple[Column, Column]:
         part = lambda i: found(v, pattern, i)
-        d = F.lit(1) if day is None else part(day).try_cast("int")
+        d = F.lit(1) if not day else part(day).try_cast("int")
         m = F.element_at(months, F.lower(part(month))) if named else part(month).try_cast("int")
         y = part(year).try_cast("int")
         y = F.when(y < 100, y + 2000).otherwise(y)
@@ -51,13 +60,7 @@ def normalize_date(c: Column) -> Column:
         return v.rlike(pattern) & d.between(1, 31) & m.between(1, 12), F.concat(pad(d, 2), F.lit("-"), pad(m, 2), F.lit("-"), pad(y, 4))
 
     out = None
-    for args in (
-        (r"^(\d{1,2})[\/\-.](\d{1,2})[\/\-.](\d{2,4})$", 1, 2, 3, False),
-        (r"^(\d{1,2})[\s\/\-.]([A-Za-z]{3,9})[\s\/\-.,]+(\d{2,4})$", 1, 2, 3, True),
-        (r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{2,4})$", 2, 1, 3, True),
-        (r"^([A-Za-z]{3,9})[\s\/\-.](\d{2,4})$", None, 1, 2, True),
-        (r"^(\d{1,2})[\/\-.](\d{2,4})$", None, 1, 2, False),
-    ):
+    for args in C.DATE_FORMS:
         test, value = pick(*args)
         test = F.coalesce(test, F.lit(False))
         out = F.when(test, value) if out is None else out.when(test, value)
@@ -66,22 +69,22 @@ def normalize_date(c: Column) -> Column:
 
 def _pack(c: Column, pattern: str) -> Column:
     hit = c.rlike(pattern)
-    return F.when(hit, F.struct(F.trim(F.regexp_extract(c, pattern, 1)).alias("description"), F.trim(F.regexp_extract(c, pattern, 2)).alias("pack"))).otherwise(F.struct(c.alias("description"), F.lit(None).cast("string").alias("pack")))
+    return F.when(hit, F.struct(strip(F.regexp_extract(c, pattern, 1)).alias("description"), strip(F.regexp_extract(c, pattern, 2)).alias("pack"))).otherwise(F.struct(c.alias("description"), F.lit(None).cast("string").alias("pack")))
 
 
 def split_pack_label(c: Column) -> Column:
     """struct(description, pack) at "pack size:"; without it the text and null."""
-    return _pack(c, r"(?i)^(.*?)\s*pack\s*size\s*:\s*(.+)$")
+    return _pack(c, C.PACK_LABEL)
 
 
 def split_pack_hyphen(c: Column) -> Column:
     """struct(description, pack) at the last hyphen after a blank that has one word after it."""
-    return _pack(c, r"^(.*\S)\s-\s*(\S+)$")
+    return _pack(c, C.PACK_HYPHEN)
 
 
 def split_pack_number(c: Column) -> Column:
     """struct(description, pack) from the last word that starts with a digit, to the end."""
-    return _pack(F.trim(c), r"^((?:.*\s)?)(\d\S*(?:\s+[^\d\s]\S*)*)$")
+    return _pack(strip(c), C.PACK_NUMBER)
 
 
 def resolve_pack(description: Column, pack: Column) -> Column:
@@ -112,7 +115,7 @@ def is_subtotal(c: Column) -> Column:
 
 def sanitize_filename(value: Column, index: Column, prefix: str = "Unnamed") -> Column:
     fallback = F.concat(F.lit(f"{prefix}_"), index.cast("string"))
-    clean = F.regexp_replace(F.btrim(F.trim(F.regexp_replace(value, r'[\\/:*?"<>|]', "-")), F.lit("'")), r"\s+", "_")
+    clean = F.regexp_replace(F.btrim(strip(F.regexp_replace(value, C.RESERVED, "-")), F.lit("'")), r"\s+", "_")
     return F.substring(F.coalesce(F.nullif(F.when(F.nullif(value, F.lit("")).isNotNull(), clean), F.lit("")), fallback), 1, C.NAME_LENGTH)
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config as C
+from ..functions.scalars import strip
 
 KEY = ("job_id", "page_number")
 
 
 def usable_words(words: DataFrame) -> DataFrame:
     """Words with text whose confidence, if it is a number, isn't negative."""
-    return words.filter((F.trim("text") != "") & ~F.coalesce(F.col("conf").cast("string").try_cast("double") < 0, F.lit(False)))
+    return words.filter((strip(F.col("text")) != "") & ~F.coalesce(F.col("conf").cast("string").try_cast("double") < 0, F.lit(False)))
 
 
 def geometry(words: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip_sql
+
 _TOKEN = r"^\\s*(\\d+)\\s*(?:-\\s*(\\d+)\\s*)?$"
 
 
@@ -14,7 +16,7 @@ def parse_splits(jobs: DataFrame, raw: str = "split_value_raw", pages: str = "pa
     Tokens stand between commas; blank ones don't count and a blank text has no ranges. The first bad token names the
     error: syntax, then reversed (start over end), then bounds; only if all are good, overlap. No row is lost or shuffled.
     """
-    token = f"transform(filter(split(coalesce({raw}, ''), ','), x -> trim(x) != ''), x -> named_struct('ok', x rlike '{_TOKEN}', 'start', try_cast(nullif(regexp_extract(x, '{_TOKEN}', 1), '') as bigint), 'end', try_cast(coalesce(nullif(regexp_extract(x, '{_TOKEN}', 2), ''), nullif(regexp_extract(x, '{_TOKEN}', 1), '')) as bigint)))"
+    token = f"transform(filter(split(coalesce({raw}, ''), ','), x -> {strip_sql('x')} != ''), x -> named_struct('ok', x rlike '{_TOKEN}', 'start', try_cast(nullif(regexp_extract(x, '{_TOKEN}', 1), '') as bigint), 'end', try_cast(coalesce(nullif(regexp_extract(x, '{_TOKEN}', 2), ''), nullif(regexp_extract(x, '{_TOKEN}', 1), '')) as bigint)))"
     step = jobs.withColumn("_t", F.expr(token))
     bad = f"filter(transform(_t, x -> case when not x.ok then 'syntax' when x.start is null or x.end is null then 'bounds' when x.start > x.end then 'reversed' when x.start < 1 or x.end > {pages} then 'bounds' end), e -> e is not null)"
     step = step.withColumns({"_bad": F.expr(f"get({bad}, 0)"), "_r": F.expr("sort_array(transform(_t, x -> named_struct('start', x.start, 'end', x.end)))")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -9,6 +11,7 @@ from ..functions import fields as FI
 from ..functions import scalars as S
 from ..operators import export, grouping, items, layout, sections, splits, tables
 from ..operators.positional import assign_columns, column_bounds, header_anchors, scan
+from ..operators.positional import items as positional_items_of
 from ..sources import files, images
 from . import rendered as R
 
@@ -34,6 +37,14 @@ _TEXTS = f"texts as (select o_orderkey as doc, o_custkey, {R.ORDER_TEXT} as text
 _LINES = f"{_TEXTS}, lines as (select doc, unnest(range(len(string_split(text, chr(10)))))::int as row_idx, unnest(string_split(text, chr(10))) as text from texts)"
 
 
+#: In DuckDB, x without the characters that count as blank at its ends.
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in C.BLANKS)
+
+
+def _strip(x: str) -> str:
+    return f"trim({x}, {_BLANKS})"
+
+
 def _lines(t):
     return R.order_texts(t).select("doc", F.posexplode(F.split("text", "\n")).alias("row_idx", "text"))
 
@@ -132,11 +143,11 @@ def date_normalize(t):
     return t["orders"].selectExpr("o_orderkey as doc", f"{_DATES} as v").select("doc", S.normalize_date(F.col("v")).alias("normalized"))
 
 
-_AMOUNTS = """case o_orderkey % 6 when 0 then 'Rs. ' || cast(o_orderkey as string) when 1 then ' -1,' || cast(o_orderkey as string) || '.50' when 2 then '1.2.3' when 3 then '(12)' when 4 then '' else cast(o_orderkey as string) || '%' end"""
+_AMOUNTS = """case o_orderkey % 6 when 0 then 'Rs. ' || cast(o_orderkey as string) when 1 then ' -1,' || cast(o_orderkey as string) || '.50' when 2 then '1.2.3' when 3 then chr(9) || '-5' || chr(13) when 4 then chr(10) || chr(160) || '- 7' else cast(o_orderkey as string) || '%' end"""
 
 
 @query(f"""with v as (select o_orderkey as doc, {_AMOUNTS} as v from orders)
-select doc, try_cast(regexp_replace(v, '[^0-9.]', '', 'g') as double) * case when starts_with(trim(v), '-') then -1 else 1 end as amount from v""")
+select doc, try_cast(regexp_replace(v, '[^0-9.]', '', 'g') as double) * case when starts_with({_strip('v')}, '-') then -1 else 1 end as amount from v""")
 def amount_parse(t):
     return t["orders"].selectExpr("o_orderkey as doc", f"{_AMOUNTS} as v").select("doc", S.parse_amount(F.col("v")).alias("amount"))
 
@@ -233,7 +244,7 @@ def latest_jobs(t):
     return grouping.latest(rows.withColumn("v", F.col("event_id")), "job_id", "v").drop("v")
 
 
-_SPLIT = """case o_orderkey % 9 when 0 then null when 1 then '   ' when 2 then '5' when 3 then '1-5' when 4 then '7-9, 1-3, 4-6' when 5 then '5-1' when 6 then '1-20' when 7 then '1-5, 4-8' else '2, abc' end"""
+_SPLIT = """case o_orderkey % 9 when 0 then null when 1 then concat(' ', chr(9), chr(10)) when 2 then '5' when 3 then '1-5' when 4 then '7-9, 1-3, 4-6' when 5 then '5-1' when 6 then '1-20' when 7 then '1-5, 4-8' else '2, abc' end"""
 
 
 def _splits(t):
@@ -243,7 +254,7 @@ def _splits(t):
 
 _TOK = r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$"
 _SPLITS = rf"""with j as (select o_orderkey as job_id, {_SPLIT} as raw, o_orderkey % 2 = 0 as ok from orders),
-k as (select job_id, unnest(list_filter(string_split(raw, ','), lambda x: trim(x) <> '')) as tok, unnest(range(len(list_filter(string_split(raw, ','), lambda x: trim(x) <> '')))) as i from j where trim(coalesce(raw, '')) <> ''),
+k as (select job_id, unnest(list_filter(string_split(raw, ','), lambda x: {_strip('x')} <> '')) as tok, unnest(range(len(list_filter(string_split(raw, ','), lambda x: {_strip('x')} <> '')))) as i from j where {_strip("coalesce(raw, '')")} <> ''),
 p as (select job_id, i, regexp_matches(tok, '{_TOK}') as fine, try_cast(regexp_extract(tok, '{_TOK}', 1) as bigint) as s, try_cast(coalesce(nullif(regexp_extract(tok, '{_TOK}', 2), ''), regexp_extract(tok, '{_TOK}', 1)) as bigint) as e from k),
 b as (select *, case when not fine then 'syntax' when s > e then 'reversed' when s < 1 or e > 10 then 'bounds' end as bad, lead(s) over (partition by job_id order by s, e) as ns from p),
 x as (select job_id, coalesce(arg_min(bad, i) filter (bad is not null), case when bool_or(ns is not null and e >= ns) then 'overlap' end) as err from b group by 1)"""
@@ -277,9 +288,13 @@ def file_sniff(t):
     return files.sniff(b, max_bytes=100).select("job_id", "error", "file_type")
 
 
-@query("select doc_id, coalesce(length(trim(text)) >= 20, false) as has_text_layer from documents")
+#: Texts of documents, some of them blanks and a few letters only.
+_LAYER = "case when doc_id % 7 = 0 then chr(10) || chr(9) || left(text, 12) || repeat(chr(10), 30) || chr(160) else text end"
+
+
+@query("select doc_id, coalesce(length(" + _strip(_LAYER) + ") >= 20, false) as has_text_layer from documents")
 def text_layer_flag(t):
-    return t["documents"].select("doc_id", files.has_text_layer(F.col("text")).alias("has_text_layer"))
+    return t["documents"].select("doc_id", files.has_text_layer(F.expr(_LAYER)).alias("has_text_layer"))
 
 
 @query(f"with {_WORDS}, c as (select *, case word_ord % 5 when 0 then '-1' when 1 then '96.5' when 2 then 'n/a' when 3 then null else '0' end as conf from words) select job_id, word_ord from c where not coalesce(try_cast(conf as double) < 0, false)")
@@ -302,21 +317,52 @@ def upscale_factor(t):
     return i.select("page", images.upscale_factor(F.col("width"), F.col("dpi")).alias("factor"))
 
 
+_OCR = "case when page_id % 3 = 0 then chr(10) || repeat(chr(9), 40) else 'page with a text layer ' || cast(page_id as string) end"
+
+
+@query(f"""with p as (select o_orderkey as page_id from orders), r as (select page_id, {_OCR} as text from p)
+select page_id, case when page_id % 3 = 0 then 'read ' || cast(page_id as varchar) else text end as text, case when page_id % 3 = 0 then 'ocr' else 'native_pdf_text_layer' end as source, page_id % 3 <> 0 as has_text_layer from r""")
+def page_sources(t):
+    """Pages with a text layer as they are, the others as the reader of images gives them."""
+    raw = t["orders"].select(F.col("o_orderkey").alias("page_id")).withColumn("text", F.expr(_OCR))
+    return files.page_sources(raw, lambda bare: bare.withColumn("text", F.concat(F.lit("read "), F.col("page_id").cast("string"))))
+
+
+@query("""with j as (select user_id as job_id, count(*) as page_count from events group by 1) select job_id, page_count, page_count > 150 as refused from j""")
+def page_limit(t):
+    fine, over = files.limit_pages(t["events"].groupBy(F.col("user_id").alias("job_id")).agg(F.count(F.lit(1)).alias("page_count")))
+    return fine.withColumn("refused", F.lit(False)).unionByName(over.withColumn("refused", F.lit(True)))
+
+
+@query(f"""with {_WORDS}, r as (select *, job_id % 5 * 90 as rot from words), b as (select job_id, word_ord,
+  case rot % 360 when 90 then 800 - y0 when 180 then 600 - x0 when 270 then y0 else x0 end as a0, case rot % 360 when 90 then 800 - y1 when 180 then 600 - x1 when 270 then y1 else x1 end as a1,
+  case rot % 360 when 90 then x0 when 180 then 800 - y0 when 270 then 600 - x0 else y0 end as b0, case rot % 360 when 90 then x1 when 180 then 800 - y1 when 270 then 600 - x1 else y1 end as b1 from r)
+select job_id, word_ord, least(a0, a1) as x0, least(b0, b1) as y0, greatest(a0, a1) as x1, greatest(b0, b1) as y1 from b""")
+def rotated_words(t):
+    w = R.words(t).withColumns({"rotation": (F.col("job_id") % 5 * 90).cast("int"), "page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    return files.rotate_boxes(w).select("job_id", "word_ord", "x0", "y0", "x1", "y1")
+
+
 # Header fields.
 
 
+def _group(label: str, value: str) -> str:
+    return rf"regexp_extract(text, '(?i)(?:{label})[ \t]*[:\-#]?[ \t]*({value})', 1)"
+
+
 def _labeled_sql(f: str) -> str:
     v = C.SHAPES[C.SHAPE_OF[f]]
-    return "coalesce(" + ", ".join(rf"nullif(trim(trim(trim(regexp_extract(text, '(?i)(?:{x})[ \t]*[:\-#]?[ \t]*({v})', 1)), ':')), '')" for x in C.LABELS[f]) + ")"
+    return "coalesce(" + ", ".join(rf"nullif({_strip(f"trim({_strip(_group(x, v))}, ':')")}, '')" for x in C.LABELS[f]) + ")"
 
 
 def _value_sql(f: str) -> str:
     if f == "party_name":
-        return f"nullif(trim(regexp_extract(text, '(?im){C.VENDOR_LINE}', 1)), '')"
+        vendor = f"regexp_extract(text, '(?im){C.VENDOR_LINE}', 1)"
+        return f"nullif({_strip(vendor)}, '')"
     v = _labeled_sql(f)
     if f == "invoice_number":
         return f"coalesce({v}, nullif(regexp_extract(text, '(?i){C.NEXT_LINE_NUMBER}', 1), ''))"
-    return f"case when not starts_with(ltrim({v}), '/') then {v} end" if f == "buyer_name" else v
+    return f"case when not starts_with({_strip(v)}, '/') then {v} end" if f == "buyer_name" else v
 
 
 def _grade_sql(f: str) -> str:
@@ -334,7 +380,7 @@ def _grade_sql(f: str) -> str:
 
 
 def _amount_sql(f: str) -> str:
-    return f"try_cast(regexp_replace(_{f}, '[^0-9.]', '', 'g') as double) * case when starts_with(trim(_{f}), '-') then -1 else 1 end"
+    return f"try_cast(regexp_replace(_{f}, '[^0-9.]', '', 'g') as double) * case when starts_with({_strip(f'_{f}')}, '-') then -1 else 1 end"
 
 
 _FOUND = f"with {_TEXTS}, found as (select doc, text, case when doc % 2 = 0 then 'ocr' else 'native_pdf_text_layer' end as source, {', '.join(f'{_value_sql(f)} as _{f}' for f in C.HEADER_FIELDS)} from texts)"
@@ -361,7 +407,7 @@ def header_confidence(t):
     return _headers(t).select("doc", *[f"{f}_confidence" for f in C.HEADER_FIELDS])
 
 
-@query(f"{_FOUND} select doc, _invoice_number as invoice_number, {_capped_sql('invoice_number').replace('invoice_number_confidence', 'confidence')}, length(trim(text)) >= 20 as has_text_layer from found")
+@query(f"{_FOUND} select doc, _invoice_number as invoice_number, {_capped_sql('invoice_number').replace('invoice_number_confidence', 'confidence')}, length({_strip("text")}) >= 20 as has_text_layer from found")
 def page_numbers(t):
     docs = R.order_texts(t).withColumn("source", F.when(F.col("doc") % 2 == 0, "ocr").otherwise("native_pdf_text_layer"))
     return FI.page_numbers(docs).select("doc", "invoice_number", "confidence", "has_text_layer")
@@ -416,18 +462,19 @@ def section_pools(t):
     return sections.word_pools(_tokens(t), sections.sections(_lines(t))).select("doc", "row_idx", "x0", "pool")
 
 
+_CLEAN = _strip(f"trim({_strip('w.text')}, ':-')")
 _NEAR = """lab as (select doc, min(row_idx) as label_row from lines where {label} group by 1),
-cand as (select w.doc, trim(trim(trim(w.text), ':-')) as v, w.x0, w.row_idx - l.label_row as away from words w join lab l on l.doc = w.doc where abs(w.row_idx - l.label_row) between 1 and 3),
+cand as (select w.doc, {strip} as v, w.x0, w.row_idx - l.label_row as away from words w join lab l on l.doc = w.doc where abs(w.row_idx - l.label_row) between 1 and 3),
 hit as (select doc, v, row_number() over (partition by doc order by (away < 0), abs(away), x0) as n from cand where regexp_full_match(v, '{shape}'))"""
 
 
-@query(f"with {_TOKENS}, {_NEAR.format(label=_any_sql('text', C.LABELS['ack_number']), shape=C.SHAPES['code'])} select lab.doc, hit.v as value, label_row from lab left join hit on hit.doc = lab.doc and n = 1")
+@query(f"with {_TOKENS}, {_NEAR.format(strip=_CLEAN, label=_any_sql('text', C.LABELS['ack_number']), shape=C.SHAPES['code'])} select lab.doc, hit.v as value, label_row from lab left join hit on hit.doc = lab.doc and n = 1")
 def value_near_label(t):
     return sections.value_near_label(_tokens(t), C.LABELS["ack_number"], C.SHAPES["code"])
 
 
 @query(f"""with {_TOKENS}, lab as (select doc, min(row_idx) as label_row from lines where {_any_sql("text", C.LABELS["invoice_number"])} group by 1),
-cand as (select w.doc, trim(trim(trim(w.text), ':-')) as v, w.x0, w.row_idx - l.label_row as away from words w join lab l on l.doc = w.doc where abs(w.row_idx - l.label_row) between 1 and 3),
+cand as (select w.doc, {_CLEAN} as v, w.x0, w.row_idx - l.label_row as away from words w join lab l on l.doc = w.doc where abs(w.row_idx - l.label_row) between 1 and 3),
 e as (select doc, v, row_number() over (partition by doc order by (away < 0), abs(away), x0) as n from cand where regexp_full_match(v, '{C.SHAPES["irn"]}')),
 g as (select doc, v, row_number() over (partition by doc order by (away < 0), abs(away), x0) as n from cand where regexp_full_match(v, '{C.SHAPES["number"]}') and regexp_matches(v, '[0-9]'))
 select lab.doc, coalesce(e.v, g.v) as value, case when e.v is not null then 'review' when g.v is not null then 'low' else 'not_found' end as confidence
@@ -436,9 +483,25 @@ def number_near_label(t):
     return sections.number_near_label(_tokens(t))
 
 
-@query()
+def _fallback_sql() -> str:
+    """Candidates of each field as a list in order; then the fields in turn, each with the first that none before has taken."""
+    texts = [f for f in C.HEADER_FIELDS if f not in C.AMOUNTS]
+    out = [f"found as (select doc, text, case when doc % 2 = 0 then 'ocr' else 'native_pdf_text_layer' end as source, {', '.join(f'{_value_sql(f)} as _{f}' for f in C.HEADER_FIELDS)} from texts)"]
+    out.append(f"s0 as (select doc, source, {', '.join(f'_{f}' for f in texts)}, list_filter([{', '.join(f'_{f}' for f in texts)}], lambda x: x is not null) as held from found)")
+    for i, f in enumerate(C.FALLBACK_FIELDS):
+        out.append(f"l{i} as (select doc, min(row_idx) as label_row from lines where {_any_sql('text', C.LABELS[f])} group by 1)")
+        out.append(f"c{i} as (select w.doc, {_CLEAN} as v, w.x0, w.row_idx - l.label_row as away from words w join l{i} l on l.doc = w.doc where abs(w.row_idx - l.label_row) between 1 and 3)")
+        out.append(f"k{i} as (select doc, list(v order by (away < 0), abs(away), x0) as vs from c{i} where regexp_full_match(v, '{C.SHAPES[C.SHAPE_OF[f]]}') group by 1)")
+        out.append(f"n{i} as (select s{i}.*, case when _{f} is null then list_filter(vs, lambda v: not list_contains(held, v))[1] end as new_{f} from s{i} left join k{i} on k{i}.doc = s{i}.doc)")
+        out.append(f"s{i + 1} as (select * replace (case when new_{f} is null then held else list_append(held, new_{f}) end as held) from n{i})")
+    last = ", ".join(f"coalesce(_{f}, new_{f}) as {f}, case when new_{f} is not null then 'review' else g.{f}_confidence end as {f}_confidence" for f in C.FALLBACK_FIELDS)
+    graded = f"g as (select doc, {', '.join(_capped_sql(f) for f in C.FALLBACK_FIELDS)} from found)"
+    return f"with {_TOKENS}, {', '.join(out)}, {graded} select z.doc, {last} from s{len(C.FALLBACK_FIELDS)} z join g on g.doc = z.doc"
+
+
+@query(_fallback_sql())
 def field_fallback(t):
-    """Fields filled from near their labels, in turn; a value one takes is gone for the next, which SQL has no plain form for."""
+    """Fields filled from near their labels, in turn; a value one takes is gone for the next."""
     return sections.fill_near_labels(_headers(t), _tokens(t)).select("doc", *[c for f in C.FALLBACK_FIELDS for c in (f, f"{f}_confidence")])
 
 
@@ -492,9 +555,9 @@ def word_geometry(t):
 # Tables.
 
 _ANCHORS = """select o_orderkey as job_id, 1 as page_number, 0 as header_row, 1 as data_row, f.field, cast(f.x + o_orderkey % 7 as double) as x0, cast(f.x + o_orderkey % 7 + 20 as double) as x1, f.field as header_text
-  from {orders} cross join (select 'item_description' as field, 60 as x union all select 'quantity', 160 union all select null, 230 union all select 'unit_rate', 300 union all select 'line_total', 400) f where o_orderkey % 5 = 0"""
+  from {orders} cross join (select 'item_description' as field, 60 as x union all select 'quantity', 160 union all select null, 230 union all select 'unit_rate', 300 union all select 'line_total', 400) f"""
 _CELLS = """select o_orderkey as job_id, 1 as page_number, cast(1 + k.k % 2 as int) as row_id, cast(k.k as int) as word_ord, 'w' || cast(k.k as string) as text, cast((k.k * 61 + o_orderkey * 7) % 460 as double) as x0, cast((k.k * 61 + o_orderkey * 7) % 460 + 15 as double) as x1
-  from {orders} cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7) k where o_orderkey % 5 = 0"""
+  from {orders} cross join (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7) k"""
 _BOUNDS = f"""a as ({_ANCHORS.replace("{orders}", "orders")}), e as (select *, case when field = 'item_description' then '-infinity'::double else coalesce((lag(x1) over w + x0) / 2, '-infinity'::double) end as "left", coalesce((x1 + lead(x0) over w) / 2, 'infinity'::double) as "right" from a window w as (partition by job_id order by x0)),
 bounds as (select *, (row_number() over (partition by job_id order by x0) - 1)::int as bound_idx from e where field is not null)"""
 
@@ -517,42 +580,93 @@ def assign_columns_query(t):
 
 _HEAD_WORDS = """select o_orderkey as job_id, 1 as page_number, w.r as row_id, w.o as word_ord, cast(w.x + o_orderkey % 5 as double) as x0, cast(w.x + o_orderkey % 5 + 30 as double) as x1, w.t as text
   from {} cross join (select 0 as r, 0 as o, 10 as x, 'Company' as t union all select 1, 1, 50, 'Item' union all select 1, 2, 230, 'HSN' union all select 1, 3, 300, 'CGST' union all select 1, 4, 350, 'OLD' union all select 1, 5, 410, 'SALE'
-    union all select 2, 6, 302, '%' union all select 2, 7, 352, 'MRP' union all select 2, 8, 412, 'QTY' union all select 2, 9, 470, 'Total' union all select 3, 10, 50, 'Soap') w where o_orderkey % 50 = 0"""
+    union all select 2, 6, 302, '%' union all select 2, 7, 352, 'MRP' union all select 2, 8, 412, 'QTY' union all select 2, 9, 470, 'Total' union all select 3, 10, 50, 'Soap') w"""
 
 
 @query("""select o_orderkey as job_id, 1 as header_row, 3 as data_row, u.field, cast(u.a + o_orderkey % 5 as double) as x0, cast(u.b + o_orderkey % 5 as double) as x1, u.h as header_text from orders cross join
-(values ('item_description', 50, 80, 'Item'), ('hsn_sac', 230, 260, 'HSN'), ('cgst_rate', 300, 332, 'CGST %'), ('mrp_old', 350, 382, 'OLD MRP'), ('quantity', 410, 442, 'SALE QTY'), ('line_total', 470, 500, 'Total')) u(field, a, b, h) where o_orderkey % 50 = 0""")
+(values ('item_description', 50, 80, 'Item'), ('hsn_sac', 230, 260, 'HSN'), ('cgst_rate', 300, 332, 'CGST %'), ('mrp_old', 350, 382, 'OLD MRP'), ('quantity', 410, 442, 'SALE QTY'), ('line_total', 470, 500, 'Total')) u(field, a, b, h)""")
 def positional_header(t):
     """Columns claimed by the words of a header of two lines."""
     w = t["orders"].sparkSession.sql(_HEAD_WORDS.format("{orders}"), orders=t["orders"])
     return header_anchors(w).select("job_id", "header_row", "data_row", "field", "x0", "x1", "header_text")
 
 
+_PLAIN_TABLE = """select job_id, 1 as page_number, cast(line_number as int) as row_id, w.o as word_ord, w.x as x0, w.x + 5e0 * length(w.t) as x1, w.t as text from
+  (select job_id, line_number, 'P' || cast(l_partkey as string) as d, case when l_partkey % 7 = 0 then '' else cast(l_suppkey % 50 as string) end as q, case when l_partkey % 7 = 0 then '' when l_partkey % 11 = 0 then 'n/a' else cast(l_suppkey % 9 as string) || '.50' end as r from {}) i
+  cross join lateral (select 0 as o, 50e0 as x, d as t union all select 1, 300e0, q union all select 2, 410e0, r union all select 3, 500e0, case when q = '' then '' else '7' end) w where w.t <> ''
+  union all select distinct job_id, 1, 0, w.o, w.x, w.x + 30, w.t from {} cross join (select 0 as o, 50e0 as x, 'Item' as t union all select 1, 300e0, 'Qty' union all select 2, 410e0, 'Rate' union all select 3, 500e0, 'Total') w"""
+
+
+@query(f"""with {_ITEMS}, r as (select job_id, line_number, l_partkey % 7 = 0 as label, 'P' || l_partkey::varchar as d, (l_suppkey % 50)::double as q, case when l_partkey % 11 <> 0 then (l_suppkey % 9)::double + 0.5 end as u from items)
+select job_id, row_number() over (partition by job_id order by line_number)::int as line_number, line_number as row_id, d as item_description, q as quantity, u as unit_rate, 7.0::double as line_total, 'low' as base_confidence, case when u is null then 'not_found' else 'low' end as rate_grade from r where not label""")
+def positional_items(t):
+    """Items of pages without ruled tables; rows of a description alone are none, and a header of few columns grades all low."""
+    i = R.items(t)
+    words = t["lineitem"].sparkSession.sql(_PLAIN_TABLE.format("{items}", "{items}"), items=i)
+    made = positional_items_of(words, layout.row_texts(words))
+    return made.select("job_id", "line_number", "row_id", "item_description", "quantity", "unit_rate", "line_total", "base_confidence", F.element_at("field_confidences", "unit_rate").alias("rate_grade"))
+
+
 _SCAN = "select job_id, line_number as row_id, (l_partkey * 7 + l_suppkey) % 23 = 0 as hard_stop, (l_partkey + l_suppkey) % 4 = 0 as unmatched, (l_partkey + l_suppkey) % 4 > 1 as is_item from {}"
 
 
 @query(f"""with {_ITEMS}, r as ({_SCAN.format("items")}), s as (select *, sum(case when hard_stop or (unmatched and coalesce(pu, false)) then 1 else 0 end) over (partition by job_id order by row_id) as st from (select *, lag(unmatched) over (partition by job_id order by row_id) as pu from r)),
-k as (select *, (sum(is_item::int) over (partition by job_id order by row_id))::int as line_number from s where st = 0) select job_id, row_id, line_number from k where is_item and line_number <= 3""")
+k as (select *, (sum(is_item::int) over (partition by job_id order by row_id))::int as line_number from s where st = 0) select job_id, row_id, line_number from k where is_item and line_number <= 300""")
 def positional_scan(t):
     r = t["lineitem"].sparkSession.sql(_SCAN.format("{items}"), items=R.items(t))
-    return scan(r, key=("job_id",), cap=3).select("job_id", "row_id", "line_number")
+    return scan(r, key=("job_id",)).select("job_id", "row_id", "line_number")
+
+
+_HEADS: tuple[tuple[str | None, ...], ...] = (
+    ("Sr No", "Product Description", "HSN", "Qty", "Rate", "CGST %", "CGST Amt", "\tNet Amount\n"), ("Item", "Old Mrp", "New Mrp", "Ptr", "Pts", "Disc %", "Disc Amt", "Value"), ("Amount", "Net Amount", "Taxable Value", "Transaction", "", None, "Batch", "Exp Date"),
+    ("Mfg Date/\nExp Date", "Material/\nHSN", "Amount/\nCGST%", "Disc/\nDisc %", "Wrapped\nname", "Name of\nProduct", "Qty", "Total"), ("Amount/\n SGST rate", " \nx", "Mfg Name\n\tBatch no", "Total Qty", "amount", "Free", "Sold", "Product"),
+)
+
 
+def _cell(c: str | None) -> str:
+    return "null" if c is None else " || ".join(["''", *(f"chr({ord(p)})" if p in "\n\t" else f"'{p}'" for p in re.split("([\n\t])", c) if p)])
 
-_HEADS = """array(array('Sr No', 'Product Description', 'HSN', 'Qty', 'Rate', 'CGST %', 'CGST Amt', 'Net Amount'), array('Item', 'Old Mrp', 'New Mrp', 'Ptr', 'Pts', 'Disc %', 'Disc Amt', 'Value'), array('Amount', 'Net Amount', 'Taxable Value', 'Transaction', '', null, 'Batch', 'Exp Date'),
-  array('Mfg Date/\\nExp Date', 'Material/\\nHSN', 'Amount/\\nCGST%', 'Disc/\\nDisc %', 'Wrapped\\nname', 'Name of\\nProduct', 'Qty', 'Total'))"""
+
+#: Headers of orders: one of those above, begun at another of its cells.
+_TURNED = "with d as (select o_orderkey as job_id, {} as h0, cast(o_orderkey % 7 as int) as r from {}) select job_id, {} as h from d"
+_HEADERS_DUCK = _TURNED.format(f"[{', '.join('[' + ', '.join(map(_cell, h)) + ']' for h in _HEADS)}][o_orderkey % 5 + 1]", "orders", "list_concat(h0[r + 1:], h0[:r])")
+_HEADERS_SPARK = _TURNED.format(f"array({', '.join('array(' + ', '.join(map(_cell, h)) + ')' for h in _HEADS)})[cast(o_orderkey % 5 as int)]", "{orders}", "concat(slice(h0, r + 1, 8), slice(h0, 1, r))")
 
 
 def _headers_of(t):
-    return t["orders"].select(F.col("o_orderkey").alias("job_id"), F.expr(f"{_HEADS}[cast(o_orderkey % 4 as int)]").alias("h"))
+    return t["orders"].sparkSession.sql(_HEADERS_SPARK, orders=t["orders"])
+
+
+def _map_sql() -> str:
+    """A fold over the cells of each distinct header, with what is claimed so far."""
+    vocabulary = "[" + ", ".join(f"{{'f': '{f}', 'k': [{', '.join(repr(k) for k in ks)}]}}" for f, ks in C.COLUMNS.items()) + "]"
+    exact = "case t " + " ".join(f"when '{k}' then '{v}'" for k, v in C.EXACT_COLUMNS.items()) + " end"
+    cell = "coalesce(h[i + 1], '')"
+    named = f"list_filter({vocabulary}, lambda v: not list_contains(used, v.f) and len(list_filter(v.k, lambda k: contains(t, k))) > 0)[1].f"
+    return f"""with recursive heads as ({_HEADERS_DUCK}), d as (select distinct h from heads),
+f as (select h, 0 as i, []::varchar[] as used, []::varchar[] as made from d union all
+  select h, i + 1, case when p is null then used else list_append(used, p) end, list_append(made, coalesce(p, '-')) from
+    (select *, case when c = '' then null when {exact} is not null and not list_contains(used, {exact}) then {exact} else {named} end as p from (select *, {cell} as c, lower({_strip(cell)}) as t from f where i < len(h))))
+select job_id, array_to_string(made, '|') as columns from heads join f on f.h = heads.h and f.i = len(f.h)"""
 
 
-@query()
+@query(_map_sql())
 def header_map(t):
-    """Columns named by header cells; a fold over claimed names, held against brute force in the tests."""
-    return _headers_of(t).select("job_id", tables.map_header("h").alias("columns"))
+    """Columns named by header cells: each distinct header is mapped once, by a fold over claimed names."""
+    return tables.with_columns_of(_headers_of(t), "h", "columns").select("job_id", F.array_join("columns", "|", "-").alias("columns"))
+
+
+def _stacked_sql() -> str:
+    some = lambda x: "null" if x is None else f"'{x}'"
+    cases = [(f"contains(l[1], '{a}') and contains(l[2], '{b}')", some(x), some(y)) for a, b, x, y in C.STACKED]
+    cases += [(f"contains(l[1], 'amount') and contains(l[2], '{t}')", f"'{t}_amount'", f"'{t}_rate'") for t in C.STACKED_TAXES]
+    pick = lambda k: "case when len(l) < 2 then null " + " ".join(f"when {c[0]} then {c[k]}" for c in cases) + " end"
+    lines = f"list_filter(list_transform(string_split(lower(coalesce(c, '')), chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+    return f"""with heads as ({_HEADERS_DUCK}), e as (select job_id, unnest(range(len(h)))::int as i, unnest(h) as c from heads), l as (select job_id, i, {lines} as l from e),
+p as (select job_id, i, {pick(1)} as "first", {pick(2)} as "second" from l) select * from p where "first" is not null or "second" is not null"""
 
 
-@query()
+@query(_stacked_sql())
 def stacked_headers(t):
     return _headers_of(t).select("job_id", F.posexplode(tables.map_stacked("h")).alias("i", "s")).select("job_id", "i", "s.first", "s.second").filter("first is not null or second is not null")
 
@@ -581,36 +695,49 @@ def best_table(t):
     return tables.best_table(c).select("job_id", "page_number", "table_index", "n_matched")
 
 
-_TABLES = """select o_orderkey as job_id, 1 as page_number, 0 as table_index, false as header_external, cast(array() as array<string>) as header,
-  case o_orderkey % 3 when 0 then array(array('Sr No', 'Description', 'Qty', 'Rate', 'Taxable Amt'), array('1', 'Soap bar', '10', '5.00', '50.00'), array('2', 'Soap\\ncake', '3', 'x', '9.00'), array('', 'Total', '', '', '59.00'))
-    when 1 then array(array('Some Company', null, null), array('', null, null), array('Product', 'Qty', 'Value'), array('Pen', '2', '4.00'))
-    else array(array('Tax Rate', 'Taxable Amt', 'Tax Amt'), array('5', '500.00', '25.00'), array('12 %', cast(o_orderkey as string) || '.00', '-1.00'), array('', '1', '2')) end as rows from {orders}"""
+#: Ruled tables of orders: items with a sum, a header below a letterhead, a decoy of fewer columns, and taxes by rate; the figures are the order's.
+_Q, _NAME = "cast(o_orderkey % 40 as string)", "concat('Soap ', cast(o_custkey as string))"
+_TABLES = f"""select o_orderkey as job_id, 1 as page_number, p.i as table_index, false as header_external, cast(array() as array<string>) as header, case
+  when p.i = 1 and o_orderkey % 3 = 0 then array(array('Product', 'HSN', 'Qty', 'Rate', 'Taxable Amt'), array('few', '1', '1', '1', '1'), array(null, '2', '', '', ''))
+  when p.i = 1 then array(array('Name', 'Remarks'), array('a', 'b'))
+  when o_orderkey % 3 = 0 then array(array('Sr No', 'Description', 'Qty', 'Rate', 'Taxable Amt'), array('1', {_NAME}, {_Q}, '5.00', concat({_Q}, ',000.50')), array('2', concat(chr(9), {_NAME}, chr(10), 'cake'), '3', 'x', concat('-', {_Q})), array('', concat('Total ', {_Q}), '', '', '59.00'))
+  when o_orderkey % 3 = 1 then array(array('Some Company', null, null), array('', null, null), array('Product', 'Qty', 'Value'), array({_NAME}, {_Q}, concat('Rs. ', {_Q}, '.25')))
+  else array(array('Tax Rate', 'Taxable Amt', 'Tax Amt'), array('5', concat({_Q}, '.00'), '25.00'), array(concat({_Q}, ' %'), concat(cast(o_orderkey as string), '.00'), '-1.00'), array('', '1', '2')) end as rows
+  from {{orders}} cross join (values (0), (1)) p(i) where p.i = 0 or o_orderkey % 2 = 0"""
 
 
 def _tables(t):
     return t["orders"].sparkSession.sql(_TABLES, orders=t["orders"])
 
 
-@query("""select o_orderkey as job_id, u.row_ord, u.line_number, u.item_description, u.quantity, u.taxable_value, u.line_total, u.is_subtotal from orders cross join
-(values (0, 0, 1, 'Soap bar', 10.0::double, 50.0::double, null::double, false), (0, 1, 2, 'Soap cake', 3.0, 9.0, null, false), (0, 2, null, 'Total', null, 59.0, null, true), (1, 0, 1, 'Pen', 2.0, null, 4.0, false)) u(k, row_ord, line_number, item_description, quantity, taxable_value, line_total, is_subtotal) where o_orderkey % 3 = u.k""")
+_KIND = "k as (select o_orderkey as job_id, o_orderkey % 3 as kind, o_orderkey % 2 = 0 as two, (o_orderkey % 40)::double as q, (o_orderkey % 40)::varchar as qs, 'Soap ' || o_custkey::varchar as name from orders)"
+
+
+@query(f"""with {_KIND} select job_id, 0 as row_ord, 1 as line_number, name as item_description, q as quantity, case when kind = 0 then q * 1000 + 0.5 end as taxable_value, case when kind = 1 then (qs || '.25')::double end as line_total, false as is_subtotal from k where kind = 0
+union all select job_id, 1, 2, name || ' cake', 3.0, -q, null, false from k where kind = 0 union all select job_id, 2, null, 'Total ' || qs, null, 59.0, null, true from k where kind = 0
+union all select job_id, 0, 1, name, q, null, try_cast('.' || qs || '.25' as double), false from k where kind = 1""")
 def table_items(t):
+    """Amounts keep every dot of their cell, so the one after a currency's abbreviation makes them no number."""
     chosen = tables.best_table(tables.candidates(_tables(t)))
     return tables.table_items(chosen).select("job_id", "row_ord", "line_number", "item_description", "quantity", "taxable_value", "line_total", "is_subtotal")
 
 
-@query("""select o_orderkey as job_id, u.rate, case when u.taxable_amount < 0 then o_orderkey::double else u.taxable_amount end as taxable_amount, u.tax_amount from orders cross join (values (5.0::double, 500.0::double, 25.0::double), (12.0, -1.0, -1.0)) u(rate, taxable_amount, tax_amount) where o_orderkey % 3 = 2""")
+@query(f"with {_KIND} select job_id, 5.0::double as rate, q as taxable_amount, 25.0::double as tax_amount from k where kind = 2 union all select job_id, q, job_id::double, -1.0 from k where kind = 2")
 def tax_brackets(t):
     return tables.tax_brackets(_tables(t)).select("job_id", "rate", "taxable_amount", "tax_amount")
 
 
-@query("""select o_orderkey as job_id, 2::int as header_row from orders where o_orderkey % 3 = 1 union all select o_orderkey, case when o_orderkey % 3 = 0 then 0 end from orders where o_orderkey % 3 <> 1""")
+@query(f"with {_KIND} select job_id, 0 as table_index, case kind when 0 then 0 when 1 then 2 end as header_row from k union all select job_id, 1, case kind when 0 then 0 end from k where two")
 def internal_header(t):
-    return tables.best_internal_header(_tables(t)).select("job_id", "header_row")
+    return tables.best_internal_header(_tables(t)).select("job_id", "table_index", "header_row")
 
 
-@query("""select o_orderkey as job_id, 1::bigint as n_tables, (o_orderkey % 3 < 2)::bigint as n_usable, case when o_orderkey % 3 < 2 then 0 end as chosen, case o_orderkey % 3 when 0 then 'only usable table' when 1 then 'only usable table' else 'no table names a description' end as reason from orders""")
+@query(f"""with {_KIND} select job_id, 1 + two::bigint as n_tables, case kind when 0 then 1 + two::bigint when 1 then 1 else 0 end::bigint as n_usable, case when kind < 2 then 0 end as chosen, case kind when 0 then 5 when 1 then 3 end as n_matched, case kind when 0 then 3 when 1 then 1 end as n_rows,
+  case when kind = 2 then 'no table names a description' when kind = 0 and two then 'most rows of those with most columns named' else 'only usable table' end as reason,
+  case when kind = 0 then 'Total ' || qs || ' 59.00' end as subtotal, case when two then 2 else 1 end as n_candidates from k""")
 def table_diagnostics(t):
-    return tables.diagnostics(tables.candidates(_tables(t))).select("job_id", "n_tables", "n_usable", "chosen", "reason")
+    d = tables.diagnostics(tables.candidates(_tables(t)))
+    return d.select("job_id", "n_tables", "n_usable", "chosen", "n_matched", "n_rows", "reason", F.get("subtotals", F.lit(0)).alias("subtotal"), F.size("candidates").alias("n_candidates"))
 
 
 @query(f"""with {_ITEMS}, a as (select job_id, hsn_sac as group_id, line_number, case when job_id % 4 = 0 then 0 when job_id % 4 = 1 then 1 else 2 end as f from items)
@@ -666,6 +793,13 @@ def export_manifest(t):
     return export.csv_files(R.items(t), ["line_number", "item_description", "hsn_sac", "quantity"], ("job_id",)).drop("content")
 
 
+@query(f"with {_ITEMS}, g as (select job_id, count(distinct hsn_sac) as n from items group by 1) select job_id, 'invoices_' || job_id::varchar || '_20260131.zip' as filename from g where n > 1")
+def export_archives(t):
+    """One archive for each job of more than one invoice; its bytes are held against the files in the tests."""
+    made = export.csv_files(R.items(t).withColumn("group_id", F.col("hsn_sac")), ["line_number", "item_description", "quantity"])
+    return export.zip_files(made.withColumn("filename", F.concat("group_id", F.lit(".csv"))), "20260131").select("job_id", "filename")
+
+
 for _old, _new in (("column_bounds_query", "column_bounds"), ("assign_columns_query", "assign_columns")):
     QUERIES[_new] = QUERIES.pop(_old)
     SQL[_new] = SQL.pop(_old)

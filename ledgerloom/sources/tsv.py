@@ -1,13 +1,17 @@
-"""Words from text files: a word a line, as text, x0, y0, x1, y1 and, if known, confidence, between tabs."""
+"""Words from text files: a word a line, as text, x0, y0, x1, y1 and, if known, confidence, between tabs. Paths are of any store Arrow knows by its URI."""
 
 from __future__ import annotations
 
+from pyarrow import fs
+
 
 def pages(path: str) -> list[int]:
     return [1]
 
 
 def words(path: str, number: int) -> list[tuple]:
-    with open(path, encoding="utf-8") as f:
-        rows = [line.rstrip("\n").split("\t") for line in f if line.strip()]
+    store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    with store.open_input_stream(name) as f:
+        lines = f.read().decode().split("\n")
+    rows = [line.rstrip("\r").split("\t") for line in lines if line.strip()]
     return [(r[0], *map(float, r[1:5]), float(r[5]) if len(r) > 5 and r[5] else None) for r in rows]
