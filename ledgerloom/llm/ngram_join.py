@@ -363,8 +363,8 @@ def classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10),
     rows = named.mapInArrow(signatures, "kind tinyint, a bigint, b bigint, h1 bigint, h2 bigint")
     # Keys are counted before the shuffle as far as they repeat in a task; only those of two documents or more are joined to
     # the rows, and a key of very many rows can be split there.
-    shared = rows.filter("kind = 2").groupBy("h1").agg(F.min(F.struct("a", F.expr("b & 1L").alias("s"))).alias("low"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
-    shared = shared.select(F.col("h1").alias("key"), F.col("low.a").alias("low"), F.col("low.s").alias("low_shift"), (F.col("docs") >= COMMON).alias("common"))
+    shared = rows.filter("kind = 2").groupBy("h1").agg(F.min(F.expr("if(b & 1L = 0L, a, null)")).alias("l0"), F.min(F.expr("if(b & 1L = 1L, a, null)")).alias("l1"), F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    shared = shared.select(F.col("h1").alias("key"), F.coalesce("l0", "l1").alias("low"), F.expr("if(l0 is null, 1L, 0L)").alias("low_shift"), (F.col("docs") >= COMMON).alias("common"))
     met = rows.join(shared, (F.col("h1") == F.col("key")) & (F.col("kind") == 2), "left").filter("kind = 0 OR low IS NOT NULL")
     own = F.when(F.col("kind") == 0, F.col("h1"))
     parts = cut(met.groupBy("kind", "a", "b", own.alias("h1"), "h2", "low", "low_shift", "common").agg(F.count(F.lit(1)).alias("n")))
