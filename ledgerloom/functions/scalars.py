@@ -25,7 +25,7 @@ def normalize_cell(c: Column) -> Column:
 def parse_amount(c: Column) -> Column:
     """Digits and dots read as a double, negative if the text starts with a minus; null if that is no number."""
     value = F.regexp_replace(c, "[^0-9.]", "").try_cast("double")
-    return F.when(strip(c).startswith("-"), -value).otherwise(value)
+    return value * F.when(strip(c).startswith("-"), -1.0).otherwise(1.0)
 
 
 def is_date(c: Column) -> Column:
