@@ -23,12 +23,12 @@ from .graph import components
 
 #: Documents of a group that one task holds, and members of their sets.
 BLOCK_DOCS = 1024
-BLOCK_MEMBERS = 4_000_000
+BLOCK_MEMBERS = 2_000_000
 FANOUT = 8
 #: A key in as many documents is common, and left out where a document can spare it; the share of keys to spare, about.
 COMMON, SPARE = 16, 0.12
 #: Bytes of text that are hashed at once, which takes about 100 times as much memory.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 #: Documents of candidate groups whose ids are sent to every task, so that no other text is shuffled; more are joined.
 BROADCAST_ROWS = 100_000
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
