@@ -43,12 +43,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts laid end to end (UTF-8 bytes, A-Z lower-cased) and the number of words in each.
 
-    A word's hash is a polynomial of its bytes, read off running sums, so no word is handled alone.
+    A word's hash is a polynomial of its bytes, read off running sums, so no word is handled alone. gap says of each byte
+    whether it parts words; without it, the six blanks do.
     """
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    blank = (data == 32) | ((data >= 9) & (data <= 13)) if gap is None else gap[data]
     upper = (data >= 65) & (data <= 90)
     byte = mixed((data + 32 * upper).astype(np.uint64) + _MUL[0])
     n = len(data)
