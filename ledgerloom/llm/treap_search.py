@@ -40,6 +40,7 @@ UNIT = 4096
 _POP = np.array([bin(i).count("1") for i in range(16)], np.int64)
 #: Bytes that part terms: all below 0x80 but digits and letters.
 GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_BLANKED = np.where(GAP, 32, np.arange(256)).astype(np.uint8)
 _BLOCK = "doc_ids array<bigint>, norms array<bigint>, terms binary, places binary, holders binary, quarters array<binary>, maxima array<binary>, counts binary"
 
 
@@ -251,7 +252,7 @@ def build(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             every = batch.column(0).to_pylist()
             for first, data, off, done in pieces(batch.column(1), docs=block_docs):
-                h, count = word_hashes(data, off, GAP)
+                h, count = word_hashes(_BLANKED[data], off)
                 if not open_:
                     base = len(ids)
                     ids += every[first : first + len(off) - 1]
@@ -280,7 +281,7 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
         for batch in batches:
             at = []
             for first, data, off, _ in pieces(batch.column(1)):
-                h, count = word_hashes(data, off, GAP)
+                h, count = word_hashes(_BLANKED[data], off)
                 at.append((np.repeat(np.arange(first, first + len(count)), count), h))
             if at:
                 doc, h = (np.concatenate(x) for x in zip(*at, strict=True))
