@@ -64,35 +64,44 @@ class Encoder:
     def _forget(self):
         # A stretch after a space is known by what follows the space, any other as (stretch,).
         self.of: dict[str | tuple[str], int] = {}
-        self.ids, self.n, self.size, self.chars = np.zeros(1 << 20, np.uint32), 0, [], 0
-
-    def _each(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ids, self.n, self.size, self.chars = np.zeros(1 << 20, np.uint32), 0, np.zeros(0, np.int64), 0
 
     def _learn(self, new: list[str | tuple[str]]) -> None:
         """Encode stretches: words many at a time, a line each, as a line break between a word and a word or its space is an id of its own."""
-        plain = [s for s in new if (s.split() if isinstance(s, str) else s[0].split()) == [s if isinstance(s, str) else s[0]]] if len(self.line) == 1 else []
-        simple = set(plain)
-        odd = [s for s in new if s not in simple]
-        said = lambda s: " " + s if isinstance(s, str) else s[0]
-        parts: list[np.ndarray] = []
-        for at in range(0, len(plain), 50_000):
-            lots = [list(map(said, plain[i : i + 500])) for i in range(at, min(at + 50_000, len(plain)), 500)]
-            for lot, got in zip(lots, self._each(["\n".join(x) for x in lots]), strict=True):
-                cuts = np.flatnonzero(got == self.line[0])
-                parts += [p[1:] if i else p for i, p in enumerate(np.split(got, cuts))] if len(cuts) == len(lot) - 1 else self._each(lot)
-        parts += self._each(list(map(said, odd)))
-        for s in (*plain, *odd):
-            self.of[s] = len(self.of)
-            self.chars += len(s) if isinstance(s, str) else len(s[0])
-        sizes = [len(p) for p in parts]
-        need = self.n + sum(sizes)
+        plain, words, odd, others = [], [], [], []
+        for s in new:
+            word = s if type(s) is str else s[0]
+            if word.split() == [word]:
+                plain.append(s)
+                words.append(" " + word if type(s) is str else word)
+            else:
+                odd.append(s)
+                others.append(" " + word if type(s) is str else word)
+        line, parts, sizes = self.line[0], [], []
+        lots = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for at in range(0, len(lots), 100):
+            many = lots[at : at + 100]
+            for lot, got in zip(many, self.tok.encode_batch_fast(["\n".join(x) for x in many], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, np.uint32)
+                ends = np.r_[np.flatnonzero(ids == line), len(ids)]
+                if len(self.line) == 1 and len(ends) == len(lot):
+                    parts.append(ids[ids != line])
+                    sizes.append(np.diff(ends, prepend=-1) - 1)
+                else:
+                    self._apart(lot, parts, sizes)
+        self._apart(others, parts, sizes)
+        self.of.update(zip(chain(plain, odd), range(len(self.of), len(self.of) + len(new)), strict=True))
+        self.chars += sum(map(len, words)) + sum(map(len, others))
+        need = self.n + sum(map(len, parts))
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n], np.zeros(max(need, len(self.ids)), np.uint32)])
-        if parts:
-            self.ids[self.n : need] = np.concatenate(parts)
-        self.n = need
-        self.size += sizes
+        self.ids[self.n : need] = np.concatenate([np.zeros(0, np.uint32), *parts])
+        self.n, self.size = need, np.concatenate([self.size, *sizes]).astype(np.int64)
+
+    def _apart(self, texts: list[str], parts: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        parts += got
+        sizes.append(np.array([len(x) for x in got], np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts one after the other, how many each has)."""
@@ -111,9 +120,8 @@ class Encoder:
         of = self.of
         self._learn([s for s in dict.fromkeys(chain.from_iterable(split)) if s not in of])
         known = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), np.int64)
-        size = np.array(self.size, np.int64)
-        first = np.cumsum(size) - size
-        each = size[known]
+        first = np.cumsum(self.size) - self.size
+        each = self.size[known]
         at = np.arange(int(each.sum())) + np.repeat(first[known] - (np.cumsum(each) - each), each)
         pieces = np.array([len(s) for s in split], np.int64)
         ends = np.r_[0, np.cumsum(each)][np.cumsum(pieces)]
