@@ -27,7 +27,7 @@ from .common import cut, own_names, own_path
 from .ngram_join import buffers, word_hashes
 
 #: Documents and cells after which a block is closed; bytes of text that are hashed at once.
-BLOCK_DOCS, BLOCK_CELLS, CHUNK_BYTES = 8192, 2_000_000, 500_000
+BLOCK_DOCS, BLOCK_CELLS, CHUNK_BYTES = 8192, 700_000, 250_000
 #: Terms of items that every task gets at once; more items go in turns.
 QUERY_TERMS = 200_000
 BEST = 10
