@@ -23,16 +23,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, own_names, own_path
 
-#: Ids of a shard, about; a longer document is a shard alone. Distinct stretches of text that a task remembers.
-SHARD_TOKENS, REMEMBERED = 2_000_000, 400_000
-#: Characters that are encoded at once, about.
-TEXT_CHARS = 2_000_000
+#: Ids of a shard, about; a longer document is a shard alone. Distinct stretches of text that a Python worker remembers.
+SHARD_TOKENS, REMEMBERED = 1_000_000, 200_000
+#: Bytes of text that are encoded at once, about.
+TEXT_BYTES = 1_000_000
 #: Bits of a chunk of a plane.
 CHUNK = 1 << 16
 END = 0
@@ -53,18 +54,36 @@ def tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+def encoder(path: str | None) -> "Encoder":
+    """The encoder of this Python worker for the tokenizer at path. Workers outlive tasks, so what one has learned serves the next."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_held_encoders", {})
+    if path not in held:
+        held[path] = Encoder(tokenizer(path))
+    return held[path]
+
+
 class Encoder:
-    """Ids of texts. Stretches between spaces repeat, so each is encoded once and remembered, a bounded number of them."""
+    """Ids of texts. Stretches between spaces repeat, so each is encoded once and remembered; of too many, those that have been used again stay."""
 
     def __init__(self, tok, remembered: int = REMEMBERED):
         self.tok, self.limit = tok, remembered
         self.line = tok.encode("\n", add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self):
         # A stretch after a space is known by what follows the space, any other as (stretch,).
         self.of: dict[str | tuple[str], int] = {}
-        self.ids, self.n, self.size, self.chars = np.zeros(1 << 20, np.uint32), 0, np.zeros(0, np.int64), 0
+        self.ids, self.n, self.size, self.uses = np.zeros(1 << 20, np.uint32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep half as many as may be remembered: those used most, of 256 characters at most."""
+        stay = self.uses >= max(2, int(np.partition(self.uses, -(self.limit // 2))[-(self.limit // 2)]) + 1) if len(self.uses) > self.limit // 2 else self.uses > 1
+        kept = [k for k, ok in zip(self.of, stay.tolist(), strict=True) if ok and len(k if type(k) is str else k[0]) <= 256]
+        at = np.fromiter(map(self.of.__getitem__, kept), np.int64, len(kept))
+        first = (np.cumsum(self.size) - self.size)[at]
+        size = self.size[at]
+        ids = self.ids[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
+        self.of = dict(zip(kept, range(len(kept)), strict=True))
+        self.ids, self.n, self.size, self.uses = np.concatenate([ids, np.zeros(1 << 20, np.uint32)]), len(ids), size, self.uses[at] // 2
 
     def _learn(self, new: list[str | tuple[str]]) -> None:
         """Encode stretches: words many at a time, a line each, as a line break between a word and a word or its space is an id of its own."""
@@ -91,7 +110,6 @@ class Encoder:
                     self._apart(lot, parts, sizes)
         self._apart(others, parts, sizes)
         self.of.update(zip(chain(plain, odd), range(len(self.of), len(self.of) + len(new)), strict=True))
-        self.chars += sum(map(len, words)) + sum(map(len, others))
         need = self.n + sum(map(len, parts))
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n], np.zeros(max(need, len(self.ids)), np.uint32)])
@@ -105,7 +123,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts one after the other, how many each has)."""
-        if len(self.of) > self.limit or self.chars > 32 * self.limit:
+        if len(self.of) > self.limit or self.n > 16 * self.limit:
             self._forget()
         split = []
         for t in texts:
@@ -120,6 +138,7 @@ class Encoder:
         of = self.of
         self._learn([s for s in dict.fromkeys(chain.from_iterable(split)) if s not in of])
         known = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), np.int64)
+        self.uses = np.bincount(known, minlength=len(of)) + np.r_[self.uses, np.zeros(len(of) - len(self.uses), np.int64)]
         first = np.cumsum(self.size) - self.size
         each = self.size[known]
         at = np.arange(int(each.sum())) + np.repeat(first[known] - (np.cumsum(each) - each), each)
@@ -143,13 +162,13 @@ def packed(ids: np.ndarray, docs: list, sizes: np.ndarray) -> bytes:
         return [at, len(kept), len(data)]
 
     for bit in reversed(range(width)):
-        one = ((ids >> bit) & 1).astype(bool)
+        one = (ids & ids.dtype.type(1 << bit)) != 0
         bits = np.packbits(one, bitorder="little").tobytes()
         chunks = [put(bits[i : i + CHUNK // 8]) for i in range(0, len(bits), CHUNK // 8)]
-        ones = [0, *np.cumsum(np.add.reduceat(one, np.arange(0, len(one), CHUNK), dtype=np.int64)).tolist()] if len(one) else [0]
+        ones = np.cumsum([0, *(np.count_nonzero(one[i : i + CHUNK]) for i in range(0, len(one), CHUNK))]).tolist()
         planes.append({"chunks": chunks, "ones": ones})
         if bit:
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([ids.take(np.flatnonzero(~one)), ids.take(np.flatnonzero(one))])
     null = [d is None for d in docs]
     head = {"n": int(sizes.sum()), "width": width, "planes": planes, "docs": put(np.array([0 if d is None else d for d in docs], "<i8").tobytes()), "null": put(np.packbits(null).tobytes()), "sizes": put(sizes.astype("<i8").tobytes()), "n_docs": len(docs)}
     text = zlib.compress(json.dumps(head).encode())
@@ -251,8 +270,8 @@ class TokenFile:
             data = np.concatenate([self._chunk(p, i) for i in range(len(self._planes[p]["chunks"]))]) if self.n else np.zeros(0, np.uint8)
             one = np.unpackbits(data, count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(out)
-            above[~one] = out[: self.zeros[p]]
-            above[one] = out[self.zeros[p] :] | out.dtype.type(1 << (self.width - 1 - p))
+            above[np.flatnonzero(~one)] = out[: self.zeros[p]]
+            above[np.flatnonzero(one)] = out[self.zeros[p] :] | out.dtype.type(1 << (self.width - 1 - p))
             out = above
             for i in range(len(self._planes[p]["chunks"])):
                 self._held.pop((p, i))
@@ -290,7 +309,7 @@ def write(docs: DataFrame, directory: str, doc_id: str = "doc_id", text: str = "
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, store, task, ahead = Encoder(tokenizer(path)), _store(directory), TaskContext.get().partitionId(), 0
+        coder, store, task, ahead = encoder(path), _store(directory), TaskContext.get().partitionId(), 0
         ids, parts, sizes, total = [], [], [], 0
 
         def close():
@@ -307,18 +326,17 @@ def write(docs: DataFrame, directory: str, doc_id: str = "doc_id", text: str = "
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["task", "path", "n_docs", "n_tokens", "size_bytes", "ahead"])
 
         for batch in batches:
-            docs, texts, row = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            while row < len(texts):
-                # About as many texts as the shard still takes, and no more than some megabytes at once.
-                chars, stop = 0, row
-                while stop < len(texts) and (stop == row or chars < min(3 * (shard_tokens - total), TEXT_CHARS)):
-                    chars += len(texts[stop] or "") + 1
-                    stop += 1
-                got, each = encoder.encode(texts[row:stop])
+            ends, row = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)), 0
+            while row < batch.num_rows:
+                # About as many texts as the shard still takes, and no more than so many bytes at once.
+                most = (ends[row - 1] if row else 0) + min(3 * (shard_tokens - total), TEXT_BYTES)
+                stop = max(row + 1, min(int(np.searchsorted(ends, most)), row + 20_000))
+                part = batch.slice(row, stop - row)
+                got, each = coder.encode(part.column(1).to_pylist())
                 if end is not None:
                     got, each = np.insert(got, np.cumsum(each), end), each + 1
-                ids += docs[row:stop]
-                parts.append(got)
+                ids += part.column(0).to_pylist()
+                parts.append(got.astype(np.uint32))
                 sizes.append(each)
                 total += len(got)
                 row = stop
