@@ -12,7 +12,8 @@ from .. import config as C
 from ..operators import grouping, splits
 from ..sources import pages
 from ..sources.files import page_sources
-from .extract import Extraction, cut, extracted
+from ..shared import cut
+from .extract import Extraction, extracted
 
 
 class Ingested(NamedTuple):

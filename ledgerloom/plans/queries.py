@@ -777,11 +777,6 @@ def filename_seed(t):
     return j.select(k.alias("ord"), seed.alias("seed"))
 
 
-@query("select * from (values " + ", ".join(f"({i}, '{f}', '{label}')" for i, (f, label) in enumerate(C.ITEM_COLUMNS.items())) + ") t(position, field_name, label)")
-def export_catalog(t):
-    return export.column_catalog(t["orders"].sparkSession)
-
-
 @query(f"with {_ITEMS} select job_id, item_description, hsn_sac, quantity from items")
 def export_projection(t):
     return export.project(R.items(t), export.parse_columns("quantity, nothing,hsn_sac, ,item_description"), ("job_id",))

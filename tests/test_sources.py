@@ -48,20 +48,14 @@ def test_pages_without_text(spark):
     assert read == {1: ("seen", "ocr"), 2: ("a text layer that will do", "native_pdf_text_layer"), 3: ("seen", "ocr")}
 
 
-def test_exports_are_kept(spark, tmp_path):
+def test_saved_files_are_found(spark, tmp_path):
     where = f"file://{tmp_path}/out"
-    items = spark.createDataFrame([(1, "g", 1, "Pen"), (2, "h", 1, "Cup")], "job_id int, group_id string, line_number int, item_description string")
-    named = spark.createDataFrame([(1, "g", "one"), (2, "h", "two")], "job_id int, group_id string, filename string")
-    first = {r.job_id: bytes(r.content) for r in export.export_jobs(items.filter("job_id = 1"), named, where).collect()}
-    assert list(first) == ["1"] and b"Pen" in first["1"]
-    changed = items.withColumn("item_description", F.lit("changed"))
-    again = {r.job_id: bytes(r.content) for r in export.export_jobs(changed, named, where).collect()}
-    assert again["1"] == first["1"] and b"changed" in again["2"]
-    some = {r.job_id: bytes(r.content) for r in export.export_jobs(changed, named, where, ["item_description"]).collect()}
-    assert some["1"] == "﻿Item Description\r\nchanged\r\n".encode()
+    files_ = spark.createDataFrame([(1, "one.csv", bytearray(b"x")), (2, "two.csv", bytearray(b"yy"))], "job_id int, filename string, content binary")
+    assert export.save(files_, where).count() == 2 == export.save(files_, where).count()
     names = spark.createDataFrame([(1, "one.csv"), (1, "no.csv"), (3, "one.csv")], "job_id int, filename string")
     assert {(r.job_id, r.filename): r.stored for r in export.exists(spark, where, names).collect()} == {(1, "one.csv"): True, (1, "no.csv"): False, (3, "one.csv"): False}
     assert export.stored(spark, f"file://{tmp_path}/none").count() == 0
+    assert not list(tmp_path.rglob("*.part"))
 
 
 def test_archives_hold_the_files(spark):
