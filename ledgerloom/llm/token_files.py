@@ -19,7 +19,7 @@ import re
 import struct
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import cut, own_names, own_path
 
 #: Ids of a shard, about; a longer document is a shard alone. Distinct stretches of text that a Python worker remembers.
-SHARD_TOKENS, REMEMBERED = 1_000_000, 200_000
+SHARD_TOKENS, REMEMBERED = 1_000_000, 500_000
 #: Bytes of text that are encoded at once, about.
 TEXT_BYTES = 1_000_000
 #: Bits of a chunk of a plane.
@@ -51,7 +51,10 @@ def tokenizer(path: str | None):
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    if hasattr(tok.model, "_resize_cache"):  # what is encoded here is new, so a cache of words only costs
+        tok.model._resize_cache(0)
+    return tok
 
 
 def encoder(path: str | None) -> "Encoder":
@@ -135,9 +138,13 @@ class Encoder:
                 parts = t.split(" ")
                 parts[0] = (parts[0],)
                 split.append(parts)
-        of = self.of
-        self._learn([s for s in dict.fromkeys(chain.from_iterable(split)) if s not in of])
-        known = np.fromiter(map(of.__getitem__, chain.from_iterable(split)), np.int64)
+        of, flat = self.of, list(chain.from_iterable(split))
+        known = np.fromiter(map(of.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            missed = [flat[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            known[new] = np.fromiter(map(of.__getitem__, missed), np.int64, len(missed))
         self.uses = np.bincount(known, minlength=len(of)) + np.r_[self.uses, np.zeros(len(of) - len(self.uses), np.int64)]
         first = np.cumsum(self.size) - self.size
         each = self.size[known]
@@ -268,7 +275,7 @@ class TokenFile:
         out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for p in reversed(range(self.width)):
             data = np.concatenate([self._chunk(p, i) for i in range(len(self._planes[p]["chunks"]))]) if self.n else np.zeros(0, np.uint8)
-            one = np.unpackbits(data, count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(data, count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
             above[np.flatnonzero(~one)] = out[: self.zeros[p]]
             above[np.flatnonzero(one)] = out[self.zeros[p] :] | out.dtype.type(1 << (self.width - 1 - p))
