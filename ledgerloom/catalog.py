@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import documents, exports, queries, traces  # noqa: F401
+from .plans import documents, exports, paged, queries, traces  # noqa: F401
 
 QUERIES: dict = dict(queries.QUERIES)
 SQL: dict[str, str] = dict(queries.SQL)

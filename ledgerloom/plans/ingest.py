@@ -17,10 +17,11 @@ from .extract import Extraction, extracted
 
 
 class Ingested(NamedTuple):
-    """jobs: those given, with file_type, page_count, ranges, error (null if taken), status and n_groups (null if refused); and what was extracted of those taken."""
+    """jobs: those given, with file_type, page_count, ranges, error (null if taken), status and n_groups (null if refused); what was extracted of those taken; and page_errors: job_id, page_number, error of pages in a job's scope that could not be read."""
 
     jobs: DataFrame
     extraction: Extraction
+    page_errors: DataFrame
 
 
 def ingest(files: DataFrame, jobs: DataFrame, backend, ocr: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
@@ -28,7 +29,9 @@ def ingest(files: DataFrame, jobs: DataFrame, backend, ocr: Callable[[DataFrame]
 
     The first thing wrong names a job's error: missing, what ``sniff`` found, encrypted or unreadable, too_many_pages,
     confirm_no_split, or split_ and what ``parse_splits`` found. Refused jobs stay, with their error. backend opens files, see
-    ``sources.pages``; ocr takes pages (job_id, page_number, text) without a text layer and gives them with their text.
+    ``sources.pages``: once to count pages, and once to read those that some job asks for. A job with a page that can't be
+    read is for review; the page is a page_error, and has the text that ocr makes of it, if any. ocr takes pages (job_id, page_number, text, digest) without a
+    text layer and gives them with their text, see ``sources.cache`` for one that reads no content twice.
     """
     counts = pages.page_counts(files.filter("error is null"), backend).select("path", "page_count", F.col("error").alias("_count"))
     known = files.select("path", "file_type", F.col("error").alias("_file"), F.lit(True).alias("_there"))
@@ -39,14 +42,20 @@ def ingest(files: DataFrame, jobs: DataFrame, backend, ocr: Callable[[DataFrame]
     )
     checked = cut(checked.withColumn("error", error).drop("_there", "_file", "_count", "conflict", "split_error"))
     taken = checked.filter("error is null")
-    of = taken.select("job_id", "path")
-    held = files.join(of.select("path").distinct(), "path", "left_semi")
     scope = splits.pages_in_scope(taken).select("job_id", F.col("page_number").cast("int").alias("page_number"))
-    found = pages.page_words(held, backend).filter("error is null").join(of, "path").drop("path", "error")
-    words = cut(found.join(scope, ["job_id", "page_number"], "left_semi"))
-    ruled = pages.page_tables(held, backend).filter("error is null").join(of, "path").drop("path", "error").join(scope, ["job_id", "page_number"], "left_semi")
+    asked = cut(scope.join(taken.select("job_id", "path"), "job_id"))
+    # An image is a page without words; its content is its digest.
+    image = F.coalesce(F.col("file_type") != "pdf", F.lit(False))
+    read = cut(pages.read_pages(files.filter(~image), backend, asked.select("path", "page_number").distinct()))
+    images = files.filter(image).select("path", F.sha2("content", 256).alias("_image"))
+    page = ["path", "page_number"]
+    words = cut(pages.page_words(read).join(asked, page).drop("path"))
+    ruled = pages.page_tables(read).join(asked, page).drop("path")
+    failed = pages.page_errors(read)
+    lost = cut(asked.join(failed.filter("page_number is not null"), page).unionByName(asked.join(failed.filter("page_number is null").drop("page_number"), "path")).select("job_id", "page_number", "error"))
     text = words.groupBy("job_id", "page_number").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("word_ord", "text"))), lambda w: w["text"])).alias("text"))
-    bare = scope.join(text, ["job_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    done = extracted(words, ruled, taken.select("job_id", "ranges"), page_sources(bare, ocr))
-    status = grouping.job_status(taken, done.headers)
-    return Ingested(checked.join(status, "job_id", "left"), done)
+    bare = asked.join(read.filter("error is null").select(*page, "digest"), page, "left").join(images, "path", "left").withColumn("digest", F.coalesce("digest", "_image")).drop("path", "_image").join(text, ["job_id", "page_number"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    done = extracted(words, ruled, taken.select("job_id", "ranges"), page_sources(bare.select("job_id", "page_number", "text", "digest"), ocr))
+    status = grouping.job_status(taken, done.headers).join(lost.select("job_id").distinct().withColumn("_lost", F.lit(True)), "job_id", "left")
+    status = status.withColumn("status", F.when(F.col("_lost"), "review_required").otherwise(F.col("status"))).drop("_lost")
+    return Ingested(checked.join(status, "job_id", "left"), done, lost)

@@ -1,16 +1,18 @@
 """What is inside of files: page counts, words and ruled tables, by whatever library can open them.
 
-Files come as Spark reads them, from any store (path, content); a backend is an object with ``pages(content)``, a list of
-page numbers, ``words(content, number)``, a dict of rotation, width, height and words (text, x0, y0, x1, y1, conf), and
-``tables(content, number)``, a list of (header or None, rows). It may raise Encrypted, or anything else for what it can't
-read. A file or page that fails gives a row that says so, and the others go on. Files are read in their own tasks, in
-Arrow batches, and backends travel there with the code.
+Files come as Spark reads them, from any store (path, content). A backend is an object with ``open(content)``, which gives a
+document with ``pages()``, a list of page numbers, ``words(number)``, a dict of rotation, width, height and words (text, x0, y0, x1,
+y1, conf), and ``tables(number)``, a list of (header or None, rows); it may have ``image(number)``, bytes, and ``close()``. Any of these may
+raise Encrypted, or anything else for what it can't read. A file or page that fails gives a row that says so, and the others
+go on. A document is opened once for all pages that are asked of it, and no other page is touched; words and tables of a
+page are read together.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,110 +20,115 @@ from pyspark.sql import functions as F
 
 from .files import rotate_boxes
 
-_WORD = "page_number int, word_ord int, text string, x0 double, y0 double, x1 double, y1 double, conf double, rotation int, page_width double, page_height double"
-_TABLE = "page_number int, table_index int, header array<string>, header_external boolean, rows array<array<string>>"
+PAGE = (
+    "page_number int, rotation int, page_width double, page_height double, words array<struct<text: string, x0: double, y0: double, x1: double, y1: double, conf: double>>,"
+    " tables array<struct<header: array<string>, header_external: boolean, rows: array<array<string>>>>, digest string, error string"
+)
 _STRINGS = pa.list_(pa.string())
+_WORDS = pa.list_(pa.struct([("text", pa.string()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1", "conf"))]))
+_TABLES = pa.list_(pa.struct([("header", _STRINGS), ("header_external", pa.bool_()), ("rows", pa.list_(_STRINGS))]))
+ARROW_PAGE = pa.schema([("page_number", pa.int32()), ("rotation", pa.int32()), ("page_width", pa.float64()), ("page_height", pa.float64()), ("words", _WORDS), ("tables", _TABLES), ("digest", pa.string()), ("error", pa.string())])
 
 
 class Encrypted(Exception):
     """A file that needs a password."""
 
 
-class JsonPages:
-    """The backend that needs no library: a file is JSON, {"pages": [{"rotation", "width", "height", "words", "tables"}]}; "encrypted" at the top and "broken" in a page make it fail."""
-
-    def _pages(self, content: bytes) -> list[dict]:
-        doc = json.loads(content)
-        if doc.get("encrypted"):
-            raise Encrypted
-        return doc["pages"]
-
-    def _page(self, content: bytes, number: int) -> dict:
-        page = self._pages(content)[number - 1]
-        if page.get("broken"):
-            raise ValueError("broken page")
-        return page
-
-    def pages(self, content: bytes) -> list[int]:
-        return list(range(1, len(self._pages(content)) + 1))
-
-    def words(self, content: bytes, number: int) -> dict:
-        page = self._page(content, number)
-        return {k: page.get(k) for k in ("rotation", "width", "height")} | {"words": page.get("words", [])}
-
-    def tables(self, content: bytes, number: int) -> list[tuple]:
-        return [(t.get("header"), t["rows"]) for t in self._page(content, number).get("tables", [])]
-
-
-def _failure(e: Exception) -> str:
+def failure(e: Exception) -> str:
     return "encrypted" if isinstance(e, Encrypted) else f"unreadable: {type(e).__name__}"
 
 
-def _scan(files: DataFrame, schema: str, types: list[pa.DataType], rows_of: Callable[[bytes], Iterator[tuple]], content: str) -> DataFrame:
-    """path, the columns of schema and error for what rows_of gives of each file's content."""
-    names = [c.split(" ")[0] for c in schema.replace(", ", ",").split(",")] + ["error"]
+def _page(document, number: int) -> dict:
+    """A page as a row of PAGE. Its digest is of its image, if there is one, and of all that is read."""
+    page = document.words(number)
+    words = [{"text": text, **dict(zip(("x0", "y0", "x1", "y1"), map(float, box), strict=True)), "conf": None if conf is None else float(conf)} for text, *box, conf in page["words"]]
+    tables = [{"header": header if header is not None else (rows[0] if rows else []), "header_external": header is not None, "rows": rows} for header, rows in document.tables(number)]
+    about = {"rotation": int(page["rotation"] or 0), **{f"page_{k}": None if page[k] is None else float(page[k]) for k in ("width", "height")}}
+    image = document.image(number) if hasattr(document, "image") else b""
+    digest = hashlib.sha256(json.dumps([about, words, tables]).encode() + b"\0" + image).hexdigest()
+    return {"page_number": number, **about, "words": words, "tables": tables, "digest": digest, "error": None}
 
-    def run(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = list(rows_of(data or b""))
-                columns = list(zip(*got, strict=True)) or [[] for _ in names]
-                yield pa.record_batch([pa.array([path] * len(got), pa.string()), *[pa.array(list(c), t) for c, t in zip(columns, [*types, pa.string()], strict=True)]], names=["path", *names])
 
-    return files.select(F.col("path"), F.col(content)).mapInArrow(run, f"path string, {schema}, error string")
+def pages_of(backend, content: bytes, wanted: Iterable[int] | None) -> Iterator[dict]:
+    """Rows of PAGE for the wanted pages that the document has, or for all: one open document, one row for each page, or one for a file that can't be opened."""
+    try:
+        document = backend.open(content or b"")
+        there = document.pages()
+    except Exception as e:  # any fault of a file is that file's
+        yield {"error": failure(e)}
+        return
+    try:
+        some = set(there if wanted is None else wanted)
+        for number in there:
+            if number in some:
+                try:
+                    yield _page(document, number)
+                except Exception as e:
+                    yield {"page_number": number, "error": failure(e)}
+    finally:
+        if hasattr(document, "close"):
+            document.close()
 
 
 def page_counts(files: DataFrame, backend, content: str = "content", file_type: str = "file_type") -> DataFrame:
     """path, page_count, error for each file: an image has one page; a file that needs a password is encrypted, one that can't be opened unreadable, both without a count. Null content is unreadable."""
 
-    def count(data: bytes) -> Iterator[tuple]:
-        try:
-            yield len(backend.pages(data)), None
-        except Exception as e:  # any fault of a file is that file's
-            yield None, _failure(e)
+    def run(batches):
+        for batch in batches:
+            counts, errors = [], []
+            for data in batch.column(1).to_pylist():
+                try:
+                    document = backend.open(data or b"")
+                    counts.append(len(document.pages()))
+                    errors.append(None)
+                    if hasattr(document, "close"):
+                        document.close()
+                except Exception as e:
+                    counts.append(None)
+                    errors.append(failure(e))
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int32()), pa.array(errors, pa.string())], names=["path", "page_count", "error"])
 
     image = F.col(file_type).isin("jpeg", "png", "webp")
     whole = files.filter(image).select("path", F.lit(1).alias("page_count"), F.lit(None).cast("string").alias("error"))
-    return whole.unionByName(_scan(files.filter(~F.coalesce(image, F.lit(False))), "page_count int", [pa.int32()], count, content))
+    opened = files.filter(~F.coalesce(image, F.lit(False))).select("path", F.col(content)).mapInArrow(run, "path string, page_count int, error string")
+    return whole.unionByName(opened)
 
 
-def _each_page(backend, data: bytes, width: int, read: Callable[[int], Iterator[tuple]]) -> Iterator[tuple]:
-    try:
-        numbers = backend.pages(data)
-    except Exception as e:
-        yield (*[None] * width, _failure(e))
-        return
-    for number in numbers:
-        try:
-            yield from list(read(number))
-        except Exception as e:
-            yield (number, *[None] * (width - 1), _failure(e))
-
+def read_pages(files: DataFrame, backend, scope: DataFrame | None = None, content: str = "content") -> DataFrame:
+    """path and PAGE: a row for each page of files, or for each that scope (path, page_number) asks for, and one, without a page_number, for a file that can't be opened.
 
-def page_words(files: DataFrame, backend, content: str = "content") -> DataFrame:
-    """path, page_number, word_ord, text, x0, y0, x1, y1, conf, error: the words of all pages, their boxes as the page is seen, whatever its rotation. A page that fails is one row with its error."""
+    The pages asked of a file come to it as one array, so each file is opened once and only these pages are read; files that
+    none are asked of are not opened. A page that fails has an error and nothing else.
+    """
+    rows = files.select("path", F.col(content).alias("content"))
+    if scope is not None:
+        rows = rows.join(scope.groupBy("path").agg(F.collect_set(F.col("page_number").cast("int")).alias("wanted")), "path")
+    else:
+        rows = rows.withColumn("wanted", F.lit(None).cast("array<int>"))
+    schema = pa.schema([("path", pa.string()), *ARROW_PAGE])
 
-    def rows_of(data: bytes) -> Iterator[tuple]:
-        def read(number: int) -> Iterator[tuple]:
-            page = backend.words(data, number)
-            about = int(page["rotation"] or 0), *(None if page[k] is None else float(page[k]) for k in ("width", "height"))
-            for i, (text, *box, conf) in enumerate(page["words"]):
-                yield number, i, text, *map(float, box), None if conf is None else float(conf), *about, None
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                path, data, wanted = (batch.column(i)[row].as_py() for i in range(3))
+                got = [{"path": path, **page} for page in pages_of(backend, data, wanted)]
+                if got:
+                    yield pa.RecordBatch.from_pylist(got, schema)
 
-        return _each_page(backend, data, 11, read)
+    return rows.select("path", "content", "wanted").mapInArrow(run, f"path string, {PAGE}")
 
-    types = [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.float64(), pa.float64()]
-    return rotate_boxes(_scan(files, _WORD, types, rows_of, content)).drop("rotation", "page_width", "page_height")
 
+def page_words(read: DataFrame) -> DataFrame:
+    """path, page_number, word_ord, text, x0, y0, x1, y1, conf: the words of the pages read, their boxes as the page is seen, whatever its rotation."""
+    words = read.filter("error is null").select("path", "page_number", "rotation", "page_width", "page_height", F.posexplode("words").alias("word_ord", "w"))
+    return rotate_boxes(words.select("path", "page_number", "word_ord", "w.*", "rotation", "page_width", "page_height")).drop("rotation", "page_width", "page_height")
 
-def page_tables(files: DataFrame, backend, content: str = "content") -> DataFrame:
-    """path, page_number, table_index, header, header_external, rows, error: the ruled tables of all pages. Without a header of its own, a table's first row is it. A page that fails is one row with its error."""
 
-    def rows_of(data: bytes) -> Iterator[tuple]:
-        def read(number: int) -> Iterator[tuple]:
-            for i, (header, rows) in enumerate(backend.tables(data, number)):
-                yield number, i, header if header is not None else (rows[0] if rows else []), header is not None, rows, None
+def page_tables(read: DataFrame) -> DataFrame:
+    """path, page_number, table_index, header, header_external, rows: the ruled tables of the pages read. Without a header of its own, a table's first row is it."""
+    return read.filter("error is null").select("path", "page_number", F.posexplode("tables").alias("table_index", "t")).select("path", "page_number", "table_index", "t.*")
 
-        return _each_page(backend, data, 5, read)
 
-    return _scan(files, _TABLE, [pa.int32(), pa.int32(), _STRINGS, pa.bool_(), pa.list_(_STRINGS)], rows_of, content)
+def page_errors(read: DataFrame) -> DataFrame:
+    """path, page_number (null for a whole file), error of what could not be read."""
+    return read.filter("error is not null").select("path", "page_number", "error")

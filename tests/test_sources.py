@@ -7,7 +7,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import export, positional
-from ledgerloom.sources import files, pages
+from ledgerloom.plans.paged import JsonDocument, JsonPages
+from ledgerloom.sources import cache, files, pages, readers
 
 DOC = {"pages": [{"rotation": 90, "width": 600, "height": 800, "words": [["Item", 10, 20, 40, 30, None], ["Qty", 60, 20, 80, 30, 96.5]], "tables": [{"rows": [["Item", "Qty"], ["Pen", None]]}, {"header": ["Name", "Price"], "rows": [["a", "1"]]}]}, {"broken": True}, {"words": [["end", 1, 2, 3, 4, -1]]}]}
 
@@ -22,22 +23,101 @@ def saved(spark, tmp_path):
 
 
 def test_page_counts(spark, tmp_path):
-    got = {r.path: (r.page_count, r.error) for r in pages.page_counts(saved(spark, tmp_path), pages.JsonPages()).collect()}
+    got = {r.path: (r.page_count, r.error) for r in pages.page_counts(saved(spark, tmp_path), JsonPages()).collect()}
     assert got == {"a.json": (3, None), "b.json": (None, "encrypted"), "c.json": (None, "unreadable: JSONDecodeError"), "d.json": (None, "unreadable: AttributeError"), "e.png": (1, None)}
 
 
-def test_page_words(spark, tmp_path):
-    rows = pages.page_words(saved(spark, tmp_path).filter("path like '%json'"), pages.JsonPages()).collect()
-    got = {(r.path, r.page_number, r.word_ord): (r.text, r.x0, r.y0, r.x1, r.y1, r.conf, r.error) for r in rows}
-    assert got["a.json", 1, 0] == ("Item", 770.0, 10.0, 780.0, 40.0, None, None) and got["a.json", 1, 1] == ("Qty", 770.0, 60.0, 780.0, 80.0, 96.5, None)
-    assert got["a.json", 2, None] == (None, None, None, None, None, None, "unreadable: ValueError") and got["a.json", 3, 0] == ("end", 1.0, 2.0, 3.0, 4.0, -1.0, None)
-    assert got["b.json", None, None][-1] == "encrypted" and len(got) == 7
-
-
-def test_page_tables(spark, tmp_path):
-    rows = pages.page_tables(saved(spark, tmp_path).filter("path = 'a.json'"), pages.JsonPages()).collect()
-    got = {(r.page_number, r.table_index): (r.header, r.header_external, r.rows, r.error) for r in rows}
-    assert got == {(1, 0): (["Item", "Qty"], False, [["Item", "Qty"], ["Pen", None]], None), (1, 1): (["Name", "Price"], True, [["a", "1"]], None), (2, None): (None, None, None, "unreadable: ValueError")}
+def test_page_words_and_tables(spark, tmp_path):
+    read = pages.read_pages(saved(spark, tmp_path).filter("path like '%json'"), JsonPages()).cache()
+    got = {(r.path, r.page_number, r.word_ord): (r.text, r.x0, r.y0, r.x1, r.y1, r.conf) for r in pages.page_words(read).collect()}
+    assert got == {("a.json", 1, 0): ("Item", 770.0, 10.0, 780.0, 40.0, None), ("a.json", 1, 1): ("Qty", 770.0, 60.0, 780.0, 80.0, 96.5), ("a.json", 3, 0): ("end", 1.0, 2.0, 3.0, 4.0, -1.0)}
+    errors = {(r.path, r.page_number): r.error for r in pages.page_errors(read).collect()}
+    assert errors == {("a.json", 2): "unreadable: ValueError", ("b.json", None): "encrypted", ("c.json", None): "unreadable: JSONDecodeError", ("d.json", None): "unreadable: AttributeError"}
+    tables = {(r.page_number, r.table_index): (r.header, r.header_external, r.rows) for r in pages.page_tables(read).collect()}
+    assert tables == {(1, 0): (["Item", "Qty"], False, [["Item", "Qty"], ["Pen", None]]), (1, 1): (["Name", "Price"], True, [["a", "1"]])}
+    digests = {(r.path, r.page_number): r.digest for r in read.collect()}
+    assert len({d for d in digests.values() if d}) == 2 and digests["a.json", 2] is None
+
+
+def logged(folder):
+    """A backend that notes in a folder what is opened and read; local, so that tasks get it with its code."""
+
+    class Noted(JsonDocument):
+        def words(self, number):
+            note(f"page {number}")
+            return JsonDocument.words(self, number)
+
+        def close(self):
+            note("close")
+
+    class Notes:
+        def open(self, content):
+            note("open")
+            return Noted(json.loads(content))
+
+    def note(what):
+        import uuid
+        from pathlib import Path
+
+        (Path(folder) / uuid.uuid4().hex).write_text(what)
+
+    return Notes()
+
+
+def notes(folder):
+    got = sorted(p.read_text() for p in folder.iterdir())
+    for p in folder.iterdir():
+        p.unlink()
+    return got
+
+
+def test_only_pages_in_scope_are_read_of_a_file_opened_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "log").mkdir()
+    (tmp_path / "in/long.json").write_bytes(json.dumps({"pages": [{"words": [[f"w{i}", 1, 2, 3, 4, None]]} for i in range(150)]}).encode())
+    (tmp_path / "in/other.json").write_bytes(json.dumps({"pages": [{}]}).encode())
+    found = files.read_files(spark, f"file://{tmp_path}/in")
+    path = f"file:{tmp_path}/in/long.json"
+    scope = spark.createDataFrame([(path, 7), (path, 149), (path, 151)], "path string, page_number int")
+    read = pages.read_pages(found, logged(tmp_path / "log"), scope).collect()
+    assert {r.page_number: r.words[0].text for r in read} == {7: "w6", 149: "w148"}
+    assert notes(tmp_path / "log") == ["close", "open", "page 149", "page 7"]
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(readers.page_source(logged(tmp_path / "log")))
+    source = lambda: spark.read.format("page_content").option("paths", f"{path},file:{tmp_path}/in/other.json").load()
+    got = source().filter(F.col("page_number").isin(3, 60, 61) & (F.col("path") == path)).collect()
+    assert {r.page_number for r in got} == {3, 60, 61} and notes(tmp_path / "log") == ["close", "close", "open", "open", "page 3", "page 60", "page 61"]
+    assert {r.page_number for r in source().filter("page_number > 148 and path like '%long%'").collect()} == {149, 150}
+    assert notes(tmp_path / "log").count("page 149") == 1
+    assert source().filter("page_number <= 2").count() == 3
+    assert source().filter("page_number = 400").count() == 0 and source().filter("path = 'x'").count() == 0
+    notes(tmp_path / "log")
+    assert source().count() == 151 and notes(tmp_path / "log").count("open") == 6
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_a_content_is_read_by_ocr_once(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def ocr(df):
+        def run(batches):
+            for b in batches:
+                asked.add(b.num_rows)
+                yield b.set_column(b.schema.get_field_index("text"), "text", b.column(b.schema.get_field_index("digest")).cast("string"))
+
+        return df.mapInArrow(run, df.schema)
+
+    rows = [(job, 1, "", "same") for job in range(10)] + [(1, 2, "", "other"), (2, 2, "", None)]
+    bare = spark.createDataFrame(rows, "job_id int, page_number int, text string, digest string")
+    read = cache.cached(ocr, str(tmp_path / "cache"))
+    first = read(bare.filter("digest is not null"))
+    assert {(r.job_id, r.page_number): r.text for r in first.collect()} == {**{(j, 1): "same" for j in range(10)}, (1, 2): "other"} and asked.value == 2
+    assert read(bare.filter("digest is not null")).count() == 11 and asked.value == 2
+    again = files.page_sources(bare, read).collect()
+    assert asked.value == 3 and len(again) == 12 and {r.source for r in again} == {"ocr"}
+    assert read(spark.createDataFrame([(9, 9, "", "new")], bare.schema)).first().text == "new" and asked.value == 4
+    assert cache.read_before(spark, str(tmp_path / "cache")).count() == 3 and cache.read_before(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_pages_without_text(spark):
