@@ -33,13 +33,13 @@ from .common import cut, own_names, own_path
 #: Ids of a shard, about; a longer document is a shard alone. Distinct stretches of text that a Python worker remembers.
 SHARD_TOKENS, REMEMBERED = 1_000_000, 500_000
 #: Bytes of text that are encoded at once, about.
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 3_000_000
 #: Bits of a chunk of a plane.
 CHUNK = 1 << 16
 END = 0
 MAGIC = b"WVLT1\n"
 #: A text may be parted before a space that follows no blank: what comes before is the end of a word for the tokenizer, whatever follows.
-UNSURE, PARTS = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
+UNSURE, PARTS = r"^ |[\s\x0b\x1c-\x1f\x{85}\pZ] ", re.compile(r"(?<=\S)(?= )")
 _MANIFEST = "task int, path string, n_docs bigint, n_tokens bigint, size_bytes bigint, ahead bigint"
 
 
@@ -124,34 +124,48 @@ class Encoder:
         parts += got
         sizes.append(np.array([len(x) for x in got], np.int64))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, keys: list[str | tuple[str]]) -> np.ndarray:
+        """The numbers of stretches, those that are new learned first."""
+        found = np.fromiter(map(self.of.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            missed = [keys[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            found[new] = np.fromiter(map(self.of.__getitem__, missed), np.int64, len(missed))
+        return found
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts one after the other, how many each has)."""
         if len(self.of) > self.limit or self.n > 16 * self.limit:
             self._forget()
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif t[0] == " " or UNSURE.search(t):
-                split.append([(s,) for s in PARTS.split(t)])
-            else:
-                parts = t.split(" ")
-                parts[0] = (parts[0],)
-                split.append(parts)
-        of, flat = self.of, list(chain.from_iterable(split))
-        known = np.fromiter(map(of.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            missed = [flat[i] for i in new.tolist()]
-            self._learn(list(dict.fromkeys(missed)))
-            known[new] = np.fromiter(map(of.__getitem__, missed), np.int64, len(missed))
-        self.uses = np.bincount(known, minlength=len(of)) + np.r_[self.uses, np.zeros(len(of) - len(self.uses), np.int64)]
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        unsure = pc.match_substring_regex(texts, UNSURE)
+        # Texts without blanks before spaces are parted at every space; of equal stretches in the lot one is looked up.
+        plain = texts.filter(pc.invert(unsure))
+        lists = pc.split_pattern(plain, " ")
+        offsets = lists.offsets.to_numpy()
+        at = lists.values.dictionary_encode()
+        place, heads = at.indices.to_numpy().astype(np.int64), offsets[:-1]
+        used = np.bincount(place, minlength=len(at.dictionary)) - np.bincount(place[heads], minlength=len(at.dictionary))
+        after = np.flatnonzero(used)
+        of_word = np.full(len(at.dictionary), -1, np.int64)
+        of_word[after] = self._known(at.dictionary.take(pa.array(after)).to_pylist())
+        known = of_word[place]
+        known[heads] = self._known([(s,) for s in lists.values.take(pa.array(heads)).to_pylist()])
+        pieces = np.diff(offsets)
+        odd = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
+        if len(odd):
+            parts = [[(s,) for s in PARTS.split(t)] for t in texts.take(pa.array(odd)).to_pylist()]
+            more = np.array([len(p) for p in parts], np.int64)
+            doc = np.concatenate([np.repeat(np.setdiff1d(np.arange(len(texts)), odd), pieces), np.repeat(odd, more)])
+            known = np.concatenate([known, self._known(list(chain.from_iterable(parts)))])[np.argsort(doc, kind="stable")]
+            pieces = np.bincount(doc, minlength=len(texts))
+        self.uses = np.bincount(known, minlength=len(self.of)) + np.r_[self.uses, np.zeros(len(self.of) - len(self.uses), np.int64)]
         first = np.cumsum(self.size) - self.size
         each = self.size[known]
-        at = np.arange(int(each.sum())) + np.repeat(first[known] - (np.cumsum(each) - each), each)
-        pieces = np.array([len(s) for s in split], np.int64)
+        where = np.arange(int(each.sum())) + np.repeat(first[known] - (np.cumsum(each) - each), each)
         ends = np.r_[0, np.cumsum(each)][np.cumsum(pieces)]
-        return self.ids[at], np.diff(ends, prepend=0)
+        return self.ids[where], np.diff(ends, prepend=0)
 
 
 def packed(ids: np.ndarray, docs: list, sizes: np.ndarray) -> bytes:
@@ -339,7 +353,7 @@ def write(docs: DataFrame, directory: str, doc_id: str = "doc_id", text: str = "
                 most = (ends[row - 1] if row else 0) + min(3 * (shard_tokens - total), TEXT_BYTES)
                 stop = max(row + 1, min(int(np.searchsorted(ends, most)), row + 20_000))
                 part = batch.slice(row, stop - row)
-                got, each = coder.encode(part.column(1).to_pylist())
+                got, each = coder.encode(part.column(1))
                 if end is not None:
                     got, each = np.insert(got, np.cumsum(each), end), each + 1
                 ids += part.column(0).to_pylist()
