@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,16 +27,33 @@ def cluster_rows(words: DataFrame, ratio: float = C.ROW_RATIO) -> DataFrame:
     """words (job_id, page_number, word_ord, text, x0, y0, x1, y1) with row_id, from 0 by page.
 
     In order of top, left and word_ord, a word joins the row at hand if its top is within ratio of the larger of its own
-    and the last word's height from the mean top of the row. The mean runs with the row, so one fold over the page's words
-    decides; a page is one group, and pages are small.
+    and the last word's height from the mean top of the row. The mean runs with the row, so words are scanned in order, in
+    batches of sorted pages, and a few numbers are all that is carried from word to word: time is linear in the words, and no
+    page is held whole.
     """
-    order = "struct(y0, x0, word_ord, text, x1, y1)"
-    pages = words.groupBy(*KEY).agg(F.expr(f"sort_array(collect_list({order}))").alias("w"))
-    h = "greatest(x.y1 - x.y0, 1d)"
-    start = "named_struct('row', -1, 'n', 0, 'sum', 0d, 'h', 0d, 'out', cast(array() as array<int>))"
-    near = f"a.n > 0 and abs(x.y0 - a.sum / a.n) <= {ratio}d * greatest(a.h, {h})"
-    fold = f"aggregate(w, {start}, (a, x) -> if({near}, named_struct('row', a.row, 'n', a.n + 1, 'sum', a.sum + x.y0, 'h', {h}, 'out', array_append(a.out, a.row)), named_struct('row', a.row + 1, 'n', 1, 'sum', x.y0, 'h', {h}, 'out', array_append(a.out, a.row + 1))), a -> a.out)"
-    return pages.select(*KEY, F.explode(F.arrays_zip("w", F.expr(fold).alias("r"))).alias("z")).select(*KEY, F.col("z.r").alias("row_id"), "z.w.*")
+    columns = (*KEY, "y0", "x0", "word_ord", "text", "x1", "y1")
+    ordered = words.select(*columns).repartition(*KEY).sortWithinPartitions(*columns)
+
+    def run(batches):
+        page, row, n, total, last = None, 0, 0, 0.0, 0.0
+        for batch in batches:
+            pages = zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True)
+            out = []
+            for key, top, bottom in zip(pages, batch.column(2).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                height = max(bottom - top, 1.0)
+                if key != page:
+                    page, row, n, total = key, 0, 1, top
+                elif abs(top - total / n) <= ratio * max(last, height):
+                    n, total = n + 1, total + top
+                else:
+                    row, n, total = row + 1, 1, top
+                last = height
+                out.append(row)
+            yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.int32()), *batch.columns[2:]], names=[*KEY, "row_id", *columns[2:]])
+
+    kinds = dict(ordered.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", row_id int, " + ", ".join(f"{c} {kinds[c]}" for c in columns[2:])
+    return ordered.mapInArrow(run, schema)
 
 
 def row_texts(rows: DataFrame) -> DataFrame:
