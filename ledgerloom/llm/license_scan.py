@@ -2,8 +2,11 @@
 
 A multinomial logistic regression over word unigrams and bigrams names the family of each paragraph, with a class for text
 that is no licence, fitted on a bounded sample of the corpus's own paragraphs, and a temperature fitted on others that were
-held out, so that probabilities can be read as such. What it names is compared with the family's templates, and
-neighbouring paragraphs of one family become one span. The model is fitted on the driver, a few thousand numbers; documents
+held out, so that probabilities can be read as such. What it names is compared with the family's templates: a second, small
+regression, on how much of a template is there, how much of the paragraph it is, and the n-grams that tell the family from
+all others, says whether it is that family or one that is not known. It is fitted by leaving families out: each one's
+sentences, without that class or with its telling words replaced, are examples of the class unknown. Neighbouring
+paragraphs of one family become one span. The model is fitted on the driver, a few thousand numbers; documents
 only ever meet it as a small table of weights.
 
 A paragraph is a run of lines up to one that ends a sentence or comes before a blank one, so a wrapped sentence is one
@@ -24,14 +27,16 @@ from pyspark.sql.window import Window
 
 from .common import set_aside
 
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
 THRESHOLD = 0.5
-#: Share of the smaller set of bigrams that line and template must have in common to confirm.
-CONFIRM = 0.5
+#: Share of a template's bigrams that a paragraph must hold to confirm its family; a part of a template, so many bigrams that are nearly all of the paragraph.
+CONFIRM, PART, OWN = 0.6, 8, 0.8
 #: Examples made from each template sentence, and of text that is no licence.
 PER_SENTENCE, NEGATIVES = 24, 1500
-#: Documents of which paragraphs are taken to fit and calibrate the class of no licence: the most that is read for it.
-FIT_ROWS = 600
+#: What the class of no licence is fitted and calibrated on: paragraphs of about so many documents, drawn by hash, so many at most, and so many characters of each.
+FIT_ROWS, FIT_PARAGRAPHS, FIT_CHARS = 600, 20_000, 1000
+#: Words of a notice that may name a family, at most.
+NOTICE = 15
 #: How a line ends that ends a paragraph.
 ENDS = r"[.!?:;][)\]\"']?[ \t\r]*$"
 BLANK = r"^[ \t\r\x0b\x0c]*$"
@@ -209,30 +214,32 @@ def model(seed: int = 1, corpus: tuple[str, ...] = ()) -> tuple[tuple[str, ...],
     vocabulary = sorted({g for sentences in (*TEMPLATES.values(), NEAR) for s in sentences for g in grams(tokens(s))})
     column = {g: i for i, g in enumerate(vocabulary)}
 
-    def matrix(rows):
-        x = np.zeros((len(rows), len(column)), np.float32)
-        for i, (_, text) in enumerate(rows):
-            for g in grams(tokens(text)):
-                if g in column:
-                    x[i, column[g]] = 1
-        return x, np.array([families.index(f) for f, _ in rows])
-
-    x, y = matrix(train)
-    onehot = np.eye(len(families), dtype=np.float32)[y]
-    share = onehot / onehot.sum(axis=0)[y][:, None] * len(y) / len(families)
-    w, b = np.zeros((x.shape[1], len(families)), np.float32), np.zeros(len(families), np.float32)
+    k = len(families)
+
+    def design(rows):
+        """(row, column) of the n-grams there are, and the class of each row: few of many, so nothing is as large as rows times columns."""
+        at = [[column[g] for g in grams(tokens(text)) if g in column] for _, text in rows]
+        return np.repeat(np.arange(len(rows)), [len(a) for a in at]), np.array([c for a in at for c in a], np.int64), np.array([families.index(f) for f, _ in rows])
+
+    def scores(r, c, n, w, b):
+        return np.stack([np.bincount(r, w[c, i], n) for i in range(k)], axis=1) + b
+
+    r, c, y = design(train)
+    onehot = np.eye(k)[y]
+    share = (len(y) / k / onehot.sum(axis=0)[y])[:, None]
+    w, b = np.zeros((len(column), k)), np.zeros(k)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     b[-1] = 1
     for _ in range(200):
-        z = x @ w + b
+        z = scores(r, c, len(y), w, b)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = (p - onehot) * share.max(axis=1, keepdims=True) / len(y)
-        vw = 0.9 * vw + x.T @ g + 1e-4 * w
+        g = (p - onehot) * share / len(y)
+        vw = 0.9 * vw + np.stack([np.bincount(c, g[r, i], len(column)) for i in range(k)], axis=1) + 1e-4 * w
         vb = 0.9 * vb + g.sum(axis=0)
         w, b = w - 2 * vw, b - 2 * vb
-    xh, yh = matrix(held)
-    z = (xh @ w + b).astype(np.float64)
+    rh, ch, yh = design(held)
+    z = scores(rh, ch, len(yh), w, b)
 
     def loss(t):
         s = z / t
@@ -244,12 +251,106 @@ def model(seed: int = 1, corpus: tuple[str, ...] = ()) -> tuple[tuple[str, ...],
     return families, weights, [round(float(v) / t, 5) for v in b]
 
 
+def _scores(text: str, seed: int, corpus: tuple[str, ...]) -> np.ndarray:
+    _, weights, bias = model(seed, corpus)
+    return np.array(bias) + sum((np.array(weights[g]) for g in grams(tokens(text)) if g in weights), np.zeros(len(bias)))
+
+
 def predict(text: str, seed: int = 1, corpus: tuple[str, ...] = ()) -> tuple[str, float]:
-    """Family and probability of one text, on the driver; the same law as ``score``."""
-    families, weights, bias = model(seed, corpus)
-    s = np.array(bias) + sum((np.array(weights[g]) for g in grams(tokens(text)) if g in weights), np.zeros(len(bias)))
+    """The likeliest of the families and none, and its probability, of one text, on the driver; the same law as ``score``."""
+    s = _scores(text, seed, corpus)
     p = np.exp(s - s.max())
-    return families[int(p.argmax())], float(p.max() / p.sum())
+    return model(seed, corpus)[0][int(p.argmax())], float(p.max() / p.sum())
+
+
+def pairs(words: list[str]) -> list[str]:
+    """The distinct bigrams of words, in order."""
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+
+
+@lru_cache(maxsize=1)
+def telling() -> dict[str, list[str]]:
+    """The n-grams of each family's notices that no other family's sentences have, nor text that is near to licences: those of two sentences or more, or all if there are none."""
+    every = {f: {g for s in ss for g in grams(tokens(s))} for f, ss in TEMPLATES.items()}
+    near = {g for s in NEAR for g in grams(tokens(s))}
+    out = {}
+    for f, ss in TEMPLATES.items():
+        short = {g for s in ss if len(tokens(s)) <= NOTICE for g in grams(tokens(s)) if not re.search(r"\d{4}", g)}
+        own = short - near - set().union(*(g for o, g in every.items() if o != f))
+        twice = {g for g in own if sum(g in grams(tokens(s)) for s in ss) > 1}
+        out[f] = sorted(twice or own)
+    return out
+
+
+def templates(family: str) -> list[tuple[list[str], bool]]:
+    """(bigrams, whether it has a telling n-gram) of a family's sentences."""
+    return [(pairs(tokens(s)), bool({*tokens(s), *pairs(tokens(s))} & set(telling()[family]))) for s in TEMPLATES[family]]
+
+
+def evidence(text: str, family: str) -> tuple[float, ...]:
+    """(telling n-grams, share of a template, share of the paragraph, common bigrams, whether the likest template tells its family and the text doesn't) of a text for a family, each from 0 to 1; the same as ``evidence_sql``."""
+    words = tokens(text)
+    own = set(pairs(words))
+    common = [(len(own & set(t)), len(t), tells) for t, tells in templates(family)]
+    told = len({*words, *own} & set(telling()[family]))
+    most = max(n for n, _, _ in common)
+    absent = not told and next(tells for n, _, tells in common if n == most)
+    return min(told, 2) / 2, max(n / max(1, m) for n, m, _ in common), most / max(1, len(own)), min(most, 2 * PART) / (2 * PART), float(absent)
+
+
+def evidence_sql() -> str:
+    """SQL for an array of the five figures, from words, _own (bigrams), told (the family's telling n-grams), t (bigrams of its templates) and tells (which of them have one)."""
+    told = "size(array_intersect(concat(words, _own), told))"
+    common = "transform(t, x -> size(array_intersect(_own, x)))"
+    figures = f"array(least(s.told, 2) / 2d, array_max(zip_with(s.c, t, (n, x) -> n / greatest(1, size(x)))), array_max(s.c) / greatest(1, size(_own)), least(array_max(s.c), {2 * PART}) / {2 * PART}d, if(s.told = 0 and element_at(tells, cast(array_position(s.c, array_max(s.c)) as int)), 1d, 0d))"
+    return f"transform(array(named_struct('told', {told}, 'c', {common})), s -> {figures})[0]"
+
+
+@lru_cache(maxsize=4)
+def knowledge(seed: int = 1, corpus: tuple[str, ...] = ()) -> list[float]:
+    """Weights of the five figures, and a bias, for the odds that a paragraph is of the family it looks most like and not of one that is not known.
+
+    Examples of families as they are are known. Unknown: the same without their class, so that another is named; and with
+    their telling words replaced by names that no family has.
+    """
+    families = model(seed, corpus)[0]
+    r = random.Random(seed + 7)
+    name = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(r.randrange(1, 4)))
+    words = {f: {w for g in told for w in g.split()} - STOP - {x for o, ss in TEMPLATES.items() if o != f for s in ss for x in tokens(s)} for f, told in telling().items()}
+    rows: list[tuple[tuple, bool]] = []
+
+    def best(text: str, but: str | None) -> str:
+        s = _scores(text, seed, corpus)
+        return max((f for f in families if f not in (NONE, but)), key=lambda f: s[families.index(f)])
+
+    for family, text in examples(seed + 5):
+        if family == NONE:
+            continue
+        rows.append((evidence(text, family), True))
+        rows.append((evidence(text, best(text, family)), False))
+        renamed = re.sub("[A-Za-z]+", lambda m: name() if m[0].lower() in words[family] else m[0], text)
+        if renamed != text and len(tokens(text)) <= 2 * NOTICE:
+            rows += [(evidence(renamed, best(renamed, None)), False)] * 2
+    x = np.array([(*f, 1.0) for f, _ in rows])
+    y = np.array([k for _, k in rows], float)
+    w, each = np.zeros(6), np.where(y > 0, (y < 1).sum() / y.sum(), 1.0)  # known and unknown weigh the same
+    for _ in range(30):  # Newton's method with a little shrinkage
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (each * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(6)
+        w -= np.linalg.solve(h, x.T @ (each * (q - y)) + 0.05 * w)
+    return [round(float(v), 5) for v in w]
+
+
+def identify(text: str, seed: int = 1, corpus: tuple[str, ...] = ()) -> tuple[str, float, bool]:
+    """(family, unknown or none, its probability, whether it is confirmed) of one text, on the driver; the same law as ``scan``."""
+    family, p = predict(text, seed, corpus)
+    if family == NONE or p < THRESHOLD:
+        return NONE, p, False
+    *w, b = knowledge(seed, corpus)
+    told, template, own, common, _ = figures = evidence(text, family)
+    q = 1 / (1 + np.exp(-(sum(a * c for a, c in zip(w, figures, strict=True)) + b)))
+    sure = q >= 0.5 and (template >= 1 or (template >= CONFIRM and (told > 0 or common >= 0.5)) or (common >= 0.5 and own >= OWN))
+    return (family, p * q, bool(sure)) if q >= 0.5 else (UNKNOWN, p * (1 - q), False)
 
 
 def _table(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -257,12 +358,16 @@ def _table(df: DataFrame, rows: list, schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("x")).select("x.*")
 
 
-def sample(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[str, ...]:
-    """The texts of up to fit_rows rows, the first that are read, in order; null texts have no part."""
-    return tuple(sorted(r[0] for r in docs.select(F.col(text)).limit(fit_rows).collect() if r[0] is not None))
+def sample(docs: DataFrame, text: str = "text", fit_rows: int = FIT_ROWS, fit_paragraphs: int = FIT_PARAGRAPHS) -> tuple[str, ...]:
+    """Paragraphs, in order, of about fit_rows rows of docs, fit_paragraphs and FIT_CHARS of each at most: rows and paragraphs are drawn by their hash, so all of docs has the same share. Null texts have no part."""
+    rows = docs.select(F.col(text).alias("_t"), F.xxhash64(*docs.columns).alias("_h"))
+    share = min(1.0, fit_rows / max(1, docs.count()))
+    some = rows.filter(F.col("_t").isNotNull() & ((F.col("_h").bitwiseAND(2**31 - 1)) < int(share * 2**31)))
+    parts = some.select(F.split("_t", "\n").alias("_lines")).select(F.explode(F.expr(paragraph_sql("_lines"))).alias("x")).select(F.substring("x.text", 1, FIT_CHARS).alias("_p"))
+    return tuple(sorted(r[0] for r in parts.orderBy(F.xxhash64("_p"), "_p").limit(fit_paragraphs).collect()))
 
 
-def score(docs: DataFrame, text: str = "text", seed: int = 1, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", seed: int = 1, fit_rows: int = FIT_ROWS, corpus: tuple[str, ...] | None = None) -> DataFrame:
     """_id (of the row), doc_id, first_line, last_line (int, from 0), words, family, probability for each paragraph with an n-gram of the model.
 
     A paragraph without any of the model's single words has none of its n-grams either, and belongs to no family. Null and
@@ -270,7 +375,7 @@ def score(docs: DataFrame, text: str = "text", seed: int = 1, fit_rows: int = FI
     passed over, whatever they are called.
     """
     rows, at = set_aside(docs, "doc_id", text)
-    families, weights, bias = model(seed, sample(rows, at[text], fit_rows))
+    families, weights, bias = model(seed, sample(rows, at[text], fit_rows) if corpus is None else corpus)
     single = sorted({w for g in weights for w in g.split(" ") if w not in STOP})
     listed = ", ".join("'" + w.replace("'", "''") + "'" for w in single)
     stop = ", ".join(f"'{w}'" for w in sorted(STOP))
@@ -292,23 +397,32 @@ def score(docs: DataFrame, text: str = "text", seed: int = 1, fit_rows: int = FI
 def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, confirm: float = CONFIRM, seed: int = 1, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The licence notices of docs: doc_id, first_line, last_line (int, from 0), family, probability, overlap, confirmed.
 
-    A paragraph counts if its family is not none at threshold or more. overlap: the largest share of bigrams in common with
-    a template of the family, of the smaller set of the two; confirmed: at confirm or more. Neighbouring paragraphs of a
-    family are one span, with the largest figures. Null and empty texts have no notice; repeated rows give repeated spans.
-    Up to fit_rows rows of docs are read to fit the model; all rows are scanned.
+    A paragraph counts if its family is not none at threshold or more. family is unknown for one that looks like a licence
+    but is none of those that are known; probability is that of what is named. overlap: the largest share of a template's
+    bigrams, of the family it looks most like, that the paragraph holds. confirmed: of a known family, with a
+    whole template, or with confirm of one or more and a telling n-gram or PART bigrams in common, or a part of a template of so many bigrams that is
+    nearly all of the paragraph. Neighbouring paragraphs of a family are one span, with the largest figures. Null and empty
+    texts have no notice; repeated rows give repeated spans. About fit_rows rows of docs are read to fit the model; all rows
+    are scanned.
     """
-    hit = score(docs, text, seed, fit_rows).filter((F.col("family") != NONE) & (F.col("probability") >= threshold))
-    pairs = lambda w: sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-    t = F.broadcast(_table(docs, [{"family": f, "t": [pairs(tokens(s)) for s in ss]} for f, ss in TEMPLATES.items()], "array<struct<family: string, t: array<array<string>>>>"))
+    rows, at = set_aside(docs, "doc_id", text)
+    corpus = sample(rows, at[text], fit_rows)
+    hit = score(docs, text, seed, fit_rows, corpus).filter((F.col("family") != NONE) & (F.col("probability") >= threshold))
+    table = [{"family": f, "told": telling()[f], "t": [p for p, _ in templates(f)], "tells": [x for _, x in templates(f)]} for f in TEMPLATES]
+    t = F.broadcast(_table(docs, table, "array<struct<family: string, told: array<string>, t: array<array<string>>, tells: array<boolean>>>"))
     own = F.expr("if(size(words) > 1, array_distinct(transform(sequence(1, size(words) - 1), i -> concat(words[i - 1], ' ', words[i]))), cast(array() as array<string>))")
-    hit = hit.withColumn("_own", own).join(t, "family")
-    overlap = F.expr("array_max(transform(t, x -> size(array_intersect(_own, x)) / greatest(1, least(size(_own), size(x)))))")
-    hit = hit.select("_id", "doc_id", "first_line", "last_line", "family", "probability", F.round(overlap, 6).alias("overlap"))
+    hit = hit.withColumn("_own", own).join(t, "family").withColumn("_e", F.expr(evidence_sql()))
+    *w, b = knowledge(seed, corpus)
+    odds = sum((F.col("_e")[i] * v for i, v in enumerate(w)), F.lit(b))
+    hit = hit.withColumn("_q", 1 / (1 + F.exp(-odds)))
+    known, told, common = F.col("_q") >= 0.5, F.col("_e")[0] > 0, F.col("_e")[3] >= 0.5
+    sure = known & ((F.col("_e")[1] >= 1) | ((F.col("_e")[1] >= confirm) & (told | common)) | (common & (F.col("_e")[2] >= OWN)))
+    hit = hit.select("_id", "doc_id", "first_line", "last_line", F.when(known, F.col("family")).otherwise(UNKNOWN).alias("family"), F.round(F.col("probability") * F.when(known, F.col("_q")).otherwise(1 - F.col("_q")), 6).alias("probability"), F.round(F.col("_e")[1], 6).alias("overlap"), sure.alias("sure"))
     order = Window.partitionBy("_id").orderBy("first_line")
     new = F.when((F.lag("last_line").over(order) == F.col("first_line") - 1) & (F.lag("family").over(order) == F.col("family")), 0).otherwise(1)
     spans = hit.withColumn("_new", new).withColumn("_span", F.sum("_new").over(order)).groupBy("_id", "_span")
-    out = spans.agg(F.first("doc_id").alias("doc_id"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.first("family").alias("family"), F.max("probability").alias("probability"), F.max("overlap").alias("overlap"))
-    return out.drop("_id", "_span").withColumn("confirmed", F.col("overlap") >= confirm)
+    out = spans.agg(F.first("doc_id").alias("doc_id"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.first("family").alias("family"), F.max("probability").alias("probability"), F.max("overlap").alias("overlap"), F.max("sure").alias("confirmed"))
+    return out.drop("_id", "_span")
 
 
 def op10_license_scan(spark, sf_dir):

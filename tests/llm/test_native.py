@@ -1,6 +1,5 @@
 """Quality rules, line dedup, sharding, licence scan and the draws they use."""
 
-import itertools
 import random
 import textwrap
 import zlib
@@ -171,26 +170,50 @@ def test_licences_on_held_out_examples():
 
 
 def slow_scan(docs, corpus):
-    """Spans by predict, paragraph by paragraph."""
+    """Spans by identify, paragraph by paragraph."""
     out = []
     for i, text in docs:
         spans = []
         for first, last, t in license_scan.paragraphs(text or ""):
-            family, p = license_scan.predict(t, 1, corpus)
-            if family == license_scan.NONE or p < license_scan.THRESHOLD:
+            family, p, sure = license_scan.identify(t, 1, corpus)
+            if family == license_scan.NONE:
                 continue
-            pairs = lambda s: set(itertools.pairwise(license_scan.tokens(s)))
-            own = pairs(t)
-            overlap = max(len(own & pairs(s)) / max(1, min(len(own), len(pairs(s)))) for s in license_scan.TEMPLATES[family])
+            overlap = license_scan.evidence(t, license_scan.predict(t, 1, corpus)[0])[1]
             if spans and spans[-1][1] == first - 1 and spans[-1][2] == family:
-                f, _, _, q, o = spans.pop()
-                spans.append((f, last, family, max(p, q), max(overlap, o)))
+                f, _, _, q, o, s = spans.pop()
+                spans.append((f, last, family, max(p, q), max(overlap, o), s or sure))
             else:
-                spans.append((first, last, family, p, overlap))
+                spans.append((first, last, family, p, overlap, sure))
         out += [(i, *s) for s in spans]
     return out
 
 
+#: Notices of licences that no family here is.
+FOREIGN = (
+    "SPDX-License-Identifier: EPL-2.0", "Licensed under the Boost Software License, Version 1.0.", "This program is licensed under the Artistic License 2.0.", "SPDX-License-Identifier: EUPL-1.2", "Released under the zlib License.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "SPDX-License-Identifier: OFL-1.1", "SPDX-License-Identifier: Unlicense",
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed under the PostgreSQL License.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "Licensed under the Open Software License version 3.0",
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence.", "Academic Free License version 2.1",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)", "Released under the Python Software Foundation License Version 2.",
+    "This work may be distributed and/or modified under the conditions of the LaTeX Project Public License, either version 1.3 of this license or (at your option) any later version.", "Licensed under the Educational Community License, Version 2.0",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License (the License).", "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "You may not use this file except in compliance with the License. You can obtain a copy of the license at https://opensource.org/licenses/CDDL-1.0", "Microsoft Public License (Ms-PL). This license governs use of the accompanying software.",
+)
+
+
+def test_licences_of_other_families_are_not_named(spark):
+    """Of notices of licences that are not known, one at most is named and none is confirmed; what is known is."""
+    known = [(f, s) for f, ss in license_scan.TEMPLATES.items() for s in ss]
+    rows = [f"Some prose.\n{s}\nSome more." for s in (*FOREIGN, *(s for _, s in known))]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, *rows)).collect()}
+    named = [i for i in range(len(FOREIGN)) if i in got and got[i].family != license_scan.UNKNOWN]
+    assert len(named) <= 1 and not any(r.confirmed for i, r in got.items() if i < len(FOREIGN))
+    assert sum(i in got and got[i].family == license_scan.UNKNOWN for i in range(len(FOREIGN))) >= 12
+    right = [got[len(FOREIGN) + i].family == f and got[len(FOREIGN) + i].confirmed for i, (f, _) in enumerate(known) if len(FOREIGN) + i in got]
+    assert len(right) == len(known) and all(right)
+
+
 def test_licence_scan_against_brute_force(spark):
     """Whole documents of the corpus, with notices wrapped, split and set among prose, against a loop over paragraphs."""
     rng = random.Random(3)
@@ -202,10 +225,10 @@ def test_licence_scan_against_brute_force(spark):
     base += [None, "", "\n\n", "Released under the MIT License.\nReleased under the MIT License.", "x " * 20_000 + ".\nReleased under the MIT License."]
     df = docs(spark, *base)
     corpus = license_scan.sample(df)
-    got = sorted((r.doc_id, r.first_line, r.last_line, r.family, r.probability, r.overlap) for r in license_scan.scan(df).collect())
+    got = sorted((r.doc_id, r.first_line, r.last_line, r.family, r.probability, r.overlap, r.confirmed) for r in license_scan.scan(df).collect())
     want = sorted(slow_scan(list(enumerate(base)), corpus))
     assert [g[:4] for g in got] == [w[:4] for w in want] and len(want) > 60
-    assert all(abs(g[k] - w[k]) < 1e-4 for g, w in zip(got, want, strict=True) for k in (4, 5))
+    assert all(abs(g[k] - w[k]) < 1e-4 for g, w in zip(got, want, strict=True) for k in (4, 5)) and [g[6] for g in got] == [w[6] for w in want]
 
 
 def test_licences_among_corpus_prose(spark):
