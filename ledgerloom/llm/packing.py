@@ -160,7 +160,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PE
 
 def op3_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return plan(docs)
+    return pack(docs)
 
 
 QUERIES = {"op3_packing": op3_packing}
