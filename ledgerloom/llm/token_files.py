@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import cut, own_names, own_path
 
 #: Ids of a shard, about; a longer document is a shard alone. Distinct stretches of text that a Python worker remembers.
-SHARD_TOKENS, REMEMBERED = 1_000_000, 500_000
+SHARD_TOKENS, REMEMBERED = 1_000_000, 900_000
 #: Bytes of text that are encoded at once, about.
 TEXT_BYTES = 3_000_000
 #: Bits of a chunk of a plane.
