@@ -231,3 +231,77 @@ def test_empty_inputs(spark):
     words = spark.createDataFrame([], "job_id int, page_number int, word_ord int, text string, x0 double, y0 double, x1 double, y1 double")
     assert grouping.group_pages(pages).count() == 0
     assert layout.page_texts(layout.row_texts(layout.cluster_rows(words))).count() == 0
+
+
+def test_a_page_of_many_words_is_clustered_in_one_pass(spark):
+    """A page of 100,000 words, ten times the words of another, against the rule word by word."""
+    import time
+
+    def page(n):
+        return spark.range(n).selectExpr("1 as job_id", f"{n} as page_number", "cast(id as int) as word_ord", "'w' as text", "cast((id * 7919) % 600 as double) as x0", f"cast((id * 104729) % {n} as double) / 8 as y0", "cast((id * 7919) % 600 + 9 as double) as x1", f"cast((id * 104729) % {n} as double) / 8 + 1 + id % 7 as y1")
+
+    took = []
+    for n in (10_000, 100_000):
+        began = time.time()
+        got = {r.word_ord: r.row_id for r in layout.cluster_rows(page(n)).select("word_ord", "row_id").collect()}
+        took.append(time.time() - began)
+        words = sorted((r.y0, r.x0, r.word_ord, max(r.y1 - r.y0, 1.0)) for r in page(n).collect())
+        row, tops, last = -1, [], 0.0
+        for top, _, i, h in words:
+            if tops and abs(top - sum(tops) / len(tops)) <= 0.6 * max(last, h):
+                tops.append(top)
+            else:
+                row, tops = row + 1, [top]
+            last = h
+            assert got[i] == row
+        assert len(got) == n
+    assert took[1] < 60
+
+
+def test_only_rows_that_may_be_headers_reach_the_claims(spark, tmp_path, monkeypatch):
+    plain = positional.find_header
+
+    def noted(rows, folder=str(tmp_path), plain=plain):
+        import uuid
+        from pathlib import Path
+
+        (Path(folder) / uuid.uuid4().hex).write_text("\n".join(" ".join(b[2] for b in row) for row in rows))
+        return plain(rows)
+
+    monkeypatch.setattr(positional, "find_header", noted)
+    lines = ["Company of Pens", "Item Qty Rate Total", "% MRP", "Soap 1 2.00 2.00", "more of it", "total value"]
+    rows = [(job, 1, r, i, 60.0 * i, 60.0 * i + 30, w) for job, some in ((1, lines), (2, lines[3:])) for r, line in enumerate(some) for i, w in enumerate(line.split(" "))]
+    df = spark.createDataFrame(rows, "job_id int, page_number int, row_id int, word_ord int, x0 double, x1 double, text string")
+    got = positional.header_anchors(df).collect()
+    assert {r.job_id for r in got} == {1} and {(r.header_row, r.data_row) for r in got} == {(1, 2)}
+    assert [p.read_text() for p in tmp_path.iterdir()] == ["Item Qty Rate Total\n% MRP"]
+
+
+def test_soaps_of_a_brand_meet_their_sum(spark):
+    """The worked example: a category, two items and the sum of their part are found, and the sum holds."""
+    lines = [["Item", "@300 Qty", "@410 Rate", "@500 Total"], ["BRAND A"], ["Blue soap", "@300 9", "@410 45.00", "@500 405.00"], ["Red soap", "@300 12", "@410 45.00", "@500 540.00"], ["Sub Total", "@500 945.00"], ["Ack No. 1"]]
+    rows = []
+    for r, line in enumerate(lines):
+        for c in line:
+            x, text = (float(c[1:4]), c[5:]) if c.startswith("@") else (50.0, c)
+            for w in text.split(" "):
+                rows.append((1, 1, r, len(rows), x, x + 5.0 * len(w), w))
+                x += 5.0 * len(w) + 5
+    df = spark.createDataFrame(rows, "job_id int, page_number int, row_id int, word_ord int, x0 double, x1 double, text string")
+    found = positional.trace(df, layout.row_texts(df), positional.column_bounds(positional.header_anchors(df)))
+    assert [(r.row_id, r.kind, r.stop_reason) for r in found.orderBy("row_id").collect()] == [(1, "category", None), (2, "item", None), (3, "item", None), (4, "subtotal", None), (5, "end", "end_marker")]
+    held = None
+    for kind in ("item", "category", "subtotal"):
+        one = positional.traced(found, kind).select(F.col("job_id").alias("doc"), "page_number", "row_id", F.lit(kind).alias("kind"), F.col("item_description").alias("text"), "taxable_value", "line_total")
+        held = one if held is None else held.unionByName(one)
+    got = {r.kind: (r.label, r.first_line, r.last_line, r.n_items, r.line_total, r.line_total_items, r.line_total_reconciles) for r in items.spans(held).collect()}
+    assert got == {"category": ("BRAND A", 1, 2, 2, None, 945.0, None), "section": (None, 1, 2, 2, 945.0, 945.0, True)}
+
+
+def test_a_scan_ends_past_the_cap(spark):
+    lines = [["Item", "Qty", "Rate"], *([f"a{i}", "1", "2"] for i in range(4))]
+    rows = [(1, 1, r, 3 * r + c, 100.0 * c, 100.0 * c + 30, w) for r, line in enumerate(lines) for c, w in enumerate(line)]
+    df = spark.createDataFrame(rows, "job_id int, page_number int, row_id int, word_ord int, x0 double, x1 double, text string")
+    bounds = positional.column_bounds(positional.header_anchors(df))
+    got = [(r.kind, r.stop_reason) for r in positional.trace(df, layout.row_texts(df), bounds, cap=2).orderBy("row_id").collect()]
+    assert got == [("item", None), ("item", None), ("end", "cap"), ("after", None)]
