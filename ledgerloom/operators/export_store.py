@@ -106,7 +106,8 @@ def manifests(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _sums(*cols: Column) -> list[Column]:
-    """Two sums that tell bags of rows apart, whatever their order, and are combined before a shuffle."""
+    """Two sums that tell bags of rows apart, whatever their order, and are combined before a shuffle. Hashes pass over nulls, so which columns are null is hashed too."""
+    cols = (*cols, F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols]))
     return [F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).cast("string"), F.bit_xor(F.xxhash64(F.lit(7), *cols)).cast("string"), F.count(F.lit(1)).cast("string")]
 
 
@@ -198,3 +199,10 @@ def answer(items: DataFrame, named: DataFrame, directory: str, day: str) -> Data
     per = files.groupBy("job_id").agg(F.max(F.col("group_id").isNull()).alias("_zip"))
     zipped = F.col("group_id").isNull()
     return files.join(per, "job_id").filter(zipped == F.col("_zip")).select("job_id", "filename", F.when(zipped, "application/zip").otherwise("text/csv").alias("media_type"), "file_path", "size_bytes", "state")
+
+
+def exported(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """jobs with status exported where files (``exports``) has an export of the job as it is, else the status they have."""
+    done = files.select(F.col("job_id").alias("_j")).distinct()
+    out = jobs.join(done, F.col("job_id").cast("string") == F.col("_j"), "left")
+    return out.withColumn("status", F.when(F.col("_j").isNotNull(), "exported").otherwise(F.col("status"))).drop("_j")

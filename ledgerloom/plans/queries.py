@@ -591,6 +591,19 @@ def positional_header(t):
     return header_anchors(w).select("job_id", "header_row", "data_row", "field", "x0", "x1", "header_text")
 
 
+_RATE_WORDS = """select o_orderkey as job_id, 1 as page_number, w.r as row_id, w.o as word_ord, cast(w.x + o_orderkey % 5 as double) as x0, cast(w.z + o_orderkey % 5 as double) as x1, w.t as text
+  from {} cross join (values (0, 0, 50, 90, 'Item'), (0, 1, 200, 220, 'Qty'), (0, 2, 300, 330, 'CGST'), (0, 3, 400, 430, 'SGST'), (0, 4, 500, 530, 'Total'), (1, 5, 280, 295, 'Rate'), (1, 6, 305, 325, 'Amount'), (1, 7, 438, 452, 'Rate'), (1, 8, 405, 428, 'Amount'), (1, 10, 202, 218, 'Free'), (2, 9, 50, 60, 'Pen')) w(r, o, x, z, t)
+  where not (o_orderkey % 3 = 0 and w.o = 7)"""
+
+
+@query("""select o_orderkey as job_id, u.field, cast(u.a + o_orderkey % 5 as double) as x0, cast(u.b + o_orderkey % 5 as double) as x1, u.h as header_text from orders cross join
+(values ('item_description', 50, 90, 'Item'), ('quantity_free', 200, 220, 'Qty Free'), ('cgst_amount', 300, 330, 'CGST Amount'), ('sgst_amount', 400, 430, 'SGST Amount'), ('line_total', 500, 530, 'Total'), ('cgst_rate', 280, 295, 'Rate'), ('unit_rate', 280, 295, 'Rate'), ('sgst_rate', 438, 452, 'Rate')) u(field, a, b, h) where not (o_orderkey % 3 = 0 and field = 'sgst_rate')""")
+def positional_rates(t):
+    """Rates without a name below a header go to the nearest tax that has an amount and no rate yet."""
+    w = t["orders"].sparkSession.sql(_RATE_WORDS.format("{orders}"), orders=t["orders"])
+    return header_anchors(w).select("job_id", "field", "x0", "x1", "header_text")
+
+
 _PLAIN_TABLE = """select job_id, 1 as page_number, cast(line_number as int) as row_id, w.o as word_ord, w.x as x0, w.x + 5e0 * length(w.t) as x1, w.t as text from
   (select job_id, line_number, 'P' || cast(l_partkey as string) as d, case when l_partkey % 7 = 0 then '' else cast(l_suppkey % 50 as string) end as q, case when l_partkey % 7 = 0 then '' when l_partkey % 11 = 0 then 'n/a' else cast(l_suppkey % 9 as string) || '.50' end as r from {}) i
   cross join lateral (select 0 as o, 50e0 as x, d as t union all select 1, 300e0, q union all select 2, 410e0, r union all select 3, 500e0, case when q = '' then '' else '7' end) w where w.t <> ''
@@ -754,10 +767,10 @@ _SAFE = r"""left(coalesce(nullif(case when coalesce(v, '') <> '' then regexp_rep
 
 
 def _named(t):
-    return t["orders"].select(F.col("o_orderpriority").alias("job_id"), F.col("o_orderkey").alias("ord"), F.expr(_NAMES.replace("\\", "\\\\").replace("''", "\\'")).alias("v"))
+    return t["orders"].select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("ord"), F.expr(_NAMES.replace("\\", "\\\\").replace("''", "\\'")).alias("v"))
 
 
-@query(f"""with n as (select o_orderpriority as job_id, o_orderkey as ord, {_NAMES} as v, row_number() over (partition by o_orderpriority order by o_orderkey) as rn from orders),
+@query(f"""with n as (select o_custkey as job_id, o_orderkey as ord, {_NAMES} as v, row_number() over (partition by o_custkey order by o_orderkey) as rn from orders),
 b as (select *, {_SAFE} as base from n), u as (select *, row_number() over (partition by job_id, base order by ord) as k from b)
 select job_id, ord, case when k = 1 then base else left(base, 150 - length('_' || k::varchar)) || '_' || k::varchar end as filename from u""")
 def unique_filenames(t):

@@ -49,6 +49,8 @@ def test_made_served_replaced(spark, tmp_path):
     assert "1,Ink,,,,,,,4.0" in texts(third)["2", "k"] and "late" in texts(third)["3", "z"]
     # What was there before is what an input like before gets again.
     assert states(export_store.exports(items, named, where, "20260401")) == {"1": "served", "2": "served", "3": "served"}
+    moved = changed.withColumnRenamed("quantity", "quantity_sold")
+    assert states(export_store.exports(moved, named, where, "20260401")) == {"1": "replaced", "2": "replaced", "3": "served"}
     renamed = named.withColumn("filename", F.concat("filename", F.lit("x")))
     assert states(export_store.exports(items.filter("job_id = 2"), renamed.filter("job_id = 2"), where, "20260501")) == {"2": "replaced"}
 
@@ -108,6 +110,13 @@ def test_answer_is_the_archive_or_the_one_file(spark, tmp_path):
     assert got == {"1": ("invoices_1_20260131.zip", "application/zip"), "2": ("three.csv", "text/csv"), "3": ("empty.csv", "text/csv")}
 
 
+def test_exported_jobs_say_so(spark, tmp_path):
+    items, named = frames(spark)
+    jobs = spark.createDataFrame([(1, "ready_to_export"), (2, "review_required"), (4, "ready_to_export")], "job_id int, status string")
+    files = export_store.exports(items, named, str(tmp_path), "20260131")
+    assert {r.job_id: r.status for r in export_store.exported(jobs, files).collect()} == {1: "exported", 2: "exported", 4: "ready_to_export"}
+
+
 def test_requests(spark, tmp_path):
     items, _ = frames(spark)
     groups = spark.createDataFrame([(1, "g", 1, "INV/2026/1", "a/b"), (1, "h", 2, "INV/2026/2", "a/b"), (2, "k", 1, "INV/9", "it's"), (3, "z", 1, None, "e")], "job_id int, group_id string, group_ord int, invoice_number string, seed string")
