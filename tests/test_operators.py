@@ -261,7 +261,7 @@ def test_a_page_of_many_words_is_clustered_in_one_pass(spark):
 def test_only_rows_that_may_be_headers_reach_the_claims(spark, tmp_path, monkeypatch):
     plain = positional.find_header
 
-    def noted(rows, folder=str(tmp_path), plain=plain):
+    def noted(rows, memo=None, folder=str(tmp_path), plain=plain):
         import uuid
         from pathlib import Path
 
