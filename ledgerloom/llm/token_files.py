@@ -57,6 +57,11 @@ def tokenizer(path: str | None):
     return tok
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """The values of an array without nulls, by way of numpy, which makes no Arrow scalar for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def encoder(path: str | None) -> "Encoder":
     """The encoder of this Python worker for the tokenizer at path. Workers outlive tasks, so what one has learned serves the next."""
     import tokenizers
@@ -120,8 +125,8 @@ class Encoder:
         self.n, self.size = need, np.concatenate([self.size, *sizes]).astype(np.int64)
 
     def _apart(self, texts: list[str], parts: list[np.ndarray], sizes: list[np.ndarray]) -> None:
-        got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        parts += got
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        parts.append(np.array(list(chain.from_iterable(got)), np.uint32))
         sizes.append(np.array([len(x) for x in got], np.int64))
 
     def _known(self, keys: list[str | tuple[str]]) -> np.ndarray:
@@ -149,13 +154,13 @@ class Encoder:
         used = np.bincount(place, minlength=len(at.dictionary)) - np.bincount(place[heads], minlength=len(at.dictionary))
         after = np.flatnonzero(used)
         of_word = np.full(len(at.dictionary), -1, np.int64)
-        of_word[after] = self._known(at.dictionary.take(pa.array(after)).to_pylist())
+        of_word[after] = self._known(strings(at.dictionary.take(pa.array(after))))
         known = of_word[place]
-        known[heads] = self._known([(s,) for s in lists.values.take(pa.array(heads)).to_pylist()])
+        known[heads] = self._known([(s,) for s in strings(lists.values.take(pa.array(heads)))])
         pieces = np.diff(offsets)
         odd = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
         if len(odd):
-            parts = [[(s,) for s in PARTS.split(t)] for t in texts.take(pa.array(odd)).to_pylist()]
+            parts = [[(s,) for s in PARTS.split(t)] for t in strings(texts.take(pa.array(odd)))]
             more = np.array([len(p) for p in parts], np.int64)
             doc = np.concatenate([np.repeat(np.setdiff1d(np.arange(len(texts)), odd), pieces), np.repeat(odd, more)])
             known = np.concatenate([known, self._known(list(chain.from_iterable(parts)))])[np.argsort(doc, kind="stable")]
