@@ -1,9 +1,15 @@
 """Visible text of HTML pages, laid out as blocks, lists and aligned tables (operator 6).
 
-A tokenizer feeds a tree builder that supplies implied tags; visibility follows the element, its attributes and what it
-inherits; the rendering walks the tree with its own stacks, tables in cells of tables too, so no depth is too great. Blanks
-that only align (padding of cells, places that cells above reach down to, indents) come from a stock that grows with the
-page, so no page gives more than a fixed multiple of its length; what has no stock left stands unaligned, but stands.
+A tokenizer feeds a tree builder that supplies implied tags; visibility follows the element, its attributes, the page's own
+style rules and what it inherits; the rendering walks the tree with its own stacks, tables in cells of tables too, so no depth
+is too great. Cells that something stands to the right of are broken into lines of WIDE characters at most, so columns align
+at any width of their texts and a cell's padding is bounded. Only blanks where a line has no cell of its own (places that
+spans and cells above reach over, lines below a short cell, indents) come from a stock that grows with the page, so that no
+page gives more than a fixed multiple of its length; what has no stock left stands unaligned, but stands.
+
+Of style rules, selectors of one element (its tag, classes and id) count, with display and visibility, in the page's order
+and by specificity, inside of @media too where it asks for a screen and for no more than a least width. Selectors with
+combinators, attributes or pseudo-classes, imported sheets and scripts are not looked at.
 """
 
 from __future__ import annotations
@@ -61,9 +67,9 @@ ENDS_P = BLOCK - frozenset("body html li td th tr tbody thead tfoot caption opti
 WALLS = frozenset("table td th caption html template".split())
 HEAD = frozenset("title meta link style script base noscript template".split())
 
-#: Characters of blanks and bars for alignment, for each character of a page, and for any page.
-ALIGN, ALIGN_LEAST = 16, 10_000
-#: Columns are as wide as their widest cell of up to so many characters; a wider one runs over its place.
+#: Characters of blanks where no cell stands, for each character of a page, and for any page.
+ALIGN, ALIGN_LEAST = 64, 10_000
+#: A cell with something to its right is broken into lines of so many characters at most, so no column is wider.
 WIDE = 100
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -73,15 +79,19 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z))++")
 IMPORTANT = re.compile(r"\s*!\s*important\s*\Z")
+#: A selector of one element, its parts, and media that a wide screen is.
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#](?:[\w-]|[^\x00-\x7F]|\\[^0-9a-fA-F\n])+)*)\Z", re.A)
+PART = re.compile(r"([.#])((?:\\.|[^.#\\])+)", re.S)
+SCREEN = re.compile(r"(?:only\s+)?(?:(?:screen|all)(?:\s+and\s+(?=\()|\s*\Z)|(?=\())(?:\(\s*min-width\s*:[^()]*\)(?:\s+and\s+(?=\()|\s*\Z))*\Z")
 
 
 class Node:
-    """An element. how: "unseen" or "apart" (from what stands before) where svg or math says so; inside: svg or math, if it is part of one."""
+    """An element. how: "unseen" or "apart" (from what stands before) where svg or math says so; inside: svg or math, if it is part of one; rules: what style rules say of display and visibility, see ``styled``."""
 
-    __slots__ = ("tag", "attrs", "kids", "how", "inside")
+    __slots__ = ("tag", "attrs", "kids", "how", "inside", "rules")
 
     def __init__(self, tag: str, attrs: str = "", inside: str = ""):
-        self.tag, self.attrs, self.kids, self.how, self.inside = tag, attrs, [], "", inside
+        self.tag, self.attrs, self.kids, self.how, self.inside, self.rules = tag, attrs, [], "", inside, None
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -91,19 +101,89 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def declared(style: str) -> tuple[str, str]:
-    """(display, visibility) of a style's declarations, "" where it has none. The last of a property counts, important ones first."""
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a style's declarations, each as (important, value). The last of a property counts, important ones first."""
     low = style.lower()
-    if "display" not in low and "visibility" not in low:
-        return "", ""
     value: dict[str, tuple[bool, str]] = {}
+    if "display" not in low and "visibility" not in low:
+        return value
     for d in DECLARATION.findall(COMMENT.sub(" ", low)):
         name, colon, rest = d.partition(":")
         name, plain = name.strip(), IMPORTANT.sub("", rest).strip()
         must = plain != rest.strip()
-        if colon and plain and (must or not value.get(name, (False,))[0]):
+        if name in ("display", "visibility") and colon and plain and (must or not value.get(name, (False,))[0]):
             value[name] = must, plain
-    return value.get("display", (False, ""))[1], value.get("visibility", (False, ""))[1]
+    return value
+
+
+def rules(sheet: str) -> list[tuple[str, list[tuple[str, str]], dict]]:
+    """(tag or "", ids and classes as ("#" or ".", name), what is declared) of a sheet's rules of display and visibility for single elements, in order."""
+    out: list = []
+    low = sheet.lower()
+    if "display" not in low and "visibility" not in low:
+        return out
+    sheet = COMMENT.sub(" ", sheet).replace("<!--", " ").replace("-->", " ")
+    at = 0
+    for sign in re.finditer(r"[{};]", sheet):
+        if sign.start() < at:
+            continue
+        head, at = sheet[at : sign.start()].strip(), sign.end()
+        # Of media that hold, the bracket is passed over and the rules inside are read as if they stood outside.
+        if sign[0] != "{" or head[:6].lower() == "@media" and any(SCREEN.match(q.strip()) for q in head[6:].lower().split(",")):
+            continue
+        depth, stop = 1, len(sheet)
+        for inner in re.compile(r"[{}]").finditer(sheet, at):
+            depth += 1 if inner[0] == "{" else -1
+            if not depth:
+                stop = inner.start()
+                break
+        said = {} if head.startswith("@") else declared(sheet[at:stop])
+        at = stop + 1
+        for selector in head.split(",") if said else []:
+            m = COMPOUND.match(selector.strip())
+            if m and m[0]:
+                out.append(((m[1] or "").lower().replace("*", ""), [(kind, re.sub(r"\\(.)", r"\1", name)) for kind, name in PART.findall(m[2])], said))
+    return out
+
+
+def styled(root: Node, sheets: list[Node]) -> None:
+    """Say at each element what the page's own sheets declare for it: the most specific rule counts, of such the last, important ones first."""
+    found = []
+    for node in sheets:
+        media = attributes(node.attrs).get("media", "").strip().lower()
+        if not media or any(SCREEN.match(q.strip()) for q in media.split(",")):
+            found += rules("".join(node.kids))
+    if not found:
+        return
+    keys = [[*parts, *([("", tag)] if tag or not parts else [])] for tag, parts, _ in found]
+    often: dict = {}
+    for own in keys:
+        for key in own:
+            often[key] = often.get(key, 0) + 1
+    # A rule is looked for where the rarest of its parts stands.
+    at: dict = {}
+    for n, (own, (tag, parts, said)) in enumerate(zip(keys, found, strict=True)):
+        rank = sum(k == "#" for k, _ in parts), sum(k == "." for k, _ in parts), bool(tag), n
+        at.setdefault(min(own, key=often.__getitem__), []).append((rank, set(own) - {("", "")}, said))
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        stack += [x for x in node.kids if not isinstance(x, str)]
+        have = {("", node.tag)}
+        low = node.attrs.lower()
+        if "class" in low or "id" in low:
+            a = attributes(node.attrs)
+            have.update((".", c) for c in a.get("class", "").split())
+            have.add(("#", a.get("id", "")))
+        best: dict = {}
+        for key in (*have, ("", "")):
+            for rank, needs, said in at.get(key, ()):
+                if needs <= have:
+                    for name, (must, value) in said.items():
+                        if name not in best or (must, rank) > best[name][0]:
+                            best[name] = (must, rank), value
+        if best:
+            node.rules = {name: (must, value) for name, ((must, _), value) in best.items()}
 
 
 def empty(attrs: str) -> bool:
@@ -156,7 +236,7 @@ PASSING = frozenset("table tr tbody thead tfoot html body".split())
 
 def parse(page: str) -> Node:
     """The tree of a page; every input has one. An unclosed tag or comment runs to the end."""
-    root = Node("html")
+    root, sheets = Node("html"), []
     now = Open(root)
     stack = now.stack
     at, n = 0, len(page)
@@ -233,9 +313,12 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             body = page[at : end.start() if end else n]
             node.kids.append(html.unescape(body) if name in ("textarea", "title") else body)
+            if name == "style":
+                sheets.append(node)
             at = n if end is None else page.find(">", end.end()) + 1 or n
         elif name not in VOID:
             now.push(node)
+    styled(root, sheets)
     return root
 
 
@@ -243,18 +326,20 @@ def look(node: Node, dim: bool) -> tuple[bool, bool]:
     """(gone, dim) for a node where text is dim (not seen, but what it holds may be) or not: visibility is inherited, a box that isn't made is gone with all below."""
     if node.tag in HIDDEN or node.how == "unseen" or node.tag == "input":
         return True, dim
-    low = node.attrs
-    if not low or low.isspace():
-        return node.tag == "dialog", dim
-    low = low.lower()
-    drawn = node.inside == "svg" or node.tag == "svg"
-    if "hidden" not in low and "style" not in low and not (drawn and ("display" in low or "visibility" in low)):
-        return node.tag == "dialog" and "open" not in attributes(low), dim
+    low, drawn = node.attrs, node.inside == "svg" or node.tag == "svg"
+    if node.rules is None:
+        if not low or low.isspace():
+            return node.tag == "dialog", dim
+        low = low.lower()
+        if "hidden" not in low and "style" not in low and not (drawn and ("display" in low or "visibility" in low)):
+            return node.tag == "dialog" and "open" not in attributes(low), dim
     a = attributes(node.attrs)
-    display, visibility = declared(a.get("style", ""))
-    if drawn:
-        display, visibility = display or a.get("display", "").strip().lower(), visibility or a.get("visibility", "").strip().lower()
-    if "hidden" in a and a["hidden"].lower() != "until-found" or display == "none" or node.tag == "dialog" and "open" not in a:
+    # Later ones count, important ones before all others: an svg's attributes, rules of the page, the element's own style.
+    said: dict[str, tuple[bool, str]] = {k: (False, a[k].strip().lower()) for k in ("display", "visibility") if drawn and a.get(k)}
+    for more in (node.rules or {}, declared(a.get("style", ""))):
+        said |= {k: x for k, x in more.items() if x[0] or not said.get(k, (False,))[0]}
+    display, visibility = said.get("display", (False, ""))[1], said.get("visibility", (False, ""))[1]
+    if display == "none" or not display and ("hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a):
         return True, dim
     if visibility == "collapse" and node.tag in ("tr", "tbody", "thead", "tfoot"):
         return True, dim
@@ -350,12 +435,28 @@ def number(attrs: dict[str, str], name: str, most: int) -> int:
     return n or (most if name == "rowspan" else 1)
 
 
+def in_order(table: Node) -> list:
+    """(child, its row group) of a table, as shown: the first thead before all others, the first tfoot after them. Rows outside of groups are a group as far as the next one."""
+    kids, own = [], object()
+    for kid in table.kids:
+        if isinstance(kid, str) or kid.tag not in ("tbody", "thead", "tfoot"):
+            kids.append((kid, own))
+        else:
+            kids.append((kid, kid))
+            own = object()
+    for tag, to in (("thead", 0), ("tfoot", len(kids) - 1)):
+        at = next((i for i, (x, _) in enumerate(kids) if not isinstance(x, str) and x.tag == tag), None)
+        if at is not None:
+            kids.insert(to, kids.pop(at))
+    return kids
+
+
 def cells(table: Node, dim: bool, room: Room) -> tuple[list, list[list[tuple[Node | None, int, bool]]]]:
     """(node, dim) outside of rows, and rows of (cell, columns it spans, dim); None where a cell above reaches down."""
     rows, loose = [], []
     held: list[tuple[int, int, int]] = []  # first column, columns, last row that they are held for
     within, r = None, -1
-    stack = [(kid, table, dim) for kid in reversed(table.kids)]
+    stack = [(kid, group, dim) for kid, group in reversed(in_order(table))]
     while stack:
         kid, group, low = stack.pop()
         if isinstance(kid, str):
@@ -414,35 +515,85 @@ def cells(table: Node, dim: bool, room: Room) -> tuple[list, list[list[tuple[Nod
     return loose, rows
 
 
-def layout(rows: list[list[tuple[list[str], int]]], room: Room) -> list[str]:
-    """Lines of a table of cells (lines, span): columns as wide as their widest single cell of up to WIDE characters, a bar between; without a stock of blanks, what stands in a line with bars between."""
-    most = max((sum(span for _, span in row) for row in rows), default=0)
-    widths = [0] * most
+def broken(line: str, most: int) -> list[str]:
+    """A line as lines of at most so many characters, broken at blanks, and inside a word only where it is longer than that."""
+    out, at = [], 0
+    while len(line) - at > most:
+        stop = line.rfind(" ", at, at + most + 1)
+        if not line[at : max(at, stop)].strip(" "):
+            stop = at + most
+        out.append(line[at:stop].rstrip(" "))
+        at = stop
+        while at < len(line) and line[at] == " ":
+            at += 1
+    return [x for x in (*out, line[at:]) if x] or [""]
+
+
+def layout(rows: list[list[tuple[list[str], int, bool]]], room: Room) -> list[str]:
+    """Lines of a table of cells (lines, columns spanned, whether the page has a cell there), a bar between columns.
+
+    A cell that columns stand to the right of, in whatever row, is broken at WIDE characters, or at what it spans if that is
+    more; the others run on. Columns are as wide as their widest cell; a cell that spans several widens the last of them. So
+    all rows align. Where a line lacks the stock of blanks for places without a cell, what stands in it has bars between.
+    """
+    starts, most = 0, 0
     for row in rows:
         at = 0
-        for lines, span in row:
-            if span == 1:
-                widths[at] = max([widths[at], *(n for n in map(len, lines) if n <= WIDE)])
+        for _, span, own in row:
+            starts = max(starts, at if own else 0)
             at += span
+        most = max(most, at)
+    widths = [0] * most
+    for single in (True, False):
+        for row in rows:
+            at = 0
+            for k, (lines, span, own) in enumerate(row):
+                if lines and (span == 1) == single and at + span <= starts:
+                    have = sum(widths[at : at + span]) + 3 * (span - 1)
+                    lines = [x for line in lines for x in broken(line, WIDE if single else max(WIDE, have))]
+                    row[k] = lines, span, own
+                    widths[at + span - 1] += max(0, max(map(len, lines)) - have)
+                at += span
     ends = [0, *accumulate(w + 3 for w in widths)]
     out = []
     for row in rows:
         at, places = 0, []
         have: list[dict[int, str]] = []
-        for k, (lines, span) in enumerate(row):
+        for k, (lines, span, _) in enumerate(row):
             places.append(ends[at + span] - ends[at] - 3)
             at += span
             have += [{} for _ in range(len(lines) - len(have))]
             for i, line in enumerate(lines):
                 have[i][k] = line
+        stock = sum(own for *_, own in row) * (WIDE + 3)
         for texts in have:
-            if room.take(ends[at] - sum(min(len(x), places[k]) for k, x in texts.items())):
+            blanks = ends[at] - sum(min(len(x), places[k]) for k, x in texts.items())
+            if room.take(max(0, blanks - stock)):
                 out.append(" | ".join(texts.get(k, "").ljust(w) for k, w in enumerate(places)).rstrip(" "))
             else:
                 out.append(" | ".join(x for x in texts.values() if x))
+            stock = 0
     return out
 
 
+WHOLE = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])", re.A)
+
+
+def numbering(node: Node, dim: bool) -> list[int]:
+    """[number of the first item, step] of an ol: its start, or the number of its items if it is reversed, else 1."""
+    a = attributes(node.attrs)
+    step = -1 if "reversed" in a else 1
+    if m := WHOLE.match(a.get("start", "")):
+        return [int(m[1]), step]
+    n, stack = 0, list(node.kids) if step < 0 else []
+    while stack:
+        x = stack.pop()
+        if not isinstance(x, str) and not look(x, dim)[0]:
+            n += x.tag == "li"
+            stack += shown(x) if x.tag not in ("ol", "ul", "menu", "dir") else []
+    return [n if step < 0 else 1, step]
+
+
 class Frame:
     """What is being rendered to lines of its own: the page or a table's cell. stack: (node or text, what ends with it, dim)."""
 
@@ -457,9 +608,9 @@ class Table:
     def __init__(self, node: Node, dim: bool, room: Room):
         loose, rows = cells(node, dim, room)
         self.outside: list[str] = []
-        self.rows = [[([], span) for _, span, _ in row] for row in rows]
+        self.rows = [[([], span, c is not None) for c, span, _ in row] for row in rows]
         parts = [([x], d, self.outside) for x, d in loose]
-        parts += [(shown(c), d, out) for row, own in zip(rows, self.rows, strict=True) for (c, _, d), (out, _) in zip(row, own, strict=True) if c is not None]
+        parts += [(shown(c), d, out) for row, own in zip(rows, self.rows, strict=True) for (c, _, d), (out, *_) in zip(row, own, strict=True) if c is not None]
         self.todo = parts[::-1]
 
 
@@ -537,16 +688,19 @@ def render(node: Node, room: Room) -> list[str]:
             stack.append((Table(kid, dim, room), "table", dim))
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(1 if lists else 2)
-            start = attributes(kid.attrs).get("start", "") if tag == "ol" else ""
-            lists.append([int(start) if re.fullmatch(r"-?\d{1,9}", start, re.A) else 1] if tag == "ol" else [None])
+            lists.append(numbering(kid, dim) if tag == "ol" else [None, 0])
             stack.append((kid, "list", dim))
             stack += below
         elif tag == "li":
             page.block(1)
-            count = lists[-1] if lists else [None]
-            page.mark = "-" if count[0] is None else f"{count[0]}."
-            if count[0] is not None:
-                count[0] += 1
+            count = lists[-1] if lists else [None, 0]
+            if count[0] is None:
+                page.mark = "-"
+            else:
+                own = WHOLE.match(attributes(kid.attrs).get("value", "")) if kid.attrs else None
+                count[0] = int(own[1]) if own else count[0]
+                page.mark = f"{count[0]}."
+                count[0] += count[1]
             page.indent.append(page.indent[-1] + len(page.mark) + 1)
             stack.append((kid, "item", dim))
             stack += below

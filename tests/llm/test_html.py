@@ -17,13 +17,13 @@ class Maker:
 
     def word(self):
         self.n += 1
-        return f"w{self.n}" + "x" * self.r.randrange(0, 12)
+        return f"w{self.n}" + "x" * (self.r.randrange(60, 250) if self.r.random() < 0.03 else self.r.randrange(0, 12))
 
     def attr(self):
         return self.r.choice(list(HIDE)) if self.r.random() < 0.35 else ""
 
     def inline(self):
-        return [("span", self.attr(), [" ".join(self.word() for _ in range(self.r.randrange(1, 4)))]) if self.r.random() < 0.3 else self.word() for _ in range(self.r.randrange(1, 4))]
+        return [("span", self.attr(), [" ".join(self.word() for _ in range(self.r.randrange(1, 4)))]) if self.r.random() < 0.3 else " ".join(self.word() for _ in range(30)) if self.r.random() < 0.05 else self.word() for _ in range(self.r.randrange(1, 4))]
 
     def blocks(self, depth):
         return [self.block(depth) for _ in range(self.r.randrange(1, 4))]
@@ -111,6 +111,15 @@ def lines_of(kids, dim):
     return out
 
 
+def wrapped(line, most):
+    """A line cut at its last blank that leaves at most so many characters, or there if it has none."""
+    if len(line) <= most:
+        return [line]
+    blanks = [i for i in range(most + 1) if line[i] == " " and line[:i].strip()]
+    at = blanks[-1] if blanks else most
+    return [x for x in (line[:at].rstrip(" "), *wrapped(line[at:].lstrip(" "), most)) if x]
+
+
 def grid(rows, dim):
     """Lines of a table from an explicit grid of places."""
     taken, placed, r = {}, [], -1
@@ -125,7 +134,7 @@ def grid(rows, dim):
         def skip(at, row, r=r):
             while (r, at) in taken:
                 c, w = taken[r, at]
-                row.append(("", c + w - at))
+                row.append((None, c + w - at))
                 at = c + w
             return at
 
@@ -144,26 +153,31 @@ def grid(rows, dim):
         while any(k[0] == r and k[1] >= at for k in taken):
             c = min(k[1] for k in taken if k[0] == r and k[1] >= at)
             if c > at:
-                row.append(("", c - at))
+                row.append((None, c - at))
                 at = c
             at = skip(at, row)
         placed.append(row)
-    widths = {}
+    # (text or None, columns) becomes (first column, last column, lines, cell or not).
+    table = []
     for row in placed:
-        at = 0
+        at, new = 0, []
         for text, span in row:
-            if span == 1:
-                widths[at] = max([widths.get(at, 0), *(len(x) for x in text.split("\n") if len(x) <= html_text.WIDE)])
+            new.append([at, at + span - 1, text.split("\n") if text else [], text is not None])
             at += span
+        table.append(new)
+    last = max([c[0] for row in table for c in row if c[3]], default=0)
+    widths = {}
+    taken_by = lambda a, z: sum(widths.get(c, 0) for c in range(a, z + 1)) + 3 * (z - a)
+    for wide in (False, True):
+        for cell in (c for row in table for c in row if c[2] and c[1] < last and (c[1] > c[0]) == wide):
+            most = max(html_text.WIDE, taken_by(*cell[:2])) if wide else html_text.WIDE
+            cell[2] = [x for line in cell[2] for x in wrapped(line, most)]
+            short = max(map(len, cell[2])) - taken_by(*cell[:2])
+            widths[cell[1]] = widths.get(cell[1], 0) + max(0, short)
     out = []
-    for row in placed:
-        for i in range(max((len(t.split("\n")) if t else 0) for t, _ in row) if row else 0):
-            at, parts = 0, []
-            for text, span in row:
-                own = text.split("\n")
-                parts.append((own[i] if i < len(own) else "").ljust(sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)))
-                at += span
-            out.append(" | ".join(parts).rstrip(" "))
+    for row in table:
+        for i in range(max((len(c[2]) for c in row), default=0)):
+            out.append(" | ".join((lines[i] if i < len(lines) else "").ljust(taken_by(a, z)) for a, z, lines, _ in row).rstrip(" "))
     return out
 
 
@@ -213,6 +227,59 @@ def test_one_page_is_bounded():
     ]
     for page in pages:
         text = html_text.page_text(page)
-        assert len(text) <= (html_text.ALIGN + 4) * len(page) + 2 * html_text.ALIGN_LEAST
+        assert len(text) <= (html_text.ALIGN + html_text.WIDE // 4 + 4) * len(page) + 2 * html_text.ALIGN_LEAST
         assert text.count("w") == page.count(">w")
-    assert html_text.page_text(wide).count("a | b") == 3000
+    assert html_text.page_text(wide).count("a" + " " * (html_text.WIDE - 1) + " | b") == 3000
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<ol><li>a<li value=9>b<li>c</ol>", "1. a\n9. b\n10. c"),
+        ("<ol reversed><li>a<li hidden>n<li>b<ol><li>x</ol></ol>", "2. a\n1. b\n   1. x"),
+        ("<ol reversed start=7><li>a<li value=-2>b<li>c</ol>", "7. a\n-2. b\n-3. c"),
+        ("<ul><li value=9>a</ul><ol start=x><li value=y>b</ol>", "- a\n\n1. b"),
+        ("<table><tfoot><tr><td>f</tfoot><tr><td>a<thead><tr><td>h</table>", "h\na\nf"),
+        ("<table><tr><td rowspan=2>a<td>b<tfoot><tr><td>f<td>g</tfoot><tr><td>c<td>d</table>", "a | b\nc | d\nf | g"),
+    ],
+)
+def test_order_and_numbers(page, text):
+    assert html_text.page_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "sheet, seen",
+    [
+        ("", "abcd"),
+        (".x{display:none}", "bd"),
+        ("#one { color:red; display : NONE } ", "bcd"),
+        ("p.x, q{visibility:hidden}", "bcd"),
+        ("span{display:none}p{display:block}", "abd"),
+        (".x{display:none} .x{display:inline}", "abcd"),
+        (".x{display:none!important} p.x{display:block}", "bd"),
+        (".x{display:none} #one{display:block}", "abd"),
+        ("div .x{display:none} .x:hover{display:none} [id]{display:none}", "abcd"),
+        ("@media print{.x{display:none}} @import 'a'; b{display:none}", "acd"),
+        ("@media screen and (min-width:9px){.x{display:none}} @media (max-width:9px){b{display:none}}", "bd"),
+        ("/* .x{display:none} */ .y\\:z{display:none}", "abc"),
+        ("*{visibility:hidden} .x{visibility:visible}", "ac"),
+        (".x{display:none", "bd"),
+        ("u{display:block}", "abcdh"),
+    ],
+)
+def test_rules_of_the_page(sheet, seen):
+    page = f"<style>{sheet}</style><p class=x id=one>a</p><b>b</b><span class='w x'>c</span><i class='y:z'>d</i><u hidden>h</u><s style='display:none'>n</s>"
+    assert html_text.page_text(page).replace("\n", "").replace(" ", "") == seen
+
+
+def test_cells_align_at_any_width():
+    for n in (99, 100, 101, 250, 5000):
+        text = html_text.page_text(f"<table><tr><td>{'w' * n}<td>b<tr><td>x<td>y<tr><td>{'u ' * n}<td>z<tr><td colspan=2>{'v' * n}</table>")
+        lines = text.split("\n")
+        assert {line.index("|") for line in lines if line[0] in "wxu"} == {min(n, 100) + 1 if n > 99 else 100}
+        assert text.count("w") == text.count("u") == text.count("v") == n and lines[-1] == "v" * n
+
+
+def test_a_sheet_of_many_rules():
+    page = "<style>" + "".join(f".c{i}.d{i % 50}{{display:none}}" for i in range(20_000)) + "</style>" + "".join(f"<i class='c{i} d{i % 50}'>n</i><i class='c{i}'>w</i>" for i in range(0, 20_000, 2))
+    assert html_text.page_text(page) == "w" * 10_000
