@@ -3,7 +3,8 @@
 Rows are dealt to buckets by hash. A matrix with exact margins says how many rows each bucket sends to each shard. Inside
 its bucket a row's rank in random order decides its shard and its rank among what that shard gets, the shard's slots are
 permuted once more, and one exchange brings the rows to their shards. No task sees more than a bucket or a part of a
-shard, and every choice follows from the rows and the seed, so tasks that run again repeat it.
+shard, and every choice follows from the rows and the seed, so tasks that run again repeat it. Only where more rows than a
+bucket holds are equal, the rows are kept with a number each, which deals them too, so that equal rows are spread.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import draws
-from .common import permuted, restored, set_aside
+from .common import cut, permuted, restored, set_aside
 
 #: Rows that a bucket holds about.
 BUCKET_ROWS = 4096
@@ -25,14 +26,18 @@ def shard(rows: DataFrame, n_shards: int, seed: int = 1, key: list[str] | None =
     """rows with shard (int, from 0) and slot (long, gapless from 0 in each shard), laid out by shard and slot.
 
     Shard sizes differ by one row at most. key: the columns that deal rows to buckets, all of them unless named; rows that
-    agree in them share a bucket, so it should nearly identify a row. Whole equal rows may swap places, which can't be
+    agree in them share a bucket, unless they are more than a bucket holds. Whole equal rows may swap places, which can't be
     seen. Nulls are values like any other; an empty table gives an empty one. Columns named shard or slot are replaced,
     all others pass, whatever they are called.
     """
     held, at = set_aside(rows, *(key or ()))
     every = [F.col(c) for c in at.values()]
     own = [F.col(at[c]) for c in key] if key else every
-    n = rows.count()
+    alike = held.groupBy(F.xxhash64(F.lit(seed + 1), *own).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    n, most_alike = alike.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if most_alike > bucket_rows:
+        held = cut(held.withColumn("_id", F.monotonically_increasing_id()))
+        own = [*own, F.col("_id")]
     levels = max(0, (-(-n // bucket_rows) - 1).bit_length())
     bucket = F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(2**levels)).cast("int")
     # The hashes go through explode, as Catalyst would else rewrite what it knows of them for each subset of renamed columns.

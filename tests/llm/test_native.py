@@ -146,6 +146,21 @@ def test_sharding_spreads_a_repeated_id(spark):
     assert all(sorted(r.slot for r in out if r.shard == s) == list(range(40)) for s in range(5))
 
 
+def test_sharding_spreads_equal_rows(spark):
+    """Two thirds of the rows are equal in all columns; no bucket gets many more than it should hold."""
+    df = spark.range(300).selectExpr("if(id < 200, 7L, id) AS doc_id", "if(id < 200, 'same', string(id)) AS text").repartition(3)
+    seen, matrix = [], sharding.draws.matrix
+    sharding.draws.matrix = lambda sizes, *more: seen.append(max(r.n for r in sizes.collect())) or matrix(sizes, *more)
+    try:
+        for key in (None, ["doc_id"]):
+            out = sharding.shard(df, 7, key=key, bucket_rows=20).collect()
+            assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in df.collect())
+            assert all(sorted(r.slot for r in out if r.shard == s) == list(range(43 if s < 6 else 42)) for s in range(7))
+    finally:
+        sharding.draws.matrix = matrix
+    assert max(seen) < 60
+
+
 def test_sharding_is_uniform(spark):
     df = spark.range(60).select(F.col("id").alias("doc_id"))
     hits = Counter()
