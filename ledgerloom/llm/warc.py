@@ -30,7 +30,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
     Of the rows with one payload of min_revisit bytes or more, that with the largest page_id is the response. Nulls: a null
     html is an empty payload, a null url an empty one; rows with a null page_id, or with the response's own page_id again,
-    are responses. Only payloads that repeat are joined back, so a page copied everywhere is one row on that side.
+    are responses. page_id may be of any type that a string can be cast to and that has a largest value. Only payloads that repeat are joined back, so a page copied everywhere is one row on that side.
     """
     own_names(pages, page_id, url, html)
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
@@ -47,7 +47,8 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 def records(planned: DataFrame) -> DataFrame:
     """One column, value: the records without their two closing line breaks."""
     clean = F.regexp_replace("url", r"[\x00-\x20\x7F]", "_")
-    rid = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    # An id is escaped, so that it can hold anything; a null one has a name that no other has.
+    rid = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:nopage>"))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -55,7 +56,7 @@ def records(planned: DataFrame) -> DataFrame:
         F.concat(
             F.lit(MAGIC),
             line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-            line("WARC-Record-ID", rid(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))),
+            line("WARC-Record-ID", rid(F.col("page_id"))),
             line("WARC-Date", F.lit(_DATE)),
             line("WARC-Target-URI", clean),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
@@ -168,13 +169,15 @@ def archived(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
     return read(spark, path)
 
 
-def payloads(rec: DataFrame) -> DataFrame:
-    """For each record of ``read``: page_id, record_type, refers_to (page_ids, long), payload_bytes and payload_digest (bare hex SHA-1) of the full payload.
+def payloads(rec: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """For each record of ``read``: page_id, record_type, refers_to (page_ids, of id_type), payload_bytes and payload_digest (bare hex SHA-1) of the full payload.
+
+    Ids that are none of id_type are an error; "string" takes all.
 
     A revisit takes them from the response that has both the record id and the digest it names, so responses that share a
     record id don't mix. A revisit whose response is missing keeps the digest it names, and its payload_bytes is null.
     """
-    number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
+    number = lambda c: F.when(F.col(c).rlike("^<urn:page:.*>$"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1))).cast(id_type)
     named = F.regexp_replace(F.lower("digest"), "^sha1:", "")
     rec = rec.select(number("record_id").alias("page_id"), "record_type", number("refers_to_id").alias("refers_to"), F.octet_length("payload").cast("long").alias("_bytes"), F.sha1("payload").alias("_sha"), named.alias("_named"))
     full = rec.filter("refers_to IS NULL").groupBy(F.col("page_id").alias("refers_to"), F.col("_sha").alias("_named")).agg(F.max("_bytes").alias("_full"))

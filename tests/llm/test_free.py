@@ -335,6 +335,19 @@ def test_warc_repeated_page_ids(spark):
     assert [tuple(r) for r in lost] == [(3, None, sha(b), "revisit", 9)]
 
 
+def test_warc_ids_of_any_text(spark):
+    """Ids that are no numbers come back as they were; where numbers are asked for, others are an error."""
+    ids = ["a b", "x>y", "50%", "null", "", "é\r\n", "<urn:page:1>", None, "-7", "1+1"]
+    body = "b" * 1200
+    pages = spark.createDataFrame([(i, "u", body if i in ("a b", "x>y") else f"t{k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.payloads(warc.archived(pages), "string").collect()}
+    assert set(got) == set(ids) and len(got) == len(ids)
+    assert (got["a b"].record_type, got["a b"].refers_to, got["a b"].payload_bytes) == ("revisit", "x>y", 1200)
+    assert all(got[i].payload_digest == hashlib.sha1(f"t{k}".encode()).hexdigest() for k, i in enumerate(ids) if k > 1)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        warc.payloads(warc.archived(pages)).collect()
+
+
 def test_warc_broken_tail(spark, tmp_path):
     good = "WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
     (tmp_path / "w").mkdir()
