@@ -1,15 +1,13 @@
-"""What the operators of this subpackage share: the word law, permutations and durable cuts of lineage."""
+"""What the operators of this subpackage share: the word law, permutations, names set aside; durable cuts of lineage come from the library."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import cut, own_path, shared_dir  # noqa: F401
+
 #: A word is a run of anything but the six ASCII blanks.
 GAP = r"[\x20\x09-\x0D]+"
 NOT_WORD_SQL = r"[\\x20\\x09-\\x0D]+"
@@ -24,33 +22,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of the warehouse, which is shared too, or with a local master, as in tests, a temporary one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        found = tempfile.mkdtemp(prefix="ledgerloom-")
-    if not found:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_ledgerloom-{uuid.uuid4().hex}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def own_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which goes when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint: a lost executor costs a read, not a recomputation. Its files go when nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def permuted(x: str, n: str, key: str, rounds: int = 32, inverse: bool = False) -> str:
     """SQL for the image of x under a keyed pseudorandom permutation of [0, n).
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import arrow_store
 from .common import cut, own_names, own_path
 
 #: Ids of a shard, about; a longer document is a shard alone. Distinct stretches of text that a Python worker remembers.
@@ -304,16 +305,9 @@ class TokenFile:
         return out
 
 
-def _store(uri: str):
-    """(file system, path) of a URI or of a local path, as Arrow knows them."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
-
-
 def opened(uri: str) -> TokenFile:
     """A file of the manifest."""
-    store, path = _store(uri)
+    store, path = arrow_store(uri)
     f = store.open_input_file(path)
     return TokenFile(lambda at, size: f.read_at(size, at))
 
@@ -335,7 +329,7 @@ def write(docs: DataFrame, directory: str, doc_id: str = "doc_id", text: str = "
     def run(batches):
         from pyspark import TaskContext
 
-        coder, store, task, ahead = encoder(path), _store(directory), TaskContext.get().partitionId(), 0
+        coder, store, task, ahead = encoder(path), arrow_store(directory), TaskContext.get().partitionId(), 0
         ids, parts, sizes, total = [], [], [], 0
 
         def close():
