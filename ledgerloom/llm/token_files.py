@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import struct
 import uuid
@@ -67,6 +68,8 @@ def encoder(path: str | None) -> "Encoder":
     """The encoder of this Python worker for the tokenizer at path. Workers outlive tasks, so what one has learned serves the next."""
     import tokenizers
 
+    # A task has one core; threads of the library's own would only wait for each other.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     held = tokenizers.__dict__.setdefault("_held_encoders", {})
     if path not in held:
         held[path] = Encoder(tokenizer(path))
@@ -99,7 +102,7 @@ class Encoder:
         plain, words, odd, others = [], [], [], []
         for s in new:
             word = s if type(s) is str else s[0]
-            if word.split() == [word]:
+            if word.isalnum() or word.split() == [word]:
                 plain.append(s)
                 words.append(" " + word if type(s) is str else word)
             else:
