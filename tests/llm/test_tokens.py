@@ -1,5 +1,6 @@
 """Token files against the tokenizers library and plain lists."""
 
+import itertools
 import random
 import zlib
 
@@ -38,6 +39,61 @@ def test_encoder_is_the_library(tok, remembered):
             assert part.tolist() == want(tok, t), repr(t)
 
 
+def test_line_breaks_and_ends_of_stretches(tok):
+    """Every short text over letters, ends and blanks, and letters of many scripts before ends."""
+    short = ["".join(x) for n in range(1, 6) for x in itertools.product(["a", "'s", ".", " ", "\n", "\t"], repeat=n)]
+    letters = [chr(c) + t for c in range(0x80, 0x10000, 7) if not 0xD800 <= c < 0xE000 for t in (".", "a1,", "\nB!", "'s")]
+    texts = short + ["x " + w for w in letters] + ["the.\nOf it, the.\n\nOf.\n\n", "a\r\nb\n", "(<|endoftext|>.\n<|endoftext|>\n", "é\u0301. é\u0301\u0301,", "Ġa. Ġ\nĠ."]
+    one = T.Encoder(tok)
+    assert one.units
+    for lot in (texts, texts[::-1], [""], [None], [], ["\n"], [" "]):
+        ids, each = one.encode(lot)
+        assert len(each) == len(lot)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(each)[:-1])][: len(lot)] == [want(tok, t) for t in lot]
+
+
+def test_equal_units_go_to_the_library_once(tok):
+    """What differs in punctuation, line breaks or place alone is no new work."""
+    words = ["".join(p) for p in itertools.product(["tion", "heit", "ment", "able", "ing"], repeat=4)]
+
+    class Counted:
+        def __init__(self):
+            self.chars = 0
+
+        def __getattr__(self, name):
+            return getattr(tok, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.chars += sum(map(len, texts))
+            return tok.encode_batch_fast(texts, **how)
+
+    seen = Counted()
+    one = T.Encoder(seen)
+    one.encode(["x " + " ".join(words)])
+    before = seen.chars
+    text = ["y " + " ".join(f"{w}{end}" for w in words) for end in (",", ".", "!!", ".***", " 12.")]
+    ids, each = one.encode(text)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(each)[:-1])] == [want(tok, t) for t in text]
+    assert seen.chars - before < 100
+
+
+def test_other_tokenizers_are_given_whole_texts():
+    import tokenizers
+    from tokenizers import models, pre_tokenizers, trainers
+
+    made = tokenizers.Tokenizer(models.BPE())
+    made.pre_tokenizer = pre_tokenizers.Metaspace()
+    made.train_from_iterator(TEXTS * 3, trainers.BpeTrainer(vocab_size=300))
+    level = tokenizers.Tokenizer.from_str(T.tokenizer(None).to_str())
+    level.add_tokens(["a b", "foo.", "word."])
+    for tok in (made, level):
+        one = T.Encoder(tok)
+        assert not one.units
+        texts = [*TEXTS, "a b foo. word.", "x\nfoo.\na b"]
+        ids, each = one.encode(texts)
+        assert [p.tolist() for p in np.split(ids, np.cumsum(each)[:-1])] == [want(tok, t) for t in texts]
+
+
 @pytest.mark.parametrize("n,most", [(0, 1), (1, 0), (7, 3), (5000, 40_000), (200_000, 300), (65_536, 2), (70_000, 100_000)])
 def test_file(n, most):
     rng = np.random.default_rng(n + most)
