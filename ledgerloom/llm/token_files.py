@@ -129,6 +129,9 @@ class Encoder:
         self.tok, self.limit, self.units = tok, remembered, gpt2(tok)
         self.of: dict[str, int] = {}
         self.ids, self.uses = pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        # An added token ends the text before it, so two line breaks there are one match, as at the end.
+        added = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
+        self.unsure = UNSURE + "".join(rf"|\n\n{t}" for t in added)
         # Where units follow each other that start with a space or line break, these ids start them.
         self.first = np.zeros(max(tok.get_vocab().values(), default=0) + 1, bool)
         self.first[[i for t, i in tok.get_vocab().items() if t.startswith(("\u0120", "\u010a"))]] = True
@@ -196,7 +199,7 @@ class Encoder:
             return self._apart(strings(texts))
         if len(self.of) > self.limit or self.ids.nbytes > 64 * self.limit:
             self._forget()
-        unsure = pc.match_substring_regex(texts, UNSURE)
+        unsure = pc.match_substring_regex(texts, self.unsure)
         # Other texts are parted at every space and line break; of equal stretches in the lot one is looked up.
         lists = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(unsure)), "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy()
@@ -353,14 +356,18 @@ class TokenFile:
         """All ids in order, from the lowest plane up: the zeros of a plane are the first of the next one's order, the ones the rest."""
         out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for p in reversed(range(self.width)):
-            data = np.concatenate([self._chunk(p, i) for i in range(len(self._planes[p]["chunks"]))]) if self.n else np.zeros(0, np.uint8)
-            one = np.unpackbits(data, count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(out)
-            above[np.flatnonzero(~one)] = out[: self.zeros[p]]
-            above[np.flatnonzero(one)] = out[self.zeros[p] :] | out.dtype.type(1 << (self.width - 1 - p))
-            out = above
+            above, zeros, ones = np.empty_like(out), 0, self.zeros[p]
             for i in range(len(self._planes[p]["chunks"])):
+                part = above[i * CHUNK : (i + 1) * CHUNK]
+                one = np.unpackbits(self._chunk(p, i), count=len(part), bitorder="little").view(bool)
+                at = np.flatnonzero(~one)
+                part[at] = out[zeros : zeros + len(at)]
+                zeros += len(at)
+                at = np.flatnonzero(one)
+                part[at] = out[ones : ones + len(at)] | out.dtype.type(1 << (self.width - 1 - p))
+                ones += len(at)
                 self._held.pop((p, i))
+            out = above
         return out
 
 

@@ -43,7 +43,7 @@ def test_line_breaks_and_ends_of_stretches(tok):
     """Every short text over letters, ends and blanks, and letters of many scripts before ends."""
     short = ["".join(x) for n in range(1, 6) for x in itertools.product(["a", "'s", ".", " ", "\n", "\t"], repeat=n)]
     letters = [chr(c) + t for c in range(0x80, 0x10000, 7) if not 0xD800 <= c < 0xE000 for t in (".", "a1,", "\nB!", "'s")]
-    texts = short + ["x " + w for w in letters] + ["the.\nOf it, the.\n\nOf.\n\n", "a\r\nb\n", "(<|endoftext|>.\n<|endoftext|>\n", "é\u0301. é\u0301\u0301,", "Ġa. Ġ\nĠ."]
+    texts = short + ["x " + w for w in letters] + ["the.\nOf it, the.\n\nOf.\n\n", "a\r\nb\n", "(<|endoftext|>.\n<|endoftext|>\n", "a\n\n<|endoftext|>b", "\n<|endoftext|>\n\n<|endof\n\n", "é\u0301. é\u0301\u0301,", "Ġa. Ġ\nĠ."]
     one = T.Encoder(tok)
     assert one.units
     for lot in (texts, texts[::-1], [""], [None], [], ["\n"], [" "]):
