@@ -305,3 +305,35 @@ def test_a_scan_ends_past_the_cap(spark):
     bounds = positional.column_bounds(positional.header_anchors(df))
     got = [(r.kind, r.stop_reason) for r in positional.trace(df, layout.row_texts(df), bounds, cap=2).orderBy("row_id").collect()]
     assert got == [("item", None), ("item", None), ("end", "cap"), ("after", None)]
+
+
+def test_rows_texts_come_from_their_words(spark):
+    """Without texts a scan makes them of the words that it deals by page anyway, so plans hold one exchange of words, and the header's kernel reads what the scan reads."""
+    lines = [["Item", "Qty", "Rate"], ["a", "1", "2"], ["b", " ", "n/a"], ["Total", "3"]]
+    rows = [(p, 1, r, 3 * r + c, 100.0 * c, 100.0 * c + 30, w) for p in (1, 2) for r, line in enumerate(lines) for c, w in enumerate(line)]
+    df = spark.createDataFrame(rows, "job_id int, page_number int, row_id int, word_ord int, x0 double, x1 double, text string")
+    bounds = positional.column_bounds(positional.header_anchors(df))
+    got, want = (sorted(map(repr, positional.trace(df, texts, bounds).collect())) for texts in (None, layout.row_texts(df)))
+    assert got == want and len(got) == 6
+    found = positional.trace(df, None, bounds)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    # Words and what their headers give; the second reader of the words takes the first one's exchange.
+    assert plan.count("ReusedExchange") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_a_row_that_names_nothing_is_not_searched():
+    class Names(tuple):
+        asked = 0
+
+        def __iter__(self):
+            return (Word(w) for w in tuple.__iter__(self))
+
+    class Word(str):
+        def split(self, *a):
+            Names.asked += 1
+            return str.split(self, *a)
+
+    columns = {k: Names(v) for k, v in C.COLUMNS.items()}
+    assert positional.claim([(0.0, 1.0, "P1"), (2.0, 3.0, "45")], columns)[0] == {} and Names.asked == 0
+    assert list(positional.claim([(0.0, 1.0, "Qty")], columns)[0]) == ["quantity"] and Names.asked == 1
