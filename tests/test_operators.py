@@ -337,3 +337,12 @@ def test_a_row_that_names_nothing_is_not_searched():
     columns = {k: Names(v) for k, v in C.COLUMNS.items()}
     assert positional.claim([(0.0, 1.0, "P1"), (2.0, 3.0, "45")], columns)[0] == {} and Names.asked == 0
     assert list(positional.claim([(0.0, 1.0, "Qty")], columns)[0]) == ["quantity"] and Names.asked == 1
+
+
+def test_sections_are_not_sent_to_all(spark):
+    """Texts that rows make are many times what Catalyst takes them for: their sections must not pass through the driver."""
+    lines = spark.range(3).selectExpr("id as doc", "explode(array(struct(0 as row_idx, 'Bill To' as text), struct(1 as row_idx, 'x' as text), struct(2 as row_idx, 'Declaration' as text)))").select("doc", "col.*")
+    words = lines.selectExpr("doc", "row_idx", "explode(array(0d, 200d)) as x0", "text").selectExpr("doc", "row_idx", "x0", "x0 + 10 as x1", "text")
+    pooled = sections.word_pools(words, sections.sections(lines))
+    assert sorted((r.doc, r.row_idx, r.x0, r.pool) for r in pooled.collect()) == [(d, i, x, p) for d in range(3) for i in (0, 1) for x, p in ((0.0, "buyer"), (200.0, "general"))]
+    assert "Broadcast" not in pooled._jdf.queryExecution().executedPlan().toString()
