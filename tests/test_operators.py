@@ -346,3 +346,17 @@ def test_sections_are_not_sent_to_all(spark):
     pooled = sections.word_pools(words, sections.sections(lines))
     assert sorted((r.doc, r.row_idx, r.x0, r.pool) for r in pooled.collect()) == [(d, i, x, p) for d in range(3) for i in (0, 1) for x, p in ((0.0, "buyer"), (200.0, "general"))]
     assert "Broadcast" not in pooled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_parts_are_not_sent_to_all(spark, monkeypatch):
+    from ledgerloom.plans import rendered
+
+    lineitem = spark.createDataFrame([(1, 2, 3, 1, 5.0, 10.0, 0.1, "O", "1998-01-01")], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_linestatus string, l_shipdate string")
+    part = spark.range(3).selectExpr("id as p_partkey", "'p' as p_name", "'b' as p_brand", "1d as p_retailprice")
+    kinds = []
+    for most in (3, 2):
+        monkeypatch.setattr(rendered, "SENT_PARTS", most)
+        made = rendered.items({"lineitem": lineitem, "part": part})
+        assert made.count() == 1
+        kinds.append("BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString())
+    assert kinds == [True, False]
